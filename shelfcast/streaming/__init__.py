@@ -1,0 +1 @@
+"""Intentionally empty: every source of this library is a table read in full."""
