@@ -652,7 +652,7 @@ _add("future_grid", lambda v: FC.future_grid(V.lookback(v.processed()), 7).selec
         *PANEL_KEYS, "sales"), _GRID_SQL, O._future(7))
 _BOTH = {**_HOLIDAY, "onpromotion": None, "transactions": None, "sales": 6, "dcoilwtico": 6}
 _add("history_union_future", lambda v: rounded(FC.history_with_future(
-        V.lookback(v.processed()), v.tables, 7), _BOTH), rounded_sql("both", _BOTH), O._future(7))
+        V.lookback(v.processed()), v.tables, 7), _BOTH), rounded_sql("joined", _BOTH), O._future(7))
 for _h in (7, 30):
     _cols = {c: d for c, d in O.feature_columns(_h).items() if c not in ("sales", "sales_raw")}
     _add("prediction_input" if _h == 7 else "prediction_input_h30",
@@ -750,7 +750,7 @@ _add("zeros_holiday", lambda v: X.zeros_by_holiday(v.with_holidays()), """select
     round(avg(cast(sales = 0 as int)) * 100, 1) as pct_zeros from merged group by 1""")
 _add("transactions_profile", lambda v: X.transactions_profile(v.transactions), f"""
   select 'store' as kind, cast(store_nbr as varchar) as key,
-    round(avg(transactions), 6) as mean_value, null as is_max from fx_transactions group by store_nbr
+    round(avg(transactions), 6) as mean_value, cast(null as boolean) as is_max from fx_transactions group by store_nbr
   union all select 'weekday', name, mean_value, is_max from (
     {_name_sql("isodow(date) - 1", "dayname", "fx_transactions", "transactions")})""")
 _add("trans_sales", lambda v: X.trans_sales(v.merged()), "select * from store_day")

@@ -210,16 +210,16 @@ def _future(h: int) -> dict[str, str]:
           cross join (select cast(unnest(generate_series({last} + 1, {last} + {h},
             interval 1 day)) as date) as date)""",
         "future": _merged("grid", "fx_oil"),
-        "both_raw": f"""select * exclude (dcoilwtico) from hist union all by name
+        "joined_raw": f"""select * exclude (dcoilwtico) from hist union all by name
           select * exclude (dcoilwtico, transactions, holiday_type, holiday_description, transferred),
             0 as onpromotion, {_IMPUTED} from future""",
-        "both_oil": _interpolated(
+        "joined_oil": _interpolated(
             """select date, max(dcoilwtico) as dcoilwtico from
             (select date, dcoilwtico from hist union all select date, dcoilwtico from future)
             group by date"""
         ),
-        "both": "select b.*, o.dcoilwtico from both_raw b join both_oil o on b.date = o.date",
-        "f_flagged": _flagged("both"),
+        "joined": "select b.*, o.dcoilwtico from joined_raw b join joined_oil o on b.date = o.date",
+        "f_flagged": _flagged("joined"),
         f"f_days_{h}": _day_features(h, "f_flagged"),
         f"f_windowed_{h}": f"""select w.*, s.venta_media_historica, s.venta_std_historica
           from ({_windowed(h, "f_flagged", False)}) w join stats s

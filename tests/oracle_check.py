@@ -45,7 +45,7 @@ def same(left: pd.DataFrame, right: pd.DataFrame) -> str:
 
 def _text(column: pd.Series) -> pd.Series:
     def one(x) -> str:
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
             return "null"
         if isinstance(x, bool):
             return str(x)
