@@ -28,12 +28,18 @@ from shelfcast.operators.impute import fill_edges, impute_nulls, oil_by_day, oil
 from shelfcast.plans import features as P
 from shelfcast.plans import forecast as FC
 from shelfcast.plans import preprocess as PP
+from shelfcast.plans import training as TR
 from shelfcast.session import by_day, run_folder, table
 from shelfcast.sources import files
 from shelfcast.sources.retail import Retail
 
 SETTINGS = Settings(top_families=TOP_FAMILIES_TEST_TABLES)
 
+# The registered training queries boost a few rounds with large steps; the full
+# parameters are TR.PARAMS.
+SHORT_RUN = TR.TreeParams(rounds=4, step=0.4, depth=5, min_rows=20, loss="absolute", bins=64)
+_models: set[str] = set()
+
 
 class Views:
     """The derived tables queries start from, over one folder of warehouse tables."""
@@ -107,6 +113,25 @@ class Views:
             self.processed(), self.tables, horizon, self.state(), FC.naive(horizon)
         )
 
+    def prepared(self, horizon: int) -> DataFrame:
+        """Training table, written once: every fold reads it many times."""
+        written = self.written(f"features_{horizon}", lambda: self.features(horizon))
+        return TR.prepare(written, SETTINGS)
+
+    def model(self, horizon: int):
+        """Final model of the short run, fitted and saved once per application."""
+        folder = self.folder("models")
+        if f"{folder}/{horizon}" not in _models:
+            df = self.prepared(horizon)
+            fitted = TR.fit_final(df, TR.model_columns(df), SHORT_RUN, SHORT_RUN.rounds, SETTINGS)
+            files.save_state(folder, horizon, {}, fitted)
+            _models.add(f"{folder}/{horizon}")
+        return files.load_state(self.spark, folder, horizon, [])[0]
+
+    def model_forecast(self, horizon: int) -> DataFrame:
+        predict = TR.predictor(self.model(horizon))
+        return FC.forecast(self.processed(), self.tables, horizon, self.state(), predict)
+
     def folder(self, name: str) -> str:
         tag = self.retail.source.replace("/", "_").replace("#", "_")
         return run_folder(self.spark, "out", tag, name)
@@ -669,6 +694,61 @@ _add("forecast_monthly_view", lambda v: FC.monthly_view(v.naive_forecast(30)).wi
        round(sum(predicted_sales), 2) as predicted_sales from naive_forecast_30
      group by 1, 2, 3""", O._future(30))
 
+# --- model (no SQL can state these) -----------------------------------------------------
+
+
+def _fit_fold(v: Views) -> DataFrame:
+    df = v.prepared(7)
+    fold = V.walk_forward_folds(df, SETTINGS).orderBy(F.desc("fold")).first().asDict()
+    _, rounds, scored = TR.fit_fold(df, fold, TR.model_columns(df), SHORT_RUN)
+    return E.evaluate(scored, []).withColumns(
+        {"fold": F.lit(fold["fold"]), "rounds": F.lit(rounds)}
+    )
+
+
+def _train_cv(v: Views) -> DataFrame:
+    df = v.prepared(7)
+    return TR.cv_table(v.spark, TR.train_cv(df, TR.model_columns(df), SHORT_RUN, SETTINGS)[0])
+
+
+def _training_run(v: Views) -> DataFrame:
+    """Folds and final fit of the monthly model: metrics of the folds and of the holdout."""
+    df = v.prepared(30)
+    model, results, rounds = TR.train(df, 30, SHORT_RUN, SETTINGS)
+    files.save_state(v.folder("training"), 30, v.state(), model)
+    folds = E.cv_summary(TR.cv_table(v.spark, results))
+    holdout = E.evaluate(model.transform(V.holdout_split(df, SETTINGS)[1]), [])
+    scores = holdout.select(F.struct(*holdout.columns)).scalar()
+    return folds.withColumn("rounds", F.lit(rounds)).withColumn("t", scores).select(
+        *folds.columns, "rounds", *[F.col(f"t.{c}").alias(f"test_{c}") for c in holdout.columns]
+    )
+
+
+def _fit_final(v: Views) -> DataFrame:
+    model = v.model(7)
+    scored = model.transform(V.holdout_split(v.prepared(7), SETTINGS)[1])
+    return E.evaluate(scored, []).withColumn("rounds", F.lit(len(model.stages[1].treeWeights)))
+
+
+def _evaluation_run(v: Views) -> DataFrame:
+    """All reports on the holdout, written where a service would read them."""
+    reports = TR.evaluate_all(v.prepared(7), v.model(7), SETTINGS)
+    folder = v.folder("evaluation")
+    files.save_metrics(reports["family"], reports["store"], 7, folder)
+    families = files.scan_parquet(v.spark, f"{folder}/family_metrics_h7.parquet")
+    return E.worst(families, "rmse", 5, "family")
+
+
+_add("fit_fold", _fit_fold)
+_add("train_cv", _train_cv)
+_add("fit_final", _fit_final)
+_add("training_run", _training_run)
+_add("feature_importance", lambda v: E.worst(
+    TR.importance(v.model(7), v.spark), "importance", 30, "feature"))
+_add("evaluation_run", _evaluation_run)
+for _h in (7, 30):
+    _add(f"forecast_h{_h}", lambda v, h=_h: v.model_forecast(h))
+
 # --- exploration ------------------------------------------------------------------------
 
 _ZEROS_SQL = """select family, round(avg(cast(sales = 0 as int)) * 100, 1) as pct_zeros

@@ -24,6 +24,7 @@ from shelfcast.operators.folds import (
     sample_weights,
     walk_forward_folds,
 )
+from shelfcast.operators.quality import check_features
 from shelfcast.plans.features import feature_columns
 
 
@@ -90,7 +91,7 @@ def fit_fold(
         .withColumn("is_val", F.col("date") >= fold["val_start"])
         .select("features", TARGET, "weight", "is_val")
     )
-    boosting = estimator(params).setValidationIndicatorCol("is_val").setValidationTol(0.0)
+    boosting = estimator(params).setParams(validationIndicatorCol="is_val", validationTol=0.0)
     model = boosting.fit(vectors)
     return model, len(model.treeWeights), model.transform(vectors.where("is_val"))
 
@@ -137,12 +138,16 @@ def fit_final(
     return PipelineModel(stages=[step, estimator(params, rounds).fit(vectors)])
 
 
+def model_columns(prepared: DataFrame) -> list[str]:
+    return [c for c in feature_columns(prepared) if c != "weight"]
+
+
 def train(
     prepared: DataFrame, horizon: int, params: TreeParams | None = None, settings=SETTINGS
 ) -> tuple[PipelineModel, list[dict], int]:
     """Cross-validation, then the final fit with the rounds it found."""
     params = params or PARAMS[horizon]
-    columns = [c for c in feature_columns(prepared) if c != "weight"]
+    columns = model_columns(prepared)
     results, rounds = train_cv(prepared, columns, params, settings)
     return fit_final(prepared, columns, params, rounds, settings), results, rounds
 
@@ -158,10 +163,12 @@ def importance(model: PipelineModel, spark: SparkSession) -> DataFrame:
     return table.withColumn("importance_pct", F.round(F.col("importance") / total * 100, 2))
 
 
-def predictor(model: PipelineModel, horizon_columns: list[str] | None = None):
-    """Turns a model into the function a forecast takes."""
+def predictor(model: PipelineModel):
+    """The function a forecast takes. Checks that no feature of the model is missing."""
+    columns = model.stages[0].getInputCols()
 
     def predict(df: DataFrame) -> DataFrame:
+        check_features(df, columns)
         numbers = [c for c, t in df.dtypes if t == "double"]
         return model.transform(df.fillna(0.0, subset=numbers))
 
