@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from shelfcast.plans import features as P
 from shelfcast.plans import forecast as FC
 from shelfcast.plans import preprocess as PP
 from shelfcast.plans import training as TR
-from shelfcast.session import by_day, run_folder, table
+from shelfcast.session import by_day, run_folder, sized, table
 from shelfcast.sources import files
 from shelfcast.sources.retail import Retail
 
@@ -46,10 +47,45 @@ class Views:
 
     def __init__(self, spark: SparkSession, folder: str, store: str = "nation"):
         self.spark, self.retail = spark, Retail(spark, folder, store)
-        self.tables = self.retail.bundle()
-        self.train, self.oil = self.tables["train"], self.tables["oil"]
-        self.stores, self.holidays = self.tables["stores"], self.tables["holidays_events"]
-        self.transactions = self.tables["transactions"]
+
+    @cached_property
+    def train(self) -> DataFrame:
+        return self.retail.train()
+
+    @cached_property
+    def test(self) -> DataFrame:
+        return self.retail.test()
+
+    @cached_property
+    def stores(self) -> DataFrame:
+        return self.retail.stores()
+
+    @cached_property
+    def small_stores(self) -> DataFrame:
+        return sized(self.stores)
+
+    @cached_property
+    def oil(self) -> DataFrame:
+        return self.retail.oil()
+
+    @cached_property
+    def holidays(self) -> DataFrame:
+        return self.retail.holidays()
+
+    @cached_property
+    def transactions(self) -> DataFrame:
+        return self.retail.transactions()
+
+    @cached_property
+    def tables(self) -> dict[str, DataFrame]:
+        return {
+            "train": self.train,
+            "test": self.test,
+            "stores": self.stores,
+            "oil": self.oil,
+            "holidays_events": self.holidays,
+            "transactions": self.transactions,
+        }
 
     def written(self, name: str, build: Callable[[], DataFrame], **kw) -> DataFrame:
         return table(self.spark, self.retail.source, name, build, **kw)
@@ -61,7 +97,7 @@ class Views:
     def with_holidays(self) -> DataFrame:
         """Panel with stores and holidays only, for queries that read no more."""
         return join_holidays(
-            self.train.join(self.retail.small_stores(), "store_nbr", "left"), self.holidays
+            self.train.join(self.small_stores, "store_nbr", "left"), self.holidays
         )
 
     def with_locale(self) -> DataFrame:
@@ -105,14 +141,26 @@ class Views:
     def daily_oil(self) -> DataFrame:
         return X.sales_vs_oil(self.train, self.oil)
 
+    def staged(self, horizon: int) -> Callable[[DataFrame], DataFrame]:
+        """Writes the history with its future rows, bucketed like the panel."""
+        return lambda df: self.written(
+            f"combined_{horizon}", lambda: df, keys=SERIES, buckets=self.retail.buckets()
+        )
+
     def prediction_input(self, horizon: int) -> DataFrame:
-        return FC.prediction_input(self.processed(), self.tables, horizon, self.state())
+        return FC.prediction_input(
+            self.processed(), self.tables, horizon, self.state(), stage=self.staged(horizon)
+        )
 
-    def naive_forecast(self, horizon: int) -> DataFrame:
+    def forecast(self, horizon: int, predict) -> DataFrame:
         return FC.forecast(
-            self.processed(), self.tables, horizon, self.state(), FC.naive(horizon)
+            self.processed(), self.tables, horizon, self.state(), predict,
+            stage=self.staged(horizon),
         )
 
+    def naive_forecast(self, horizon: int) -> DataFrame:
+        return self.forecast(horizon, FC.naive(horizon))
+
     def prepared(self, horizon: int) -> DataFrame:
         """Training table, written once: every fold reads it many times."""
         written = self.written(f"features_{horizon}", lambda: self.features(horizon))
@@ -129,14 +177,24 @@ class Views:
         return files.load_state(self.spark, folder, horizon, [])[0]
 
     def model_forecast(self, horizon: int) -> DataFrame:
-        predict = TR.predictor(self.model(horizon))
-        return FC.forecast(self.processed(), self.tables, horizon, self.state(), predict)
+        return self.forecast(horizon, TR.predictor(self.model(horizon)))
 
     def folder(self, name: str) -> str:
         tag = self.retail.source.replace("/", "_").replace("#", "_")
         return run_folder(self.spark, "out", tag, name)
 
 
+_views: dict[tuple[str, str, str], Views] = {}
+
+
+def views(spark: SparkSession, folder: str, store: str = "nation") -> Views:
+    """One set of views per application and folder, so files are listed once."""
+    key = (spark.sparkContext.applicationId, folder, store)
+    if key not in _views:
+        _views[key] = Views(spark, folder, store)
+    return _views[key]
+
+
 Query = Callable[[Views], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -685,6 +743,9 @@ for _h in (7, 30):
          rounded_sql(f"pred_input_{_h}", _cols), O._future(_h))
     _add("forecast_interval" if _h == 7 else "forecast_interval_h30",
          lambda v, h=_h: v.naive_forecast(h), f"select * from naive_forecast_{_h}", O._future(_h))
+_add("sink_prediction_input", lambda v: (v.prediction_input(7), rounded(
+        v.written("combined_7", lambda: None), _BOTH))[1],
+     rounded_sql("joined", _BOTH), O._future(7))
 _add("predict_store", lambda v: FC.forecast_of_store(
         v.written("naive_forecast_7", lambda: v.naive_forecast(7)), 4),
      "select * from naive_forecast_7 where store_nbr = 4", O._future(7))

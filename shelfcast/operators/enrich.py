@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfcast.session import by_day, sized
+from shelfcast.session import by_day, is_small, sized
 
 HOLIDAY_COLUMNS = ["holiday_type", "holiday_description", "holiday_locale", "transferred"]
 _PLACE = {"National": None, "Regional": "state", "Local": "city"}
@@ -41,13 +41,12 @@ def split_holidays(holidays: DataFrame) -> dict[str, DataFrame]:
 def join_holidays(panel: DataFrame, holidays: DataFrame) -> DataFrame:
     """Local over regional over national, column by column; the panel keeps its rows."""
     merged = panel
+    hint = F.broadcast if is_small(holidays) else (lambda df: df)
     priority = {c: [] for c in HOLIDAY_COLUMNS}
     for locale, table in split_holidays(holidays).items():
         place = _PLACE[locale]
         renamed = table.withColumnsRenamed({c: f"{c}_{locale}" for c in HOLIDAY_COLUMNS})
-        # National has one row per day; the others may be many, so they are counted.
-        side = sized(renamed) if place else by_day(renamed)
-        merged = merged.join(side, ["date"] + ([place] if place else []), "left")
+        merged = merged.join(hint(renamed), ["date"] + ([place] if place else []), "left")
         for c in HOLIDAY_COLUMNS:
             priority[c].insert(0, f"{c}_{locale}")
     return merged.select(

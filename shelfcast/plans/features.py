@@ -63,25 +63,28 @@ def raw_features(
     """All features before rows without history are dropped.
 
     Lags, rolling, promotion and transaction columns share one window over the
-    series: one sort, and no shuffle when the panel is bucketed by series.
-    ``state["stats"]`` may be left out to compute the statistics here.
+    series: one sort, and no shuffle when the panel is bucketed by series. Text
+    becomes codes before that sort, to keep its rows short; only the family
+    stays, because it is part of the bucketing. Columns of the date alone come
+    after it. ``state["stats"]`` may be left out to compute the statistics here.
     """
-    flagged = X.holiday_flags(X.calendar_features(processed))
+    flagged = X.holiday_flags(processed)
+    coded = apply_codes(flagged, state["codes"], [c for c in ENCODED if c != "family"])
     windows = {
         **X.lag_columns(TARGET, LAGS[horizon], "lag_"),
         **X.rolling_columns(horizon),
         **X.promo_columns(horizon),
         **(X.trans_columns(horizon) if grain == "day" else {}),
     }
-    df = X.variation(flagged.withColumns(windows), horizon)
+    df = X.variation(coded.withColumns(windows), horizon)
     df = store_features(df, state["ranking"], state.get("stats"), as_of)
     if grain == "row":
         df = X.trans_row_features(X.oil_row_features(df, horizon), horizon)
-        days = X.holiday_distance(flagged.groupBy("date").agg(F.max("es_festivo").alias("es_festivo")))
-        df = X.join_days(df, days.drop("es_festivo"))
+        days = flagged.groupBy("date").agg(F.max("es_festivo").alias("es_festivo"))
+        df = X.join_days(df, X.holiday_distance(days).drop("es_festivo"))
     else:
         df = X.join_days(df, day_features(flagged, horizon))
-    df = apply_codes(df, state["codes"], ENCODED)
+    df = apply_codes(X.calendar_features(df), state["codes"], ["family"])
     return df.withColumn("transferred", F.col("transferred").cast("int"))
 
 

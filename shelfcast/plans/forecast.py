@@ -60,13 +60,18 @@ def prediction_input(
     state: dict[str, DataFrame],
     periods: int | None = None,
     settings: Settings = SETTINGS,
+    stage: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
-    """Features of the future rows. History beyond the lookback is cut before the windows."""
+    """Features of the future rows. History beyond the lookback is cut before the windows.
+
+    ``stage`` may write the combined rows and read them back, since they are
+    read several times.
+    """
     periods = periods or horizon
     if periods > horizon:
         raise ValueError("lags of the horizon do not reach that far ahead")
     history = lookback(processed, settings)
-    both = history_with_future(history, tables, periods)
+    both = stage(history_with_future(history, tables, periods))
     features = build_features(both, horizon, state)
     return features.where(F.col("date") > last_date(processed))
 
@@ -101,9 +106,10 @@ def forecast(
     predict: Callable[[DataFrame], DataFrame],
     periods: int | None = None,
     settings: Settings = SETTINGS,
+    stage: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
     """Forecast of all stores. The spread comes from the whole history."""
-    rows = predict(prediction_input(processed, tables, horizon, state, periods, settings))
+    rows = predict(prediction_input(processed, tables, horizon, state, periods, settings, stage))
     codes = state["codes"].where("column_name = 'family'").select(
         F.col("value").alias("family"), F.col("code")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 ROWS_PER_BUCKET = 1_000_000
 
-_written: dict[tuple[str, str, str], tuple[str, bool]] = {}
+_written: dict[tuple[str, str, str], DataFrame] = {}
 _run = uuid.uuid4().hex[:8]
 
 
@@ -60,7 +60,12 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
     Without the hint Spark shuffles both sides and splits skewed partitions.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if is_small(df, limit) else df
+
+
+def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Counts no further than the limit."""
+    return df.limit(limit + 1).count() <= limit
 
 
 def by_day(df: DataFrame) -> DataFrame:
@@ -100,12 +105,11 @@ def table(
                 .option("path", path)
                 .saveAsTable(catalog_name)
             )
-            _written[memo] = (catalog_name, True)
+            _written[memo] = spark.table(catalog_name)
         else:
             df.write.mode("overwrite").parquet(path)
-            _written[memo] = (path, False)
-    place, in_catalog = _written[memo]
-    return spark.table(place) if in_catalog else spark.read.parquet(place)
+            _written[memo] = spark.read.parquet(path)
+    return _written[memo]
 
 
 def bucket_count(spark: SparkSession, rows: int, groups: int) -> int:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.config import SERIES
-from shelfcast.session import bucket_count, sized, table
+from shelfcast.session import bucket_count, table
 
 # Yearly holiday rules (month, day, type, locale, locale_name,
 # description, transferred). Every year of the sales data gets one copy.
@@ -44,9 +44,12 @@ class Retail:
     def __init__(self, spark: SparkSession, folder: str, store: str = "nation"):
         self.spark, self.folder, self.store = spark, folder.rstrip("/"), store
         self.source = f"{self.folder}#{store}"
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._raw[name]
 
     def _written(self, name, build, **kw) -> DataFrame:
         return table(self.spark, self.source, name, build, **kw)
@@ -131,6 +134,9 @@ class Retail:
         return train.where(F.col("date") >= first.scalar()).drop("sales")
 
     def stores(self) -> DataFrame:
+        return self._written("stores", self._stores)
+
+    def _stores(self) -> DataFrame:
         region = self.raw("region").withColumnRenamed("r_regionkey", "n_regionkey")
         nation = self.raw("nation").join(region, "n_regionkey")
         key = F.col("n_nationkey")
@@ -182,29 +188,20 @@ class Retail:
 
     def holidays(self) -> DataFrame:
         """Holiday rules laid over every year that has sales."""
-        names = ["m", "d", "type", "locale", "locale_name", "description", "transferred"]
-        rules = F.array(
-            *[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in HOLIDAY_RULES]
-        )
-        return (
-            self.daily()
-            .select(F.year("date").alias("y"))
-            .distinct()
-            .select("y", F.explode(rules).alias("h"))
-            .select(
-                F.make_date("y", "h.m", "h.d").alias("date"), *[f"h.{n}" for n in names[2:]]
+
+        def build():
+            names = ["m", "d", "type", "locale", "locale_name", "description", "transferred"]
+            rules = F.array(
+                *[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in HOLIDAY_RULES]
+            )
+            return (
+                self.daily()
+                .select(F.year("date").alias("y"))
+                .distinct()
+                .select("y", F.explode(rules).alias("h"))
+                .select(
+                    F.make_date("y", "h.m", "h.d").alias("date"), *[f"h.{n}" for n in names[2:]]
+                )
             )
-        )
 
-    def bundle(self) -> dict[str, DataFrame]:
-        return {
-            "train": self.train(),
-            "test": self.test(),
-            "stores": self.stores(),
-            "oil": self.oil(),
-            "holidays_events": self.holidays(),
-            "transactions": self.transactions(),
-        }
-
-    def small_stores(self) -> DataFrame:
-        return sized(self.stores())
+        return self._written("holidays", build)
