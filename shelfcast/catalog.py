@@ -689,7 +689,7 @@ _add("date_positions", lambda v: V.date_positions(v.processed()).select(
      from (select distinct date from processed)""")
 _add("fold_metrics", lambda v: v.fold_metrics(), "select * from fold_metrics")
 _add("cv_summary", lambda v: E.cv_summary(v.fold_metrics()), "select " + ", ".join(
-    f"round(avg({m}), 4) as {m}_mean, round(stddev_pop({m}), 4) as {m}_std"
+    f"{O.mean_of_rounded(m)} as {m}_mean, round(stddev_pop({m}), 4) as {m}_std"
     for m in ("rmse", "mae", "mape", "rmsle", "wape")) + " from fold_metrics")
 _add("eval_global", lambda v: E.evaluate(v.holdout(), []),
      f"select {O.metrics()}, count(*) as n_rows from holdout")
@@ -709,11 +709,11 @@ _add("series_compare", lambda v: E.series_compare(v.holdout(), 4, "ECONOMY"), ""
     round(exp(sales) - 1, 6) as actual, round(exp(y_pred) - 1, 6) as predicted,
     round(abs((exp(sales) - 1) - (exp(y_pred) - 1)), 6) as abs_error
   from holdout where store_nbr = 4 and family = 'ECONOMY'""")
-_add("family_flags", lambda v: E.family_flags(v.family_metrics()), """select family, rmse,
-    round((select avg(rmse) from family_metrics), 4) as mean_rmse,
-    rmse > (select avg(rmse) from family_metrics) as above_mean from family_metrics""")
+_add("family_flags", lambda v: E.family_flags(v.family_metrics()), f"""select family, rmse,
+    mean_rmse, rmse > mean_rmse as above_mean
+  from family_metrics, (select {O.mean_of_rounded("rmse")} as mean_rmse from family_metrics)""")
 _add("metrics_summary", lambda v: E.metrics_summary(v.family_metrics()), "select " + ", ".join(
-    f"round(avg({m}), 4) as {m}" for m in ("rmse", "mae", "mape", "rmsle", "wape"))
+    f"{O.mean_of_rounded(m)} as {m}" for m in ("rmse", "mae", "mape", "rmsle", "wape"))
     + " from family_metrics")
 
 

@@ -24,3 +24,9 @@ def metric_columns(y: str, yhat: str, in_log_scale: bool = True, digits: int = 4
         "wape": F.when(total > 0, F.sum(miss) / total * 100),
     }
     return [F.round(c, digits).alias(name) for name, c in metrics.items()]
+
+
+def mean_of_rounded(name: str, digits: int = 4) -> Column:
+    """Mean of values that were rounded before, the same in any order of addition."""
+    total = F.sum(F.col(name).cast(f"decimal(24,{digits})")).cast("double")
+    return F.round(total / F.count(name), digits)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.config import METRICS, TARGET
-from shelfcast.functions.metrics import metric_columns
+from shelfcast.functions.metrics import mean_of_rounded, metric_columns
 
 
 def evaluate(df: DataFrame, by: list[str], yhat: str = "y_pred", in_log_scale=True) -> DataFrame:
@@ -52,20 +52,14 @@ def worst(df: DataFrame, metric: str, n: int, *ties: str) -> DataFrame:
 
 def cv_summary(fold_metrics: DataFrame) -> DataFrame:
     """Mean and population deviation of each metric over the folds."""
-    stats = [
-        f(F.col(m)).alias(f"{m}_{suffix}")
-        for m in METRICS
-        for suffix, f in (
-            ("mean", lambda c: F.round(F.avg(c), 4)),
-            ("std", lambda c: F.round(F.stddev_pop(c), 4)),
-        )
-    ]
-    return fold_metrics.agg(*stats)
+    means = [mean_of_rounded(m).alias(f"{m}_mean") for m in METRICS]
+    deviations = [F.round(F.stddev_pop(m), 4).alias(f"{m}_std") for m in METRICS]
+    return fold_metrics.agg(*means, *deviations)
 
 
 def metrics_summary(family_metrics: DataFrame) -> DataFrame:
     """Unweighted mean of the family metrics."""
-    return family_metrics.agg(*[F.round(F.avg(m), 4).alias(m) for m in METRICS])
+    return family_metrics.agg(*[mean_of_rounded(m).alias(m) for m in METRICS])
 
 
 def series_compare(df: DataFrame, store: int, family, yhat: str = "y_pred") -> DataFrame:
@@ -80,11 +74,11 @@ def series_compare(df: DataFrame, store: int, family, yhat: str = "y_pred") -> D
 
 def family_flags(family_metrics: DataFrame) -> DataFrame:
     """Families whose RMSE lies above the mean RMSE."""
-    mean = family_metrics.agg(F.avg("rmse")).scalar()
+    mean = family_metrics.agg(mean_of_rounded("rmse")).scalar()
     return family_metrics.select(
         "family",
         "rmse",
-        F.round(mean, 4).alias("mean_rmse"),
+        mean.alias("mean_rmse"),
         (F.col("rmse") > mean).alias("above_mean"),
     )
 

@@ -144,6 +144,10 @@ def metrics(y: str = "sales", p: str = "y_pred", log: bool = True) -> str:
       round(case when sum({y}) > 0 then sum(abs({y} - {p})) / sum({y}) * 100 end, 4) as wape"""
 
 
+def mean_of_rounded(m: str) -> str:
+    return f"round(cast(sum(cast({m} as decimal(24, 4))) as double) / count({m}), 4)"
+
+
 def feature_columns(h: int) -> dict[str, int | None]:
     """Numeric columns of a feature table with their digits (None: exact)."""
     wide = ROLLING_WINDOWS[h]

@@ -32,30 +32,29 @@ def same(left: pd.DataFrame, right: pd.DataFrame) -> str:
     if len(left) != len(right):
         return f"rows {len(left)} / {len(right)}"
     columns = sorted(left.columns)
-    keys = []
-    for df in (left, right):
-        text = pd.DataFrame({c: _text(df[c]) for c in columns})
-        keys.append(text.sort_values(columns).reset_index(drop=True))
-    differs = (keys[0] != keys[1]).any(axis=1)
+    if not len(left):
+        return ""
+    a, b = (
+        pd.DataFrame({c: _plain(df[c]) for c in columns}).sort_values(columns, ignore_index=True)
+        for df in (left, right)
+    )
+    differs = (a != b).any(axis=1)
     if not differs.any():
         return ""
     bad = differs.idxmax()
-    return f"{differs.sum()} rows differ, e.g.\n  {keys[0].loc[bad].to_dict()}\n  {keys[1].loc[bad].to_dict()}"
-
-
-def _text(column: pd.Series) -> pd.Series:
-    def one(x) -> str:
-        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
-            return "null"
-        if isinstance(x, bool):
-            return str(x)
-        if hasattr(x, "isoformat"):
-            return x.isoformat()[:10]
-        if isinstance(x, int | float) or hasattr(x, "dtype"):
-            return repr(float(x) + 0.0)
-        return str(x)
-
-    return column.astype(object).map(one)
+    return f"{differs.sum()} rows differ, e.g.\n  {a.loc[bad].to_dict()}\n  {b.loc[bad].to_dict()}"
+
+
+def _plain(column: pd.Series) -> pd.Series:
+    """Numbers as doubles, everything else as text; nulls become a value of their own."""
+    known = column.dropna()
+    if len(known) and pd.api.types.is_bool_dtype(known.infer_objects().dtype):
+        return column.astype(object).where(column.notna(), "null").astype(str)
+    if not len(known) or pd.api.types.is_numeric_dtype(known.infer_objects().dtype):
+        return pd.to_numeric(column, errors="coerce").astype("float64").fillna(-9.87654321e300) + 0.0
+    if pd.api.types.is_datetime64_any_dtype(column.dtype) or hasattr(known.iloc[0], "isoformat"):
+        return pd.to_datetime(column).dt.strftime("%Y-%m-%d").fillna("null")
+    return column.astype(object).where(column.notna(), "null").astype(str)
 
 
 def _kind(name: str) -> str:
