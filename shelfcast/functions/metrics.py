@@ -26,7 +26,11 @@ def metric_columns(y: str, yhat: str, in_log_scale: bool = True, digits: int = 4
     return [F.round(c, digits).alias(name) for name, c in metrics.items()]
 
 
-def mean_of_rounded(name: str, digits: int = 4) -> Column:
-    """Mean of values that were rounded before, the same in any order of addition."""
-    total = F.sum(F.col(name).cast(f"decimal(24,{digits})")).cast("double")
-    return F.round(total / F.count(name), digits)
+def mean_of_rounded(name: str) -> Column:
+    """Mean, to four decimals, of values that were rounded to four decimals before.
+
+    Counted in whole units, so neither the order of addition nor a binary
+    fraction decides a tie.
+    """
+    units, n = f"sum(cast(round({name} * 10000) as bigint))", f"count({name})"
+    return F.expr(f"((2 * {units} + {n}) div (2 * {n})) / 10000D")

@@ -83,23 +83,27 @@ def iqr_outliers(df: DataFrame, top: int = 10, factor: float = 3.0) -> DataFrame
     marked = df.groupBy("family", "store_nbr").agg(
         F.count_if(F.col("sales") > bound).alias("n"), F.count(F.lit(1)).alias("rows")
     )
-    total = marked.agg(
-        F.lit("total").alias("kind"),
-        F.lit("all").alias("key"),
-        F.sum("n").alias("n"),
-        F.round(F.sum("n") / F.sum("rows") * 100, 2).alias("pct"),
+    keys = F.array(
+        F.struct(F.lit("total").alias("kind"), F.lit("all").alias("key")),
+        F.struct(F.lit("family").alias("kind"), F.col("family").alias("key")),
+        F.struct(F.lit("store_nbr").alias("kind"), F.col("store_nbr").cast("string").alias("key")),
     )
-
-    def ranked(column: str) -> DataFrame:
-        per_key = marked.groupBy(F.col(column).cast("string").alias("key")).agg(F.sum("n").alias("n"))
-        return (
-            per_key.where("n > 0")
-            .orderBy(F.desc("n"), "key")
-            .limit(top)
-            .select(F.lit(column).alias("kind"), "key", "n", F.lit(None).cast("double").alias("pct"))
+    total = F.col("kind") == "total"
+    order = W.partitionBy("kind").orderBy(F.desc("n"), "key")
+    return (
+        marked.withColumn("k", F.explode(keys))
+        .groupBy("k.kind", "k.key")
+        .agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+        .where(total | (F.col("n") > 0))
+        .withColumn("place", F.row_number().over(order))
+        .where(F.col("place") <= top)  # each task keeps its best before the shuffle
+        .select(
+            "kind",
+            "key",
+            "n",
+            F.when(total, F.round(F.col("n") / F.col("rows") * 100, 2)).alias("pct"),
         )
-
-    return total.unionByName(ranked("family")).unionByName(ranked("store_nbr"))
+    )
 
 
 def boxplot(df: DataFrame, by: str) -> DataFrame:
@@ -189,12 +193,11 @@ def _by_name(df: DataFrame, number: Column, name: Column, value: str) -> DataFra
         .groupBy("position", "name")
         .agg(F.round(F.sum("s") / F.sum("n"), 6).alias("mean_value"))
     )
-    highest = means.agg(F.max("mean_value")).scalar()
-    lowest = means.agg(F.min("mean_value")).scalar()
+    every = W.partitionBy()  # at most twelve rows
     return means.withColumns(
         {
-            "is_max": F.col("mean_value") == highest,
-            "is_min": F.col("mean_value") == lowest,
+            "is_max": F.col("mean_value") == F.max("mean_value").over(every),
+            "is_min": F.col("mean_value") == F.min("mean_value").over(every),
         }
     )
 

@@ -95,13 +95,15 @@ def validation_rows(df: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     return df.join(by_day(days), "date")
 
 
-def last_date(df: DataFrame) -> Column:
-    return df.agg(F.max("date")).scalar()
+def last_date(df: DataFrame, days_back: int = 0) -> Column:
+    """Last date, or a day before it. The difference is taken inside the subquery,
+    so the scan gets a plain value to skip pages by."""
+    return df.agg(F.date_sub(F.max("date"), days_back)).scalar()
 
 
 def holdout_cutoff(df: DataFrame, settings: Settings = SETTINGS) -> Column:
     """Last training date: whole weeks back from the last date, by the calendar."""
-    return F.date_sub(last_date(df), settings.test_weeks * 7)
+    return last_date(df, settings.test_weeks * 7)
 
 
 def holdout_split(df: DataFrame, settings: Settings = SETTINGS) -> tuple[DataFrame, DataFrame]:
@@ -111,7 +113,7 @@ def holdout_split(df: DataFrame, settings: Settings = SETTINGS) -> tuple[DataFra
 
 def lookback(df: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     """History a forecast needs. Stated before the windows: Spark cannot move it below them."""
-    return df.where(F.col("date") >= F.date_sub(last_date(df), settings.lookback_days))
+    return df.where(F.col("date") >= last_date(df, settings.lookback_days))
 
 
 def sample_weights(

@@ -145,7 +145,8 @@ def metrics(y: str = "sales", p: str = "y_pred", log: bool = True) -> str:
 
 
 def mean_of_rounded(m: str) -> str:
-    return f"round(cast(sum(cast({m} as decimal(24, 4))) as double) / count({m}), 4)"
+    units = f"cast(sum(cast(round({m} * 10000) as bigint)) as bigint)"
+    return f"((2 * {units} + count({m})) // (2 * count({m}))) / 10000.0::double"
 
 
 def feature_columns(h: int) -> dict[str, int | None]:

@@ -95,25 +95,36 @@ class Retail:
         return self._written("daily", build)
 
     def train(self) -> DataFrame:
-        """Dense panel, zero filled, bucketed by series."""
-        daily = self.daily()
-        days = daily.agg(F.array_sort(F.collect_set("date")))  # at most one entry per day
-        series = daily.select(*SERIES).distinct()
+        """Dense panel, zero filled, bucketed by series.
+
+        Series and daily sales move to the buckets while they are small; the
+        zero rows are made there, so the dense rows are never shuffled.
+        """
 
         def build():
-            return (
-                series.select(*SERIES, F.explode(days.scalar()).alias("date"))
-                .join(daily, ["date", *SERIES], "left")
+            daily, n = self.daily(), self.buckets()
+            days = daily.agg(F.array_sort(F.collect_set("date")))  # at most one entry per day
+            zeros = (
+                daily.select(*SERIES)
+                .distinct()
+                .repartition(n, *SERIES)
                 .select(
-                    "date",
+                    F.explode(days.scalar()).alias("date"),
                     *SERIES,
-                    F.coalesce("sales", F.lit(0.0)).alias("sales"),
-                    F.coalesce("onpromotion", F.lit(0)).alias("onpromotion"),
+                    F.lit(0.0).alias("sales"),
+                    F.lit(0).alias("onpromotion"),
+                )
+            )
+            return (
+                zeros.unionByName(daily.repartition(n, *SERIES))
+                .groupBy("date", *SERIES)
+                .agg(
+                    F.sum("sales").alias("sales"),
+                    F.sum("onpromotion").cast("int").alias("onpromotion"),
                 )
             )
 
-        name = "train"
-        return self._written(name, build, keys=SERIES, buckets=self.buckets())
+        return self._written("train", build, keys=SERIES, buckets=self.buckets())
 
     def buckets(self) -> int:
         if not hasattr(self, "_buckets"):
