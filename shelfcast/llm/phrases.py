@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shelfcast.llm import common
 from shelfcast.llm.common import stage
@@ -150,18 +151,21 @@ def phrase_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
         kept = b" ".join(kept_words(words, removed))
         return len(words), sum(b - a for a, b in removed), hashlib.sha256(kept).hexdigest()
 
-    return repeats.with_spans(spans, "n_words long, n_removed long, kept_sha256 string", apply)
+    return repeats.with_spans(repeats.docs, spans, "n_words long, n_removed long, kept_sha256 string", apply).drop("text")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """docs, with repeated words gone from the texts.
+    """docs, all its columns, with repeated words gone from the texts.
 
     Untouched texts keep their white space, others are joined by single blanks. A
-    text whose words all go becomes empty. The column n_chars, if there, is set anew.
+    text whose words all go becomes empty; null texts stay null. The column n_chars,
+    if there, is set anew.
     """
     repeats, spans = repeated_words(docs, window, gram)
 
     def apply(text: str | None, words: list[bytes], removed: list) -> tuple:
         return (b" ".join(kept_words(words, removed)).decode() if removed else text,)
 
-    return repeats.with_spans(spans, "kept string", apply)
+    kept = repeats.with_spans(docs, spans, "__kept string", apply)
+    values = {"text": F.col("__kept"), "n_chars": F.length("__kept").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return kept.select(*[values.get(c, F.col(c)).alias(c) for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import decontaminate, jaccard, phrases, quality, segment, suffixes, tokens
+from shelfcast.llm import decontaminate, jaccard, language, licenses, phrases, quality, segment, simhash, suffixes, tokens
 
 MODEL = "piece_bpe_32k.model"
 
@@ -43,10 +43,36 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_dedup(read(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source / ten thousands / hundreds / file.
+
+    The first document of a hundred stands in for the licence file of its folder,
+    the first of ten thousand for that of the folder above.
+    """
+    i = F.col("doc_id")
+    top, low = F.floor(i / 10_000), F.floor(i / 100)
+    path = (
+        F.when(i % 10_000 == 0, F.concat_ws("/", "source", top.cast("string"), F.lit("LICENSE")))
+        .when(i % 100 == 0, F.concat_ws("/", "source", top.cast("string"), low.cast("string"), F.lit("LICENSE")))
+        .otherwise(F.concat_ws("/", "source", top.cast("string"), low.cast("string"), i.cast("string")))
+    )
+    files = read(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"))
+    found = licenses.scan(files.select("path", "text"))
+    return files.select("doc_id", "path").join(found, "path")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.document_fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
 def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.phrase_dedup(read(spark, sf_dir, "documents"))
 
@@ -59,7 +85,10 @@ QUERIES = {
         op3_decontamination,
         op4_jaccard_join,
         op5_suffix_dedup,
+        op6_license_scan,
         op7_quality,
+        op8_fingerprints,
+        op9_language_id,
         op10_phrase_dedup,
     )
 }

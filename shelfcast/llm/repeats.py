@@ -189,30 +189,36 @@ class Repeats:
         found = stage(found.select("doc_id", "p"), "anchors")
         return self.docs.join(found, "doc_id")
 
-    def with_spans(self, spans: DataFrame, extra: str, apply: Callable) -> DataFrame:
-        """Rows of docs through ``apply(tokens, removed spans)``, copies removed whole."""
+    def with_spans(self, docs: DataFrame, spans: DataFrame, extra: str, apply: Callable) -> DataFrame:
+        """docs with the columns that ``apply(text, tokens, removed spans)`` gives; copies are removed whole."""
         window, alphabet = self.alphabet.window, self.alphabet
-        by_doc = spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-        by_doc = self.copies.withColumn("copy", F.lit(True)).join(by_doc, "doc_id", "full")
+        by_doc = spans.groupBy("doc_id").agg(F.collect_list("spans").alias("__spans"))
+        by_doc = self.copies.withColumn("__copy", F.lit(True)).join(by_doc, "doc_id", "full")
         names = [x.split()[0] for x in extra.split(", ")]
+        own = [c for c in docs.columns if c not in names]
+        schema = docs.select(own).schema
+        for x in extra.split(", "):
+            schema = schema.add(x.split()[0], x.split()[1])
+        kinds = [pa.int64() if x.endswith(" long") else pa.string() for x in extra.split(", ")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for ids, texts, found, copy in common.rows(batches, "doc_id", "text", "spans", "copy"):
+            for batch in batches:
                 out = []
-                for text, blobs, whole in zip(texts, found, copy, strict=True):
-                    tokens = alphabet.tokens(text)
-                    if whole:
-                        removed = [(0, len(tokens))] if len(tokens) >= window else []
-                    else:
-                        removed = union([x for b in blobs or [] for x in np.frombuffer(b, np.int64).reshape(-1, 2).tolist()])
-                    out.append(apply(text, tokens, removed))
-                columns = zip(*out, strict=True) if out else [[]] * len(names)
-                yield pa.record_batch(
-                    [pa.array(ids, pa.int64()), *(pa.array(list(c)) for c in columns)], names=["doc_id", *names]
-                )
-
-        joined = self.docs.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans", "copy")
-        return joined.mapInArrow(run, f"doc_id long, {extra}")
+                for texts, found, copy in common.rows(iter([batch.select(["text", "__spans", "__copy"])]), "text", "__spans", "__copy"):
+                    for text, blobs, whole in zip(texts, found, copy, strict=True):
+                        tokens = alphabet.tokens(text)
+                        if whole:
+                            removed = [(0, len(tokens))] if len(tokens) >= window else []
+                        else:
+                            ends = [x for b in blobs or [] for x in np.frombuffer(b, np.int64).reshape(-1, 2).tolist()]
+                            removed = union(ends)
+                        out.append(apply(text, tokens, removed))
+                columns = list(zip(*out, strict=True)) or [[]] * len(names)
+                made = [pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)]
+                yield pa.record_batch([*(batch.column(c) for c in own), *made], names=[*own, *names])
+
+        joined = docs.join(by_doc, "doc_id", "left").select(*own, "__spans", "__copy")
+        return joined.mapInArrow(run, schema)
 
 
 def union(spans: list) -> list[tuple[int, int]]:

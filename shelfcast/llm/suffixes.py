@@ -276,4 +276,4 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
         n = sum(b - a for a, b in removed)
         return len(data), n, len(removed), hashlib.sha256(kept_bytes(data, removed)).hexdigest()
 
-    return repeats.with_spans(spans, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", apply)
+    return repeats.with_spans(repeats.docs, spans, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", apply).drop("text")
