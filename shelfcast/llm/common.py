@@ -31,7 +31,7 @@ def width(spark: SparkSession) -> int:
 class HashCache(dict):
     """64-bit hash of each key, remembered up to a bound on the entries."""
 
-    def __init__(self, bound: int = 500_000):
+    def __init__(self, bound: int = 150_000):
         super().__init__()
         self.bound = bound
 
@@ -96,7 +96,7 @@ def concat(parts: Iterable[np.ndarray], dtype: type) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
-def rows(batches: Iterator[pa.RecordBatch], *names: str, bound: int = 8 << 20) -> Iterator[tuple]:
+def rows(batches: Iterator[pa.RecordBatch], *names: str, bound: int = 4 << 20) -> Iterator[tuple]:
     """Slices of the batches holding about ``bound`` bytes, as Python lists by column."""
     for batch in batches:
         size = max(1, batch.num_rows * bound // max(1, batch.nbytes))
