@@ -26,7 +26,7 @@ GRAM = 40
 # Documents and places in each from which the ranges of the first bytes are set.
 RANGE_DOCUMENTS = 2000
 RANGE_PLACES = 32
-RUN_BYTES = 24 << 20
+RUN_BYTES = 8 << 20
 RUNS = "shard int, lcp binary, tail_n binary, tails binary, left_n binary, lefts binary, d binary, x binary, spans binary"
 
 

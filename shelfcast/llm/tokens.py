@@ -21,7 +21,7 @@ from shelfcast.llm import common
 
 BLANK = "▁"
 LIMIT = 4096
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _PARTS = re.compile(r" *[^ ]+| +$")
 
 
