@@ -21,7 +21,7 @@ from shelfcast.llm import common
 from shelfcast.llm.common import concat, stage
 from shelfcast.llm.recurring import ENTRIES, pack_entries, recurring
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 SPANS = "doc_id long, spans binary"
 _BYTE = common.mix(np.arange(1, 257, dtype=np.uint64) * common.MULTIPLIER)
 
