@@ -24,8 +24,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def width(spark: SparkSession) -> int:
-    """Buckets of an exchange: as many as the session shuffles into, made odd."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions")) | 1
+    """Buckets of an exchange: two for each partition the session shuffles into, made odd."""
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) | 1
 
 
 class HashCache(dict):
