@@ -15,9 +15,21 @@ from shelfcast.session import run_folder
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+# Rows of a batch that goes to Python: texts are long, and both sides hold a batch whole.
+BATCH_ROWS = 500
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Has the session hand rows to Python in batches of a few megabytes of text."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+    spark = small_batches(df).sparkSession
     path = run_folder(spark, "llm", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -117,7 +117,7 @@ def scored(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -
     named score or predicted is replaced.
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    shared = docs.sparkSession.sparkContext.broadcast(weights)  # size fixed by the bits
+    shared = common.small_batches(docs).sparkSession.sparkContext.broadcast(weights)  # size fixed by the bits
     bits = (len(weights) - 1).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

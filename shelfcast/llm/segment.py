@@ -297,6 +297,7 @@ def sampled_segmentations(docs: DataFrame, model: str, k: int = SAMPLES, seed: i
     null doc_id counts as -1. Null and empty texts have one segmentation, without ids.
     """
     data = Path(model).read_bytes()
+    common.small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spellings = Spellings(data)

@@ -89,6 +89,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
                 }
             )
 
+    common.small_batches(docs)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     return docs.select("doc_id", size, "text").mapInArrow(
         run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
