@@ -95,7 +95,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, phra
 
     def batch(held: dict) -> pa.RecordBatch:
         keys = list(held)
-        places = [sorted(x) for x in held.values()]
+        places = [sorted(set(x)) for x in held.values()]  # a repeated row brings the same place again
         return pa.record_batch(
             {
                 "shard": pa.array([g % shards for g, _ in keys], pa.int32()),

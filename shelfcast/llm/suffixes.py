@@ -191,15 +191,16 @@ def _resolve(group: list[tuple], lcp: int, window: int, removed: dict) -> None:
     """
     if len(group) == 1:
         return
+    group = sorted(set(group))  # a repeated row brings the same place again
     if len(group) == 2:
-        (_, _, l0, r0), (d, x, l1, r1) = sorted(group)
+        (_, _, l0, r0), (d, x, l1, r1) = group
         near = max(window - lcp, window - len(r0), window - len(r1), 0)
         far = min(common_suffix(l0, l1), len(l0), len(l1))
         if near <= far:
             removed.setdefault(d, []).append((x - far, x - near + window))
         return
     seen = set()
-    for d, x, left, right in sorted(group):
+    for d, x, left, right in group:
         for o in range(window - len(right), len(left) + 1):
             key = left[len(left) - o :] + right[: window - o]
             if key in seen:
