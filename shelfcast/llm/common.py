@@ -68,13 +68,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def squeeze(data: bytes) -> bytes:
+    """Compressed here, so that Spark holds and moves the small form."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.Codec("zstd").decompress(data[8:], decompressed_size=size, asbytes=True)
+
+
 def planes(a: np.ndarray) -> bytes:
     """Bytes of equal weight side by side, so that small integers compress."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+    return squeeze(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
 
 
 def from_planes(data: bytes, dtype: type) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
+    size, data = np.dtype(dtype).itemsize, unsqueeze(data)
     flat = np.frombuffer(data, np.uint8).reshape(size, len(data) // size)
     return np.ascontiguousarray(flat.T).view(dtype).ravel()
 

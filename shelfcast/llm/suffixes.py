@@ -152,9 +152,9 @@ class _Run:
                     k,
                     np.array(lcp, np.uint8).tobytes(),
                     np.array([len(t) for t in tails], np.uint8).tobytes(),
-                    b"".join(tails),
+                    common.squeeze(b"".join(tails)),
                     np.array([len(left) for _, left in keys], np.uint8).tobytes(),
-                    b"".join(left for _, left in keys),
+                    common.squeeze(b"".join(left for _, left in keys)),
                     common.pack_ids(places[:, 0]),
                     common.planes(places[:, 1].astype(np.uint64)),
                     np.array(removed.get(k, []), np.int64).tobytes(),
@@ -174,10 +174,10 @@ def _cut(lengths: bytes, data: bytes) -> list[bytes]:
 def _decode(row: dict) -> tuple:
     lcp = list(row["lcp"])
     strings, last = [], b""
-    for n, tail in zip(lcp, _cut(row["tail_n"], row["tails"]), strict=True):
+    for n, tail in zip(lcp, _cut(row["tail_n"], common.unsqueeze(row["tails"])), strict=True):
         last = last[:n] + tail
         strings.append(last)
-    lefts = _cut(row["left_n"], row["lefts"])
+    lefts = _cut(row["left_n"], common.unsqueeze(row["lefts"]))
     d = common.unpack_ids(row["d"]).tolist()
     x = common.from_planes(row["x"], np.uint64).tolist()
     return lcp, strings, lefts, d, x
