@@ -92,7 +92,7 @@ def champion_challenger(
     Both inputs are one-row metric tables.
     """
     after = challenger.select(metric).scalar()
-    gained = (F.col("before") - F.col("after")) / F.col("before") * 100
+    gained = F.try_divide(F.col("before") - F.col("after"), F.col("before")) * 100
     return champion.select(F.col(metric).alias("before"), after.alias("after")).select(
         "before",
         "after",

@@ -29,12 +29,12 @@ def with_flags(merged: DataFrame) -> DataFrame:
 
 
 def _join_groups(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    """Join two aggregates; a null group is a group too."""
+    """Add an aggregate to another; a null group is a group too, and none is lost."""
     renamed = right.withColumnsRenamed({c: f"_{c}" for c in by})
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return left.join(renamed, same).drop(*[f"_{c}" for c in by])
+    return left.join(renamed, same, "left").drop(*[f"_{c}" for c in by])
 
 
 # --- distributions --------------------------------------------------------------
@@ -119,7 +119,7 @@ def boxplot(df: DataFrame, by: str) -> DataFrame:
     values = df.select(by, "sales").distinct()
     inside = F.col("sales").between(F.col("lo"), F.col("hi"))
     return (
-        values.join(fences, by)
+        _join_groups(values, fences, [by])
         .where(inside)
         .groupBy(by, "q1", "median", "q3")
         .agg(F.min("sales").alias("whisker_low"), F.max("sales").alias("whisker_high"))
@@ -191,7 +191,7 @@ def _by_name(df: DataFrame, number: Column, name: Column, value: str) -> DataFra
     means = (
         per_day.withColumns({"position": number, "name": name})
         .groupBy("position", "name")
-        .agg(F.round(F.sum("s") / F.sum("n"), 6).alias("mean_value"))
+        .agg(F.round(F.try_divide(F.sum("s"), F.sum("n")), 6).alias("mean_value"))
     )
     every = W.partitionBy()  # at most twelve rows
     return means.withColumns(
@@ -323,7 +323,8 @@ def holiday_detail(merged: DataFrame) -> DataFrame:
         .groupBy("holiday_description")
         .agg(mean.alias("mean"), F.count("sales").alias("n"))
         .withColumn(
-            "vs_baseline", F.round((F.col("mean") - baseline) / baseline * 100, 1)
+            "vs_baseline",
+            F.round(F.try_divide(F.col("mean") - baseline, baseline) * 100, 1),
         )
     )
 

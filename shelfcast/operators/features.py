@@ -185,11 +185,12 @@ def trans_row_features(panel: DataFrame, horizon: int) -> DataFrame:
 # --- stores and series --------------------------------------------------------
 
 
-def series_stats(df: DataFrame) -> DataFrame:
-    """Mean and standard deviation of the log target per series."""
+def series_stats(df: DataFrame, as_of=None) -> DataFrame:
+    """Mean and standard deviation of the log target per series, up to ``as_of``."""
+    value = F.col(TARGET) if as_of is None else F.when(F.col("date") <= as_of, F.col(TARGET))
     return df.groupBy(*SERIES).agg(
-        F.avg(TARGET).alias("venta_media_historica"),
-        F.stddev_samp(TARGET).alias("venta_std_historica"),
+        F.avg(value).alias("venta_media_historica"),
+        F.stddev_samp(value).alias("venta_std_historica"),
     )
 
 
@@ -217,7 +218,9 @@ def store_ranking(df: DataFrame, as_of=None, bands: int = 4096) -> DataFrame:
     total = F.round(F.coalesce(F.sum(TARGET), F.lit(0.0)), 6).alias("total")
     totals = rows.groupBy("store_nbr").agg(total)
     ends = totals.agg(F.struct(F.max("total").alias("top"), F.min("total").alias("low"))).scalar()
-    share = (F.col("ends.top") - F.col("total")) / (F.col("ends.top") - F.col("ends.low"))
+    share = F.try_divide(
+        F.col("ends.top") - F.col("total"), F.col("ends.top") - F.col("ends.low")
+    )  # null if all totals are equal
     ties = (
         totals.groupBy("total")
         .agg(F.count(F.lit(1)).alias("n"))

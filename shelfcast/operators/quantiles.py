@@ -56,8 +56,12 @@ def exact_quantiles(
     )
     inside = W.partitionBy(*by, "name", "rank").orderBy("_v")
     upto = F.col("_before") + F.sum("_n").over(inside.rowsBetween(W.unboundedPreceding, 0))
+    held = hits.withColumnsRenamed({c: f"_of_{c}" for c in [*by, "_band"]})
+    same = F.col("_band") == F.col("_of__band")
+    for c in by:  # a null group is a group too
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
     picked = (
-        freq.join(hits, [*by, "_band"])
+        freq.join(held, same)
         .withColumn("_upto", upto)
         .where((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_n")))
     )

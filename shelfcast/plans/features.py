@@ -18,7 +18,7 @@ def fit_state(processed: DataFrame, as_of: Column | None = None) -> dict[str, Da
     return {
         "codes": fit_codes(X.holiday_flags(processed), ENCODED),
         "ranking": X.store_ranking(processed, as_of),
-        "stats": X.series_stats(processed),
+        "stats": X.series_stats(processed, as_of),
     }
 
 

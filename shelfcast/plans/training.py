@@ -160,7 +160,7 @@ def importance(model: PipelineModel, spark: SparkSession) -> DataFrame:
     pairs = F.explode(F.arrays_zip(names.alias("feature"), vector_to_array("v").alias("importance")))
     table = vector.select(pairs.alias("p")).select("p.feature", "p.importance")
     total = table.agg(F.sum("importance")).scalar()
-    return table.withColumn("importance_pct", F.round(F.col("importance") / total * 100, 2))
+    return table.withColumn("importance_pct", F.round(F.try_divide(F.col("importance"), total) * 100, 2))
 
 
 def predictor(model: PipelineModel):

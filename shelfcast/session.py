@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,6 +16,7 @@ BROADCAST_ROWS = 500_000
 ROWS_PER_BUCKET = 1_000_000
 
 _written: dict[tuple[str, str, str], DataFrame] = {}
+_own_folder: dict[str, str] = {}
 _run = uuid.uuid4().hex[:8]
 
 
@@ -39,13 +41,16 @@ def build_session(cpus: int | str = "*", app: str = "shelfcast", **conf: str) ->
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors see. Only a local session without one gets its own."""
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="shelfcast-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        if context.applicationId not in _own_folder:
+            _own_folder[context.applicationId] = tempfile.mkdtemp(prefix="shelfcast-")
+        folder = _own_folder[context.applicationId]
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 
@@ -113,6 +118,7 @@ def table(
 
 
 def bucket_count(spark: SparkSession, rows: int, groups: int) -> int:
-    """Enough buckets for the cores and the rows, never more than there are keys."""
+    """Enough buckets for the cores and the rows, never more than keys or than Spark allows."""
     wanted = max(spark.sparkContext.defaultParallelism, rows // ROWS_PER_BUCKET + 1)
-    return max(1, min(groups, wanted))
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    return max(1, min(groups, wanted, most))

@@ -27,7 +27,11 @@ def scan_csv(spark: SparkSession, name: str, folder: str) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
     ddl = ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in header.columns)
     return (
-        spark.read.schema(ddl).option("header", True).csv(path).select(*schema.fieldNames())
+        spark.read.schema(ddl)
+        .option("header", True)
+        .option("mode", "FAILFAST")  # a value that does not parse raises
+        .csv(path)
+        .select(*schema.fieldNames())
     )
 
 
