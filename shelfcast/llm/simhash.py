@@ -1,9 +1,8 @@
 """Document fingerprints: SimHash over weighted word pairs, in Spark expressions only.
 
-Each pair of neighbouring words votes with its weight on 124 bits, by two hashes.
-Two counters of 31 bits share a long: ``shiftright(hash, j) & MASK`` picks bits j and
-j + 31, so 31 sums of longs hold 62 counters. A text of two gigabytes, the longest
-that a row can hold, has fewer votes than a counter takes.
+Each pair of neighbouring words votes with its weight on 126 bits, by two hashes.
+Three counters of 21 bits share a long: ``shiftright(hash, j) & MASK`` picks bits j,
+j + 21 and j + 42, so 21 sums of longs hold 63 counters.
 """
 
 from __future__ import annotations
@@ -15,10 +14,12 @@ from pyspark.sql import functions as F
 
 from shelfcast.llm.common import stage
 
-LANE = 31
-MASK = 1 | 1 << LANE
-HALF = 2 * LANE
+LANE = 21
+MASK = 1 | 1 << LANE | 1 << 2 * LANE
+HALF = 63
 BITS = 2 * HALF
+# Pairs of one sum: with weights up to 2 a counter stays below 2^21.
+CHUNK = 1 << 19
 # Words this long are telling; a pair of them votes twice.
 LONG_WORD = 4
 RADIUS = 3
@@ -27,7 +28,7 @@ QUERY_EVERY = 50
 
 
 def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, high, low: two halves of 62 bits of the fingerprint of each row of (keys, text).
+    """keys, high, low: two halves of 63 bits of the fingerprint of each row of (keys, text).
 
     keys identify a row. Words end at white space. Texts without words, and null
     texts, have no votes: both halves are 0. Ties vote 0.
@@ -35,24 +36,30 @@ def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
     trimmed = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0B\f\r"))
     words = texts.select(*keys, F.split(trimmed, r"[ \t\n\x0B\f\r]+", -1).alias("a"))
     words = words.select(*keys, "a", F.slice("a", F.lit(2), F.size("a")).alias("b"))
-    rows = words.select(*keys, F.explode(F.arrays_zip("a", "b")).alias("pair"))
+    rows = words.select(*keys, F.posexplode(F.arrays_zip("a", "b")).alias("pos", "pair"))
     a, b = F.col("pair.a"), F.col("pair.b")
     telling = (F.length(a) >= LONG_WORD) & (F.length(b) >= LONG_WORD)
     weight = F.when(a == "", 0).when(telling, 2).otherwise(1).cast("long")
-    hashes = (F.xxhash64(a, b).alias("h0"), F.xxhash64(b, F.lit(1), a).alias("h1"))
-    rows = rows.select(*keys, weight.alias("w"), *hashes)
+    rows = rows.select(
+        *keys, F.floor(F.col("pos") / CHUNK).alias("chunk"), weight.alias("w"),
+        F.xxhash64(a, b).alias("h0"), F.xxhash64(b, F.lit(1), a).alias("h1"),
+    )
     lanes = [
         F.sum(F.shiftright(f"h{half}", j).bitwiseAND(F.lit(MASK)) * F.col("w")).alias(f"s{half}_{j}")
         for half in (0, 1)
         for j in range(LANE)
     ]
-    votes = rows.groupBy(*keys).agg(F.sum("w").alias("total"), *lanes)
-
-    def count(half: int, i: int) -> Column:
-        return F.shiftright(f"s{half}_{i % LANE}", i - i % LANE).bitwiseAND(F.lit((1 << LANE) - 1))
+    sums = rows.groupBy(*keys, "chunk").agg(F.sum("w").alias("total"), *lanes)
+    counts = [
+        F.sum(F.shiftright(f"s{half}_{j}", LANE * part).bitwiseAND(F.lit((1 << LANE) - 1))).alias(f"c{half}_{j + LANE * part}")
+        for half in (0, 1)
+        for part in (0, 1, 2)
+        for j in range(LANE)
+    ]
+    votes = sums.groupBy(*keys).agg(F.sum("total").alias("total"), *counts)
 
     def half(which: int) -> Column:
-        bits = [F.when(count(which, i) * 2 > F.col("total"), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(HALF)]
+        bits = [F.when(F.col(f"c{which}_{i}") * 2 > F.col("total"), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(HALF)]
         return reduce(Column.bitwiseOR, bits)
 
     return votes.select(*keys, half(0).alias("high"), half(1).alias("low"))
