@@ -39,6 +39,7 @@ class TreeParams:
     loss: str
     bins: int = 255
     seed: int = 42
+    patience: int = 150
 
 
 # Fixed values of the two models. Leaves become a depth (63 leaves: 6, 31
@@ -77,12 +78,28 @@ def assembler(columns: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=columns, outputCol="features")
 
 
+def best_round(losses: list[float], patience: int) -> int:
+    """Rounds up to the least loss; the search ends after ``patience`` rounds without a lower one.
+
+    Ties go to the earlier round. No losses give 0.
+    """
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return min(best + 1, len(losses))
+
+
 def fit_fold(
     prepared: DataFrame, fold: dict, columns: list[str], params: TreeParams
 ) -> tuple[GBTRegressionModel, int, DataFrame]:
-    """Fit on the training days of a fold until its validation loss stops falling.
+    """Fit on the training days of a fold, with the rounds that its validation days choose.
 
-    Spark watches the marked rows and keeps the rounds with the least loss.
+    Spark's own early stop ends at the first round without a gain, so all rounds
+    are fitted and their losses on the validation rows decide. A fit with fewer
+    rounds and the same seed has the first trees of the longer one.
     Returns the model, the number of rounds kept and the scored validation rows.
     """
     vectors = (
@@ -91,9 +108,12 @@ def fit_fold(
         .withColumn("is_val", F.col("date") >= fold["val_start"])
         .select("features", TARGET, "weight", "is_val")
     )
-    boosting = estimator(params).setParams(validationIndicatorCol="is_val", validationTol=0.0)
-    model = boosting.fit(vectors)
-    return model, len(model.treeWeights), model.transform(vectors.where("is_val"))
+    known, held = vectors.where("not is_val"), vectors.where("is_val")
+    model = estimator(params).fit(known)
+    kept = best_round(model.evaluateEachIteration(held, params.loss), params.patience)
+    if kept < params.rounds:
+        model = estimator(params, kept).fit(known)
+    return model, kept, model.transform(held)
 
 
 def train_cv(

@@ -141,6 +141,29 @@ def test_training_state_round_trip_and_forecast(spark, tables, processed, state,
     assert reports["date"].count() == 7
 
 
+@pytest.mark.parametrize(
+    ("losses", "patience", "kept"),
+    [
+        ([5.0, 3.0, 4.0, 4.5, 2.0, 6.0], 3, 5),  # dips, rises, dips lower
+        ([5.0, 3.0, 4.0, 4.5, 2.0, 6.0], 2, 2),
+        ([5.0, 3.0, 3.0, 3.0], 150, 2),
+        ([4.0, 3.0, 2.0], 1, 3),
+        ([1.0], 150, 1),
+        ([], 150, 0),
+    ],
+)
+def test_best_round_waits(losses, patience, kept):
+    assert TR.best_round(losses, patience) == kept
+
+
+def test_shorter_fit_has_the_first_trees_of_the_longer(spark):
+    rows = spark.range(300).selectExpr("id % 17 + 0.5 * (id % 5) as sales", "cast(id % 17 as double) a", "cast(id % 5 as double) b", "1.0d as weight")
+    rows = TR.assembler(["a", "b"]).transform(rows).coalesce(1)
+    long, short = TR.estimator(PARAMS).fit(rows), TR.estimator(PARAMS, 2).fit(rows)
+    losses = long.evaluateEachIteration(rows, PARAMS.loss)
+    assert short.evaluateEachIteration(rows, PARAMS.loss) == pytest.approx(losses[:2])
+
+
 def test_forecast_of_one_store_keeps_the_codes_of_training(spark, tables, processed, state):
     whole = FC.forecast(processed, tables, 7, state, FC.naive(7), settings=SETTINGS)
     one = FC.forecast(
