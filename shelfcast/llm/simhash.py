@@ -79,30 +79,33 @@ def shown(high: Column, low: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, nth, text, next_id, next_text): each document and the one after it.
+    """(block, doc_id, nth, text, next_id, next_text): each document and the one after it.
 
     The order is by falling doc_id, null last, around from the last to the first;
     nth tells rows of one doc_id apart. Documents are ordered in blocks of ids; the
-    first of each block is what the block before leads to.
+    first of each block is what the block before leads to. Rows stay distributed by
+    block, so what is grouped by block and more needs no further shuffle.
     """
     block = F.coalesce(F.floor(F.col("doc_id") / BLOCK), F.lit(-(1 << 62))).alias("block")
     rows = docs.select("doc_id", "text", block)
-    order = [F.desc_nulls_last("doc_id"), F.asc_nulls_last("text")]
-    inside = Window.partitionBy("block").orderBy(*order)
+    by_id = F.desc_nulls_last("doc_id")
+    inside = Window.partitionBy("block").orderBy(by_id, F.asc_nulls_last("text"))
     after = F.lead(F.struct("doc_id", "text")).over(inside)
-    nth = F.row_number().over(Window.partitionBy("block", "doc_id").orderBy(F.asc_nulls_last("text")))
-    rows = rows.select("*", after.alias("after"), F.row_number().over(inside).alias("place"), nth.alias("nth"))
+    rows = rows.select("*", after.alias("after"), F.row_number().over(inside).alias("place"))
+    # the rank of an id holds in the same sort
+    rank = F.rank().over(Window.partitionBy("block").orderBy(by_id))
+    rows = rows.withColumn("nth", F.col("place") - rank + 1)
     firsts = rows.where("place = 1").select("block", F.struct("doc_id", "text").alias("first"))
     # one row per block of ids
     blocks = docs.select(block).distinct()
     every = Window.orderBy(F.desc("block"))
-    top = blocks.agg(F.max("block").alias("top"))
-    following = blocks.select("block", F.lead("block").over(every).alias("following")).join(F.broadcast(top))
-    following = following.select("block", F.coalesce("following", "top").alias("following"))
+    top = blocks.agg(F.max("block")).scalar()
+    following = blocks.select("block", F.lead("block").over(every).alias("following"))
+    following = following.select("block", F.coalesce("following", top).alias("following"))
     leads = following.join(firsts.withColumnRenamed("block", "following"), "following").select("block", "first")
-    last = rows.where("after is null").drop("after").join(leads, "block").withColumnRenamed("first", "after")
-    rows = rows.where("after is not null").unionByName(last)
-    return rows.select("doc_id", "nth", "text", F.col("after.doc_id").alias("next_id"), F.col("after.text").alias("next_text"))
+    after = F.coalesce("after", "first").alias("after")
+    rows = rows.join(leads, "block", "left").select("block", "doc_id", "nth", "text", after)
+    return rows.select("block", "doc_id", "nth", "text", F.col("after.doc_id").alias("next_id"), F.col("after.text").alias("next_text"))
 
 
 def near_counts(prints: DataFrame, radius: int = RADIUS, every: int = QUERY_EVERY) -> DataFrame:
@@ -159,8 +162,8 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
         F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - third),
         F.substring(F.col("next_text"), F.lit(1), third),
     )
-    keys = ["doc_id", "nth", "next_id", "n_chars", "edited_sha256", "kind"]
-    rows = rows.select("doc_id", "nth", "next_id", "n_chars", "text", edited.alias("edited"))
+    keys = ["block", "doc_id", "nth", "next_id", "n_chars", "edited_sha256", "kind"]
+    rows = rows.select("block", "doc_id", "nth", "next_id", "n_chars", "text", edited.alias("edited"))
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
     rows = rows.select(*keys[:-1], F.posexplode(F.array("text", "edited")).alias("kind", "text"))
     prints = fingerprints(rows, keys)
