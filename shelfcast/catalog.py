@@ -123,14 +123,15 @@ class Views:
     def features(self, horizon: int, grain: str = "day") -> DataFrame:
         return P.build_features(self.processed(), horizon, self.state(stats=False), grain)
 
-    def naive(self) -> DataFrame:
-        """Processed panel with the value of a week ago as the prediction."""
-        lags = {"y_pred": F.lag("sales", 7), "y_year": F.lag("sales", 364)}
+    def naive(self, year: bool = False) -> DataFrame:
+        """Processed panel with the value of a week ago as the prediction, and that of a year ago."""
+        lags = {"y_pred": F.lag("sales", 7)} | ({"y_year": F.lag("sales", 364)} if year else {})
         df = self.processed().withColumns({n: c.over(G.by_series()) for n, c in lags.items()})
         return df.dropna(subset=list(lags))
 
-    def holdout(self) -> DataFrame:
-        return V.holdout_split(self.naive())[1]
+    def holdout(self, year: bool = False) -> DataFrame:
+        """Rows after the cutoff, which comes from the panel: the lags need no second pass for it."""
+        return self.naive(year).where(F.col("date") > V.holdout_cutoff(self.processed()))
 
     def fold_metrics(self) -> DataFrame:
         return E.evaluate(V.validation_rows(self.naive()), ["fold"])
@@ -151,6 +152,11 @@ class Views:
             f"combined_{horizon}", lambda: df, keys=SERIES, buckets=self.retail.buckets()
         )
 
+    def combined(self, horizon: int) -> DataFrame:
+        """History with its future rows, as the prediction reads them."""
+        history = V.lookback(self.processed())
+        return self.staged(horizon)(FC.history_with_future(history, self.tables, horizon))
+
     def prediction_input(self, horizon: int) -> DataFrame:
         return FC.prediction_input(
             self.processed(), self.tables, horizon, self.state(), stage=self.staged(horizon)
@@ -540,7 +546,7 @@ _add("holdout_split", _split, """select case when date <= m - 56 then 'train' el
   from processed, (select max(date) as m from processed) group by 1""")
 _add("lookback_history",
      lambda v: rounded(V.lookback(v.processed()), _digits(["sales", "dcoilwtico"])),
-     rounded_sql("(select * from processed where date >= (select max(date) from processed) - 365)",
+     rounded_sql(f"(select * from processed where date >= {O.LOOKBACK})",
                  _digits(["sales", "dcoilwtico"])))
 _add("event_window", lambda v: X.event_window(v.train, "1999-04-16"), """select date,
     sum(sales) as total_sales from fx_train
@@ -683,8 +689,8 @@ _add("label_encode", _encoded,
 
 # --- folds and evaluation ------------------------------------------------------------------
 
-_add("walk_forward_folds", lambda v: V.walk_forward_folds(v.naive()), "select * from folds")
-_add("fold_description", lambda v: V.describe_folds(V.walk_forward_folds(v.naive())), """
+_add("walk_forward_folds", lambda v: V.walk_forward_folds(v.features(7)), "select * from folds")
+_add("fold_description", lambda v: V.describe_folds(V.walk_forward_folds(v.features(7))), """
   select fold, 'train' as role, train_start as start_date, train_end as end_date, n_train as n_rows
   from folds union all select fold, 'val', val_start, val_end, n_val from folds""")
 _add("date_positions", lambda v: V.date_positions(v.processed()).select(
@@ -722,15 +728,15 @@ _add("metrics_summary", lambda v: E.metrics_summary(v.saved_family_metrics()), "
 
 
 def _decision(v: Views) -> DataFrame:
-    rows = v.holdout()
+    rows = v.holdout(year=True)
     return E.champion_challenger(E.evaluate(rows, []), E.evaluate(rows, [], yhat="y_year"))
 
 
 _add("champion_challenger", _decision, f"""select before, after,
     round((before - after) / before * 100, 4) as gain_pct,
     (before - after) / before * 100 >= 1.0 as accepted
-  from (select rmse as before from (select {O.metrics()} from holdout)),
-       (select rmse as after from (select {O.metrics(p="y_year")} from holdout))""")
+  from (select rmse as before from (select {O.metrics()} from holdout_year)),
+       (select rmse as after from (select {O.metrics(p="y_year")} from holdout_year))""")
 
 # --- forecast -----------------------------------------------------------------------------
 
@@ -747,8 +753,7 @@ for _h in (7, 30):
          rounded_sql(f"pred_input_{_h}", _cols), O._future(_h))
     _add("forecast_interval" if _h == 7 else "forecast_interval_h30",
          lambda v, h=_h: v.naive_forecast(h), f"select * from naive_forecast_{_h}", O._future(_h))
-_add("sink_prediction_input", lambda v: (v.prediction_input(7), rounded(
-        v.written("combined_7", lambda: None), _BOTH))[1],
+_add("sink_prediction_input", lambda v: rounded(v.combined(7), _BOTH),
      rounded_sql("joined", _BOTH), O._future(7))
 _add("predict_store", lambda v: FC.forecast_of_store(
         v.written("naive_forecast_7", lambda: v.naive_forecast(7)), 4),

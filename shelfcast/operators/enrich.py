@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfcast.operators.impute import prices
 from shelfcast.session import by_day, is_small, sized
 
 HOLIDAY_COLUMNS = ["holiday_type", "holiday_description", "holiday_locale", "transferred"]
@@ -69,7 +70,7 @@ def enrich_panel(
     """
     merged = (
         panel.join(sized(stores), "store_nbr", "left")
-        .join(by_day(oil), "date", "left")
+        .join(by_day(prices(oil)), "date", "left")
         .join(sized(transactions), ["date", "store_nbr"], "left")
     )
     columns = [

@@ -112,8 +112,12 @@ def holdout_split(df: DataFrame, settings: Settings = SETTINGS) -> tuple[DataFra
 
 
 def lookback(df: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    """History a forecast needs. Stated before the windows: Spark cannot move it below them."""
-    return df.where(F.col("date") >= last_date(df, settings.lookback_days))
+    """History a forecast needs: the last days that have rows, since lags count rows.
+
+    Stated before the windows: Spark cannot move it below them.
+    """
+    days = df.select("date").distinct().orderBy(F.desc("date")).limit(settings.lookback_days + 1)
+    return df.where(F.col("date") >= days.agg(F.min("date")).scalar())
 
 
 def sample_weights(

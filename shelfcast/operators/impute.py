@@ -70,9 +70,14 @@ def fill_edges(df: DataFrame, value: str, keys: list[str], order: list[str]) ->
     )
 
 
+def prices(oil: DataFrame) -> DataFrame:
+    """One row per day: of several prices of a day the highest counts."""
+    return oil.groupBy("date").agg(F.max("dcoilwtico").alias("dcoilwtico"))
+
+
 def oil_by_day(days: DataFrame, oil: DataFrame, edges: bool = True) -> DataFrame:
     """Interpolated price for each of the given days (one row per calendar day)."""
-    return interpolate(days.join(by_day(oil), "date", "left"), "dcoilwtico", [], ["date"], edges)
+    return interpolate(days.join(by_day(prices(oil)), "date", "left"), "dcoilwtico", [], ["date"], edges)
 
 
 def oil_by_row(panel: DataFrame, oil: DataFrame) -> DataFrame:
@@ -81,7 +86,7 @@ def oil_by_row(panel: DataFrame, oil: DataFrame) -> DataFrame:
     The price is known per day, so the neighbouring known rows follow from the
     day table of a store; only the position of a row is worked out per row.
     """
-    days = day_positions(panel).join(by_day(oil), "date", "left")
+    days = day_positions(panel).join(by_day(prices(oil)), "date", "left")
     _, before, after = _windows(["store_nbr"], ["date"])
     price = F.col("dcoilwtico")
 

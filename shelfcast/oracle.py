@@ -6,6 +6,8 @@ from shelfcast.config import HOLIDAY_IMPACT, LAGS, ROLLING_WINDOWS
 from shelfcast.sources.retail import HOLIDAY_RULES
 
 SER = "partition by store_nbr, family order by date"
+LOOKBACK = """(select min(date) from (
+  select distinct date from processed order by date desc limit 366))"""
 
 
 def _rules() -> str:
@@ -209,7 +211,7 @@ def _windowed(h: int, source: str, stats: bool) -> str:
 def _future(h: int) -> dict[str, str]:
     last = "(select max(date) from processed)"
     return {
-        "hist": f"select * from processed where date >= {last} - 365",
+        "hist": f"select * from processed where date >= {LOOKBACK}",
         "grid": f"""select date, store_nbr, family, 0.0 as sales
           from (select distinct store_nbr, family from hist)
           cross join (select cast(unnest(generate_series({last} + 1, {last} + {h},
@@ -310,15 +312,22 @@ STEPS: dict[str, str] = {
             f"features_{h}": _coded(h, f"windowed_{h}", f"days_{h}"),
         }.items()
     },
-    "naive": f"""select * from (select *, lag(sales, 7) over ({SER}) as y_pred,
+    "naive": f"""select * from (select *, lag(sales, 7) over ({SER}) as y_pred from processed)
+      where y_pred is not null""",
+    "naive_year": f"""select * from (select *, lag(sales, 7) over ({SER}) as y_pred,
         lag(sales, 364) over ({SER}) as y_year from processed)
       where y_pred is not null and y_year is not null""",
+    "day_pos_naive": """select date, row_number() over (order by date) - 1 as pos, count(*) over () as n
+      from (select distinct date from naive)""",
+    "fold_days_naive": """select *, cast(5 - b as int) as fold from (
+        select *, (n - 57 - pos) // 28 as b from day_pos_naive where pos < n - 56)
+      where b < 5 and n - 56 - (b + 1) * 28 > 0""",
     "day_pos": """select date, n_rows, row_number() over (order by date) - 1 as pos,
         count(*) over () as n, lag(date) over (order by date) as date_before,
         min(date) over () as first_date,
         sum(n_rows) over (order by date rows between unbounded preceding and 1 preceding)
           as rows_before
-      from (select date, count(*) as n_rows from naive group by date)""",
+      from (select date, count(*) as n_rows from features_7 group by date)""",
     "fold_days": """select *, cast(5 - b as int) as fold from (
         select *, (n - 57 - pos) // 28 as b from day_pos where pos < n - 56)
       where b < 5 and n - 56 - (b + 1) * 28 > 0""",
@@ -327,8 +336,9 @@ STEPS: dict[str, str] = {
         cast(min(rows_before) as bigint) as n_train, cast(sum(n_rows) as bigint) as n_val
       from fold_days group by fold""",
     "fold_metrics": f"""select fold, {metrics()}, count(*) as n_rows
-      from naive join (select date, fold from fold_days) using (date) group by fold""",
-    "holdout": "select * from naive where date > (select max(date) from naive) - 56",
+      from naive join (select date, fold from fold_days_naive) using (date) group by fold""",
+    "holdout": "select * from naive where date > (select max(date) from processed) - 56",
+    "holdout_year": "select * from naive_year where date > (select max(date) from processed) - 56",
     "family_metrics": f"select family, {metrics()}, count(*) as n_rows from holdout group by family",
     "store_metrics": f"""select store_nbr, {metrics()}, min(city) as city, count(*) as n_rows
       from holdout group by store_nbr""",

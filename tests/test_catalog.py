@@ -14,9 +14,9 @@ holiday_impact holiday_distance target_lags_h7 rolling_h7 promo_features oil_lag
 trans_features_row store_ranking label_codes label_encode features_h7 walk_forward_folds fold_metrics
 cv_summary eval_global eval_by_family eval_by_store eval_by_date family_flags champion_challenger
 future_grid history_union_future family_segments holiday_effect locale_impact promo_lift
-boxplot_stats sales_histogram corr_oil_sales seasonal_decompose""".split()
-# At this scale no series has the history a forecast needs, or a sum ties on rounding.
-LARGER_ONLY = {"predict_store", "features_h30"}
+boxplot_stats lookback_history prediction_input forecast_interval predict_store sales_histogram corr_oil_sales seasonal_decompose""".split()
+# At this scale a sum ties on rounding.
+LARGER_ONLY = {"features_h30"}
 NAMES = sorted(set(entry.oracle_sql()) - LARGER_ONLY) if os.environ.get("SHELFCAST_ALL") else CORE
 
 
