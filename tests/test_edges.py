@@ -50,6 +50,26 @@ def test_state_leaves_later_rows_out(spark):
     assert fit_state.__defaults__ == (None,)
 
 
+def test_lookback_counts_days_that_have_rows(spark):
+    from dataclasses import replace
+
+    from shelfcast.config import SETTINGS
+    from shelfcast.operators.folds import lookback
+
+    df = spark.sql("select date_add(date'2020-01-01', cast(3 * id as int)) as date from range(100)")
+    kept = lookback(df, replace(SETTINGS, lookback_days=9))
+    assert kept.count() == 10
+    assert kept.agg(F.min("date")).first()[0] == date(2020, 9, 27)
+
+
+def test_a_repeated_oil_price_repeats_no_rows(spark):
+    from shelfcast.operators.impute import oil_by_day
+
+    days = spark.sql("select date'2020-01-01' as date")
+    oil = spark.sql("select date'2020-01-01' as date, double(x) as dcoilwtico from values (1), (3), (null) as t(x)")
+    assert [r.dcoilwtico for r in oil_by_day(days, oil).collect()] == [3.0]
+
+
 def test_buckets_stay_within_what_spark_allows(spark):
     assert bucket_count(spark, 10**13, 10**12) == 100_000
 
