@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,17 +37,17 @@ from shelfcast.sources.retail import Retail
 
 SETTINGS = Settings(top_families=TOP_FAMILIES_TEST_TABLES)
 
-# The registered training queries boost a few rounds with large steps; the full
-# parameters are TR.PARAMS.
-SHORT_RUN = TR.TreeParams(rounds=4, step=0.4, depth=5, min_rows=20, loss="absolute", bins=64)
 _models: set[str] = set()
 
 
 class Views:
-    """The derived tables queries start from, over one folder of warehouse tables."""
+    """The derived tables queries start from, over one folder of warehouse tables.
 
-    def __init__(self, spark: SparkSession, folder: str, store: str = "nation"):
-        self.spark, self.retail = spark, Retail(spark, folder, store)
+    rounds: boosting rounds of the model queries; all of ``TR.PARAMS`` by default.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, store: str = "nation", rounds: int | None = None):
+        self.spark, self.retail, self.rounds = spark, Retail(spark, folder, store), rounds
 
     @cached_property
     def train(self) -> DataFrame:
@@ -176,12 +177,17 @@ class Views:
         written = self.written(f"features_{horizon}", lambda: self.features(horizon))
         return TR.prepare(written, SETTINGS)
 
+    def params(self, horizon: int) -> TR.TreeParams:
+        full = TR.PARAMS[horizon]
+        return full if self.rounds is None else replace(full, rounds=self.rounds)
+
     def model(self, horizon: int):
-        """Final model of the short run, fitted and saved once per application."""
-        folder = self.folder("models")
+        """Final model, fitted and saved once per application."""
+        params = self.params(horizon)
+        folder = self.folder(f"models-{params.rounds}")
         if f"{folder}/{horizon}" not in _models:
             df = self.prepared(horizon)
-            fitted = TR.fit_final(df, TR.model_columns(df), SHORT_RUN, SHORT_RUN.rounds, SETTINGS)
+            fitted = TR.fit_final(df, TR.model_columns(df), params, params.rounds, SETTINGS)
             files.save_state(folder, horizon, {}, fitted)
             _models.add(f"{folder}/{horizon}")
         return files.load_state(self.spark, folder, horizon, [])[0]
@@ -194,14 +200,14 @@ class Views:
         return run_folder(self.spark, "out", tag, name)
 
 
-_views: dict[tuple[str, str, str], Views] = {}
+_views: dict[tuple[str, str, str, int | None], Views] = {}
 
 
-def views(spark: SparkSession, folder: str, store: str = "nation") -> Views:
-    """One set of views per application and folder, so files are listed once."""
-    key = (spark.sparkContext.applicationId, folder, store)
+def views(spark: SparkSession, folder: str, store: str = "nation", rounds: int | None = None) -> Views:
+    """One set of views per application, folder and rounds, so files are listed once."""
+    key = (spark.sparkContext.applicationId, folder, store, rounds)
     if key not in _views:
-        _views[key] = Views(spark, folder, store)
+        _views[key] = Views(spark, folder, store, rounds)
     return _views[key]
 
 
@@ -770,7 +776,7 @@ _add("forecast_monthly_view", lambda v: FC.monthly_view(v.naive_forecast(30)).wi
 def _fit_fold(v: Views) -> DataFrame:
     df = v.prepared(7)
     fold = V.walk_forward_folds(df, SETTINGS).orderBy(F.desc("fold")).first().asDict()
-    _, rounds, scored = TR.fit_fold(df, fold, TR.model_columns(df), SHORT_RUN)
+    _, rounds, scored = TR.fit_fold(df, fold, TR.model_columns(df), v.params(7))
     return E.evaluate(scored, []).withColumns(
         {"fold": F.lit(fold["fold"]), "rounds": F.lit(rounds)}
     )
@@ -778,13 +784,13 @@ def _fit_fold(v: Views) -> DataFrame:
 
 def _train_cv(v: Views) -> DataFrame:
     df = v.prepared(7)
-    return TR.cv_table(v.spark, TR.train_cv(df, TR.model_columns(df), SHORT_RUN, SETTINGS)[0])
+    return TR.cv_table(v.spark, TR.train_cv(df, TR.model_columns(df), v.params(7), SETTINGS)[0])
 
 
 def _training_run(v: Views) -> DataFrame:
     """Folds and final fit of the monthly model: metrics of the folds and of the holdout."""
     df = v.prepared(30)
-    model, results, rounds = TR.train(df, 30, SHORT_RUN, SETTINGS)
+    model, results, rounds = TR.train(df, 30, v.params(30), SETTINGS)
     files.save_state(v.folder("training"), 30, v.state(), model)
     folds = E.cv_summary(TR.cv_table(v.spark, results))
     holdout = E.evaluate(model.transform(V.holdout_split(df, SETTINGS)[1]), [])

@@ -227,3 +227,23 @@ def test_only_counted_tables_are_broadcast(spark):
     big = sized(spark.range(BROADCAST_ROWS + 1))
     assert "BroadcastHint" not in big._jdf.queryExecution().logical().toString()
     assert "broadcast" in by_day(spark.range(1))._jdf.queryExecution().logical().toString()
+
+
+def test_model_queries_boost_the_full_rounds(spark, small, monkeypatch):
+    from shelfcast import catalog
+
+    class Asked(Exception):
+        pass
+
+    def asked(params, rounds=None):
+        raise Asked(params, rounds or params.rounds)
+
+    monkeypatch.setattr(TR, "estimator", asked)
+    for name, horizon in (("fit_fold", 7), ("train_cv", 7), ("fit_final", 7), ("training_run", 30), ("forecast_h30", 30)):
+        for rounds in (None, 2):
+            v = catalog.views(spark, small, rounds=rounds)
+            with pytest.raises(Asked) as e:
+                catalog.QUERIES[name](v)
+            want = TR.PARAMS[horizon]
+            assert e.value.args[1] == (rounds or want.rounds) and e.value.args[0].bins == want.bins == 255
+            assert (e.value.args[0].step, e.value.args[0].depth) == (want.step, want.depth)
