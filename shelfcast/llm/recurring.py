@@ -1,7 +1,7 @@
 """Which hashes occur in several places, found by two packed exchanges.
 
-Entries (hash, document, position) go to ranges of the hash; those whose hash
-occurs once end there. The others go to their documents, where the caller's rule
+Entries (hash, document, position) go to ranges of the hash; equal ones count once,
+and those whose hash occurs once end there. The others go to their documents, where the caller's rule
 drops documents that cannot matter. Further rounds count again among what is left.
 """
 
@@ -55,6 +55,17 @@ def _shared(buckets: int) -> Callable[[pa.Table], pa.Table]:
         home = d % buckets
         order = np.lexsort((d, home))
         h, d, p, f, home = h[order], d[order], p[order], f[order], home[order]
+        if ((h[1:] == h[:-1]) & (d[1:] == d[:-1])).any():
+            # equal entries come from repeated rows: a place counts once
+            order = np.lexsort((p, h, d, home))
+            h, d, p, home = h[order], d[order], p[order], home[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1])
+            h, d, p, home = h[new], d[new], p[new], home[new]
+            _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+            f = count[inverse]
+            keep = f > 1
+            h, d, p, f, home = h[keep], d[keep], p[keep], f[keep].astype(np.uint32), home[keep]
         cuts = [0, *(np.flatnonzero(home[1:] != home[:-1]) + 1).tolist(), len(h)]
         spans = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
         return pa.table(

@@ -67,6 +67,26 @@ def test_jaccard_blocks_agree(docs, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.jaccard_classes(docs).collect()} == want
 
 
+def test_jaccard_classes_of_a_table_united_with_itself(spark):
+    rng, rows, sets = random.Random(11), [], {}
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    for share in (30, 40, 50, 60, 70, 80, 95):  # words of 104 that a pair has in common
+        common = text(share)
+        for own in range(2):
+            words = common + text(104 - share)
+            sets[len(rows)] = {tuple(words[k : k + 5]) for k in range(100)}
+            rows.append((len(rows), " ".join(words)))
+    want = {i: i for i in sets}
+    for a in range(0, len(rows), 2):
+        if 100 * len(sets[a] & sets[a + 1]) >= 75 * len(sets[a] | sets[a + 1]):
+            want[a + 1] = a
+    assert sum(a != b for a, b in want.items()) == 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for df in (docs, docs.unionByName(docs), docs.unionByName(docs).unionByName(docs)):
+        found = jaccard.jaccard_classes(df).collect()
+        assert len(found) == df.count() and all(r.component_id == want[r.doc_id] for r in found)
+
+
 def removed(tokens: dict, window: int) -> dict:
     seen, out = set(), {}
     for i in sorted(tokens):
