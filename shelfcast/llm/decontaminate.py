@@ -1,9 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-N-grams of the test items are counted over the whole corpus. Of neighbouring
-n-grams of an item the rarest becomes a seed, so each part of an item keeps one,
-however common a leaked passage is. Documents that share seeds at about the same
-distance are aligned with the item word by word.
+Every n-gram of a test item that some document holds is a seed, however common it
+is: an edited copy may share only those that verbatim copies made common. Documents
+that share seeds at about the same distance are aligned with the item word by word.
 """
 
 from __future__ import annotations
@@ -13,17 +12,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm import common
 from shelfcast.llm.common import concat, stage
 
 N = 3
-# Of so many neighbouring n-grams of an item the rarest is a seed.
-NEIGHBOURS = 4
-# Seeds of an item that must agree, and how far their distances may differ.
+# Seeds of an item that must agree, and how far their distances may differ. A copy with
+# replaced words that still scores half of its item can be left with a single 3-gram,
+# but only if the item has at most so many words.
 SEEDS = 2
+SHORT_ITEM = 12
 SHIFT = 16
 SCORE = 0.5
 GAP = 1
@@ -111,15 +111,9 @@ def places(docs: DataFrame, packed: np.ndarray, n: int = N) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, pos int, gram long")
 
 
-def seeds(of_items: DataFrame, found: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """(item_id, at, gram): the rarest of each run of neighbouring n-grams, by documents that hold it."""
-    counts = found.select("gram", "doc_id").distinct().groupBy("gram").agg(F.count("doc_id").alias("df"))
-    counted = of_items.join(counts, "gram", "left").na.fill(0, ["df"])
-    ahead = Window.partitionBy("item_id").orderBy("at").rowsBetween(0, neighbours - 1)
-    # n-grams that no document holds cannot lead anywhere: they rank last
-    rank = F.struct(F.expr("df = 0").alias("none"), "df", "at", "gram")
-    best = counted.withColumn("best", F.min(rank).over(ahead)).select("item_id", "best.*").distinct()
-    return best.where("not none").select("item_id", "at", "gram")
+def seeds(of_items: DataFrame, found: DataFrame) -> DataFrame:
+    """(item_id, at, gram): the n-grams of items that some document holds."""
+    return of_items.join(found.select("gram").distinct(), "gram", "left_semi").select("item_id", "at", "gram")
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -161,11 +155,13 @@ def contaminated(docs: DataFrame, items: DataFrame, score: float = SCORE) -> Dat
     seed = seeds(of_items, found)
     hits = found.join(seed, "gram").select("doc_id", "item_id", "at", (F.col("pos") - F.col("at")).alias("shift"))
     bands = F.explode(F.array(F.floor(F.col("shift") / SHIFT) * 2, F.floor((F.col("shift") + SHIFT // 2) / SHIFT) * 2 + 1))
-    few = seed.groupBy("item_id").agg(F.countDistinct("at").alias("seeds"))
+    all_of = of_items.groupBy("item_id").agg((F.max("at") + N).alias("n_words"))
+    few = seed.groupBy("item_id").agg(F.countDistinct("at").alias("seeds")).join(all_of, "item_id")
+    few = few.select("item_id", F.when(F.col("n_words") <= SHORT_ITEM, 1).otherwise(F.least(F.lit(SEEDS), "seeds")).alias("needed"))
     agree = hits.select("*", bands.alias("band")).groupBy("doc_id", "item_id", "band").agg(
         F.countDistinct("at").alias("agree"), F.min("shift").alias("low"), F.max("shift").alias("high")
     )
-    agree = agree.join(few, "item_id").where(F.col("agree") >= F.least(F.lit(SEEDS), F.col("seeds")))
+    agree = agree.join(few, "item_id").where("agree >= needed")
     pairs = agree.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("low", "high")).alias("near"))
     pairs = pairs.join(items.select("item_id", F.col("text").alias("item")).dropDuplicates(["item_id"]), "item_id")
     by_doc = stage(pairs.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item", "near")).alias("pairs")), "pairs")

@@ -131,6 +131,26 @@ def test_decontamination_against_all_pairs(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_edited_copies_beside_many_verbatim_ones_are_found(spark):
+    rng = random.Random(8)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shapes = [(50, 6), (20, 6), (30, 4), (12, 4), (6, 4)]  # words of an item; every so many are replaced
+    items = [text(n) for n, _ in shapes]
+    lists = [text(40) + item + text(40) for item in items for _ in range(20)]
+    lists += [text(30) + [w if (i + 1) % every else f"new{i}" for i, w in enumerate(item)] + text(30)
+              for item, (_, every) in zip(items, shapes, strict=True)]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lists)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    code = {}
+    ids = lambda ws: np.array([code.setdefault(w, len(code)) for w in ws])
+    want = {
+        (d, i) for d, x in enumerate(lists) for i, item in enumerate(items)
+        if decontaminate.align(ids(item), ids(x))[0] >= decontaminate.SCORE * len(item)
+    }
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert found == want and {(100, 0), (101, 1), (102, 2)} <= want
+
+
 def test_quality_learns_only_from_its_folds(spark):
     rng = random.Random(1)
     good, bad = [f"g{i}" for i in range(40)], [f"b{i}!!" for i in range(40)]
