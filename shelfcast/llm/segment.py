@@ -1,20 +1,22 @@
 """SentencePiece encoding and decoding with sampled segmentations.
 
-The lattice of a text holds its merged encoding and all ways to spell each of those
-pieces by other pieces of the vocabulary. Perturbed A-star search over it draws
-segmentations without replacement (Gumbel top-k): a node is the set of all
-segmentations that go on from a choice of spellings so far, its priority the largest
-perturbed log-probability among them. The best child of a node keeps the node's
-priority, so a whole path is expanded at once; its other children wait in the queue.
+The lattice of a text holds all ways to spell it by pieces of the vocabulary; no piece
+crosses a blank, so it is the lattice of one part between blanks after another.
+Perturbed A-star search over it draws segmentations without replacement (Gumbel
+top-k): a node is the set of all segmentations that go on from the choices so far, its
+priority the largest perturbed log-probability among them. The best child of a node
+keeps the node's priority, so a whole path is expanded at once; its other children wait
+in the queue.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import accumulate, chain
 from pathlib import Path
 
 import numpy as np
@@ -26,8 +28,10 @@ from shelfcast.llm.tokens import BLANK
 
 SAMPLES = 2
 SEED = 17
-# Spellings of a piece that are listed apart; the others form one further child.
+# Choices of a row; others form one further choice, which leads to a row of their own.
 LISTED = 6
+# Rows and parts that are remembered before a further document starts afresh.
+ROWS, PARTS = 1 << 18, 200_000
 FIRST_RANK = 10
 _PARTS = re.compile(r" *[^ ]+| +$")
 
@@ -46,11 +50,12 @@ class Grown:
 
 
 class Spellings:
-    """For each piece its ways to be spelled, with probabilities given the piece's text.
+    """The lattices of parts between blanks, as choices one after another.
 
-    A piece weighs the inverse of its rank in the vocabulary. Pieces are entered on
-    first sight, so there are never more entries than pieces. A child is a spelling,
-    or all spellings that are not listed.
+    A piece weighs the inverse of its rank in the vocabulary. The pieces that go on from
+    a place of a part are the choices of its row, each with the chance that a spelling
+    of the rest starts with it. An entry is a stretch that pieces spell, or the id of a
+    piece outside the lattice (a byte), which has one choice.
     """
 
     def __init__(self, model: bytes):
@@ -64,97 +69,96 @@ class Spellings:
             base = i if base is None else base
             self.piece[self.library.id_to_piece(i)] = i
             self.weight[i] = -float(np.log(i - base + FIRST_RANK))
-        self.known: dict[int, int] = {}
-        self.lattices: dict[int, tuple] = {}
-        self.of: list[int] = []
-        self.first, self.spelled = Grown(np.int64), []  # by entry
-        self.up_to = Grown(float, LISTED)  # by entry: chance of the listed spellings up to each
-        self.q, self.log_q, self.at, self.size = Grown(float), Grown(float), Grown(np.int64), Grown(np.int64)
-        self.ids = Grown(np.int32)
-
-    def lattice(self, i: int) -> tuple[str, list[list[tuple[int, int]]], list[float]]:
+        self.longest = max(map(len, self.piece), default=0)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str | int, int] = {}
+        self.of: list[str | int] = []
+        self.start = Grown(np.int64)  # by entry
+        # by row: chance of the listed choices up to each; of all choices log chance, piece (or -1), next row (or -1)
+        self.up_to, self.log_q = Grown(float, LISTED), Grown(float, LISTED + 1)
+        self.ids, self.next = Grown(np.int32, LISTED + 1), Grown(np.int64, LISTED + 1)
+
+    def lattice(self, text: str) -> tuple[str, list[list[tuple[int, int]]], list[float]]:
         """Text, edges (end, id) by start, and log weight from each place to the end."""
-        if i in self.lattices:
-            return self.lattices[i]
-        text = self.library.id_to_piece(i)
-        n = len(text)
+        n, piece = len(text), self.piece
         edges = [
-            [(b, self.piece[text[a:b]]) for b in range(a + 1, n + 1) if text[a:b] in self.piece] for a in range(n)
+            [(b, piece[x]) for b in range(a + 1, min(n, a + self.longest) + 1) if (x := text[a:b]) in piece] for a in range(n)
         ]
-        onward = np.full(n + 1, -np.inf)
-        onward[n] = 0.0
+        onward = [-math.inf] * n + [0.0]
         for a in range(n - 1, -1, -1):
-            if edges[a]:
-                onward[a] = np.logaddexp.reduce([self.weight[e] + onward[b] for b, e in edges[a]])
-        self.lattices[i] = text, edges, onward
-        return self.lattices[i]
-
-    def entry(self, i: int) -> int:
-        if i in self.known:
-            return self.known[i]
-        spelled, log_q, rest = [(i,)], [0.0], 0.0
-        if i in self.weight:
-            text, edges, onward = self.lattice(i)
-            queue, spelled = [(-onward[0], 0, ())], []
-            while queue and len(spelled) < LISTED:
-                _, a, path = heapq.heappop(queue)
-                if a == len(text):
-                    spelled.append(path)
-                    continue
-                so_far = sum(self.weight[e] for e in path)
-                for b, e in edges[a]:
-                    if np.isfinite(onward[b]):
-                        heapq.heappush(queue, (-(so_far + self.weight[e] + onward[b]), b, (*path, e)))
-            log_q = [sum(self.weight[e] for e in path) - onward[0] for path in spelled]
-            rest = 1 - float(np.exp(log_q).sum()) if queue else 0.0
-        if rest < 1e-9:
-            log_q = [x - np.log(np.exp(log_q).sum()) for x in log_q]
-        self.known[i] = len(self.of)
-        self.of.append(i)
-        self.spelled.append({path: float(np.exp(x)) for path, x in zip(spelled, log_q, strict=True)})
-        self.first.extend([self.q.n])
-        chance = np.cumsum(np.exp(log_q))
-        if rest < 1e-9:
-            chance[-1] = 1.0
-        self.up_to.extend([[*chance, *[chance[-1]] * (LISTED - len(chance))]])
-        for path, x in zip(spelled, log_q, strict=True):
-            self.at.extend([self.ids.n])
-            self.size.extend([len(path)])
-            self.ids.extend(path)
-            self.log_q.extend([x])
-            self.q.extend([np.exp(x)])
-        for _ in range(LISTED + 1 - len(spelled)):  # the place after the listed ones stands for all others
-            self.at.extend([0])
-            self.size.extend([0])
-            self.log_q.extend([0.0])
-            self.q.extend([1.0])
-        return self.known[i]
-
-    def draw(self, entry: int, without: dict, rng: np.random.Generator) -> tuple[tuple[int, ...], float]:
-        """A spelling that is not in ``without``, in proportion to its chance, and that chance."""
-        listed = self.spelled[entry]
-        open_ = [(path, q) for path, q in listed.items() if path not in without]
-        left = rng.random() * (1 - sum(without.values()))
-        for path, q in open_:
-            left -= q
-            if left < 0:
-                return path, q
-        if self.up_to.data[entry][-1] == 1.0:
-            return open_[-1]
-        text, edges, onward = self.lattice(self.of[entry])
-        while True:
-            a, path = 0, []
-            while a < len(text):
-                p = np.array([self.weight[e] + onward[b] for b, e in edges[a]])
-                b, e = edges[a][int((p + rng.gumbel(size=len(p))).argmax())]
-                path.append(e)
-                a = b
-            if tuple(path) not in listed and tuple(path) not in without:
-                return tuple(path), float(np.exp(sum(self.weight[e] for e in path) - onward[0]))
+            onward[a] = _log_sum([self.weight[e] + onward[b] for b, e in edges[a]])
+        return text, edges, onward
+
+    def entry(self, key: str | int) -> int:
+        if key in self.known:
+            return self.known[key]
+        places, base = [[(0.0, key, -1)]], self.up_to.n
+        if isinstance(key, str):
+            _, edges, onward = self.lattice(key)
+            places = [
+                sorted(((self.weight[e] + onward[b] - onward[a], e, b) for b, e in edges[a] if onward[b] > -math.inf), reverse=True)
+                for a in range(len(key))
+            ]
+        row_of, rows = [], base
+        for choices in places:
+            row_of.append(rows)
+            rows += -(-len(choices) // LISTED)
+        row_of.append(-1)
+        up_to, log_q, ids, following = [], [], [], []
+        for choices in places:
+            for j in range(0, len(choices), LISTED):
+                listed, rest = choices[j : j + LISTED], _log_sum([x for x, _, _ in choices[j + LISTED :]])
+                whole = _log_sum([*(x for x, _, _ in listed), rest])
+                pad = LISTED - len(listed)
+                chance = list(accumulate(math.exp(x - whole) for x, _, _ in listed))
+                if rest == -math.inf:
+                    chance[-1] = 1.0
+                up_to.append(chance + [1.0] * pad)
+                log_q.append([x - whole for x, _, _ in listed] + [-math.inf] * pad + [rest - whole])
+                ids.append([e for _, e, _ in listed] + [-1] * (pad + 1))
+                following.append([row_of[b] for _, _, b in listed] + [-1] * pad + [base + len(up_to)])
+        for grown, found in ((self.up_to, up_to), (self.log_q, log_q), (self.ids, ids), (self.next, following)):
+            grown.extend(found)
+        self.known[key] = len(self.of)
+        self.of.append(key)
+        self.start.extend([base])
+        return self.known[key]
+
+    def draw(self, row: int, without: dict, rng: np.random.Generator) -> int:
+        """A choice that is not in ``without``, in proportion to its chance."""
+        q = np.exp(self.log_q.data[row])
+        q[list(without)] = 0.0
+        up_to = np.cumsum(q)
+        taken = int(np.searchsorted(up_to, rng.random() * up_to[-1], side="right"))
+        return min(taken, int(np.flatnonzero(q)[-1]))
+
+    def walk(self, rows: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """Choices from each row to the end of its part, one part after another, and the number of the part of each.
+
+        A choice is numbered by its row and its place in it.
+        """
+        who, following, steps = np.arange(len(rows)), self.next.data.ravel(), []
+        while len(who):
+            taken = (self.up_to.data[rows] <= rng.random(len(rows))[:, None]).sum(axis=1)
+            steps.append((who, cells := rows * (LISTED + 1) + taken))
+            rows = following[cells]
+            who, rows = who[rows >= 0], rows[rows >= 0]
+        size = np.bincount(common.concat((w for w, _ in steps), np.int64), minlength=len(steps[0][0]) if steps else 0)
+        at, out = np.cumsum(size) - size, np.zeros(int(size.sum()), np.int64)
+        for t, (w, cells) in enumerate(steps):
+            out[at[w] + t] = cells
+        return out, np.repeat(np.arange(len(size)), size)
+
+
+def _log_sum(x: list[float]) -> float:
+    most = max(x, default=-math.inf)
+    return most if most == -math.inf else most + math.log(sum(math.exp(y - most) for y in x))
 
 
 class Encoder(dict):
-    """Entries of the merged pieces of a part between blanks; the library merges each part once."""
+    """Entries of a part between blanks; the library merges each part once."""
 
     def __init__(self, spellings: Spellings):
         super().__init__()
@@ -162,10 +166,18 @@ class Encoder(dict):
         self.blank = self.library.encode("a ")[len(self.library.encode("a")) :]
 
     def __missing__(self, part: str) -> list[int]:
-        found = [self.spellings.entry(i) for i in (self.library.encode(part) if part else self.blank)]
+        found, stretch = [], ""
+        for i in self.library.encode(part) if part else self.blank:
+            if i in self.spellings.weight:
+                stretch += self.library.id_to_piece(i)
+                continue
+            if stretch:
+                found.append(self.spellings.entry(stretch))
+            found.append(self.spellings.entry(i))
+            stretch = ""
+        if stretch:
+            found.append(self.spellings.entry(stretch))
         if len(part) <= 64:
-            if len(self) >= 200_000:
-                self.clear()
             self[part] = found
         return found
 
@@ -173,6 +185,9 @@ class Encoder(dict):
         """text: with plain blanks in place of the library's own."""
         if not text:
             return np.zeros(0, np.int64)
+        if self.spellings.up_to.n > ROWS or len(self) > PARTS:
+            self.clear()
+            self.spellings.clear()
         parts = text.split(" ")
         if "" in parts:
             parts = [p[1:] for p in _PARTS.findall(" " + text)]
@@ -181,29 +196,21 @@ class Encoder(dict):
 
 @dataclass
 class Segmentation:
-    """One path: the child taken at each entry; ``drawn`` has spellings that are not listed."""
+    """One path: its choices, the entry that each belongs to, and their log chances."""
 
-    child: np.ndarray
+    cells: np.ndarray
+    part: np.ndarray
     log_p: np.ndarray
-    drawn: dict[int, tuple[int, ...]]
     score: float
 
     def ids(self, s: Spellings) -> np.ndarray:
-        size, at = s.size.data[self.child], s.at.data[self.child]
-        ends = np.cumsum(size)
-        flat = s.ids.data[np.repeat(at - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        if not self.drawn:
-            return flat
-        parts, last = [], 0
-        for place in sorted(self.drawn):
-            parts += [flat[last : ends[place]], np.array(self.drawn[place], np.int32)]
-            last = ends[place]
-        return np.concatenate([*parts, flat[last:]])
+        found = s.ids.data.ravel()[self.cells]
+        return found[found >= 0]
 
 
 @dataclass(order=True)
 class Node:
-    """Segmentations like ``before`` up to ``place`` but for the spellings ``without`` there.
+    """Segmentations like ``before`` up to ``place`` but for the choices ``without`` there.
 
     late: log of the waiting time to the first of them; the perturbed score is its negative.
     """
@@ -220,12 +227,12 @@ def sample(entries: np.ndarray, s: Spellings, k: int, rng: np.random.Generator)
 
     A Gumbel score is the negative log of an exponential waiting time. In a node the
     first to come is drawn by its chance; those beside it come after a further
-    exponential time over their mass, whatever was drawn. So each entry needs one
-    draw for its spelling and one for when the rest of its spellings come. The
+    exponential time over their mass, whatever was drawn. So each choice needs one
+    draw for itself and one for when those beside it come. The
     inclusion score is the log of the chance to be drawn, given the least time that
     is left out; it is 0 if nothing is left out.
     """
-    n, first = len(entries), s.first.data[entries]
+    starts, width = s.start.data[entries], LISTED + 1
     queue, number, done = [Node(float(np.log(rng.standard_exponential())), 0, None, -1, {})], 1, []
 
     def wait(late: float, mass: float, path: Segmentation, place: int, without: dict) -> None:
@@ -237,30 +244,31 @@ def sample(entries: np.ndarray, s: Spellings, k: int, rng: np.random.Generator)
 
     while queue and len(done) < k:
         node = heapq.heappop(queue)
-        path, start = Segmentation(np.zeros(n, np.int64), np.zeros(n), {}, -node.late), node.place + 1
+        start, rows, first = node.place + 1, starts, 0
         if node.before is not None:
             at, before = node.place, node.before
-            path.child[:at], path.log_p[:at] = before.child[:at], before.log_p[:at]
-            path.drawn = {p: x for p, x in before.drawn.items() if p < at}
-            spelling, q = s.draw(int(entries[at]), node.without, rng)
-            path.drawn[at], path.log_p[at] = spelling, np.log(q)
-            path.child[at] = first[at] + LISTED
-            without = node.without | {spelling: q}
+            row = int(before.cells[at]) // width
+            cell = row * width + s.draw(row, node.without, rng)
+            onward, first = int(s.next.data.ravel()[cell]), int(before.part[at])
+            rows = starts[first + 1 :]
+            if onward >= 0:
+                rows = np.concatenate(([onward], rows))
+            else:
+                first += 1
+        cells, part = s.walk(rows, rng)
+        part = part + first
+        if node.before is not None:
+            cells = np.concatenate((before.cells[:at], [cell], cells))
+            part = np.concatenate((before.part[: at + 1], part))
+        path = Segmentation(cells, part, s.log_q.data.ravel()[cells], -node.late)
+        if node.before is not None:
+            without = node.without | {cell % width: float(np.exp(path.log_p[at]))}
             if (left := 1 - sum(without.values())) > 1e-12:
                 wait(node.late, float(path.log_p[:at].sum()) + np.log(left), path, at, without)
         done.append(path)
-        if start == n:
+        if start == len(cells):
             continue
-        chosen, at = np.zeros(n - start, np.int64), rng.random(n - start)
-        more = np.flatnonzero(s.q.data[first[start:]] <= at)
-        chosen[more] = (s.up_to.data[entries[start:][more]] <= at[more, None]).sum(axis=1)
-        path.child[start:] = child = first[start:] + chosen
-        path.log_p[start:] = s.log_q.data[child]
-        left = 1 - s.q.data[child]
-        for p in np.flatnonzero(chosen == LISTED).tolist():
-            e = int(entries[start + p])
-            path.drawn[start + p], q = s.draw(e, s.spelled[e], rng)
-            path.log_p[start + p], left[p] = np.log(q), 1 - q
+        left = -np.expm1(path.log_p[start:])
         beside = np.flatnonzero(left > 1e-12)
         lead = (np.cumsum(path.log_p) - path.log_p)[start:][beside]
         late = np.log(rng.standard_exponential(len(beside)) / left[beside]) - lead
@@ -268,10 +276,7 @@ def sample(entries: np.ndarray, s: Spellings, k: int, rng: np.random.Generator)
         wanted = k - len(done) + 1
         for t in (np.argpartition(late, wanted)[:wanted] if len(late) > wanted else np.arange(len(late))).tolist():
             p = start + int(beside[t])
-            taken = path.drawn.get(p)
-            if taken is None:
-                a = int(s.at.data[path.child[p]])
-                taken = tuple(s.ids.data[a : a + int(s.size.data[path.child[p]])].tolist())
+            taken = int(path.cells[p]) % width
             after = float(np.logaddexp(node.late, late[t]))
             heapq.heappush(queue, Node(after, number, path, p, {taken: float(np.exp(path.log_p[p]))}))
             number += 1

@@ -99,6 +99,30 @@ def test_sampling_is_without_replacement_and_unbiased(monkeypatch):
         assert abs(n / runs - chance[k]) < 0.03
 
 
+@pytest.mark.parametrize("listed", [2, 6])
+def test_spellings_cross_the_merged_pieces_of_a_word(monkeypatch, listed):
+    monkeypatch.setattr(segment, "LISTED", listed)
+    with open(MODEL, "rb") as f:
+        s = segment.Spellings(f.read())
+    assert len(s.library.encode("rewh")) > 1
+
+    def spelled(text):
+        if not text:
+            yield ()
+        for n in range(1, len(text) + 1):
+            if (i := s.piece.get(text[:n])) is not None:
+                yield from ((i, *rest) for rest in spelled(text[n:]))
+
+    weight = {ids: np.exp(sum(s.weight[i] for i in ids)) for ids in spelled("▁rewh")}
+    out = segment.sample(segment.Encoder(s).entries("rewh"), s, 50, np.random.default_rng(0))
+    assert sorted(tuple(ids.tolist()) for ids, *_ in out) == sorted(weight) and all(i == 0 for *_, i in out)
+    for ids, log_p, _, _ in out:
+        assert np.exp(log_p) == pytest.approx(weight[tuple(ids.tolist())] / sum(weight.values()))
+    # the inclusion score weighs each spelling by its chance in the full lattice
+    estimate = [sum(np.exp(p - i) for _, p, _, i in segment.sample(segment.Encoder(s).entries("rewh"), s, 2, np.random.default_rng(r))) for r in range(4000)]
+    assert abs(np.mean(estimate) - 1) < 0.03
+
+
 def test_all_segmentations_when_there_are_few():
     with open(MODEL, "rb") as f:
         s = segment.Spellings(f.read())
