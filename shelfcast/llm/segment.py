@@ -109,8 +109,10 @@ class Spellings:
         up_to, log_q, ids, following = [], [], [], []
         for choices in places:
             for j in range(0, len(choices), LISTED):
-                listed, rest = choices[j : j + LISTED], _log_sum([x for x, _, _ in choices[j + LISTED :]])
-                whole = _log_sum([*(x for x, _, _ in listed), rest])
+                listed, rest, whole = choices[j : j + LISTED], -math.inf, 0.0
+                if len(choices) > LISTED:
+                    rest = _log_sum([x for x, _, _ in choices[j + LISTED :]])
+                    whole = _log_sum([*(x for x, _, _ in listed), rest])
                 pad = LISTED - len(listed)
                 chance = list(accumulate(math.exp(x - whole) for x, _, _ in listed))
                 if rest == -math.inf:
@@ -153,6 +155,8 @@ class Spellings:
 
 
 def _log_sum(x: list[float]) -> float:
+    if len(x) == 1:
+        return x[0]
     most = max(x, default=-math.inf)
     return most if most == -math.inf else most + math.log(sum(math.exp(y - most) for y in x))
 
