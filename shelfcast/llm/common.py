@@ -27,12 +27,22 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    With ``by`` the values of that column have a folder each.
+    """
     spark = small_batches(df).sparkSession
     path = run_folder(spark, "llm", f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    write = df.write.partitionBy(by) if by else df.write
+    write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder of ``run_folder`` that no later table reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def width(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import decontaminate, jaccard, language, licenses, phrases, quality, segment, simhash, suffixes, tokens
+from shelfcast.llm import decontaminate, jaccard, language, licenses, lines, phrases, quality, segment, simhash, suffixes, tokens
 
 MODEL = "piece_bpe_32k.model"
 
@@ -77,6 +77,12 @@ def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.phrase_dedup(read(spark, sf_dir, "documents"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten of them have; the kept text as its hash."""
+    found = lines.line_dedup(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -90,6 +96,18 @@ QUERIES = {
         op8_fingerprints,
         op9_language_id,
         op10_phrase_dedup,
+        op13_line_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+LINE_DEDUP = f"""
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM cut),
+keyed AS (
+  SELECT *, translate(trim(line, {SPACE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+frequent AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN frequent f ON keyed.key = f.key GROUP BY doc_id"""
+
+ORACLES: dict[str, str] = {"op13_line_dedup": LINE_DEDUP}
