@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import decontaminate, jaccard, language, licenses, lines, phrases, quality, segment, simhash, suffixes, tokens
+from shelfcast.llm import decontaminate, jaccard, language, licenses, lines, negatives, phrases, quality, segment, simhash, suffixes, tokens
 
 MODEL = "piece_bpe_32k.model"
 
@@ -77,6 +77,10 @@ def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.phrase_dedup(read(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten of them have; the kept text as its hash."""
     found = lines.line_dedup(read(spark, sf_dir, "documents"))
@@ -96,6 +100,7 @@ QUERIES = {
         op8_fingerprints,
         op9_language_id,
         op10_phrase_dedup,
+        op12_hard_negatives,
         op13_line_dedup,
     )
 }
@@ -110,4 +115,23 @@ SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN frequent f ON keyed.key = f.key GROUP BY doc_id"""
 
-ORACLES: dict[str, str] = {"op13_line_dedup": LINE_DEDUP}
+HARD_NEGATIVES = """
+WITH kept AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS alike, list_inner_product(a.x, r.x)::BIGINT AS score
+  FROM kept a JOIN kept r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+  row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT alike
+  AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5"""
+
+ORACLES: dict[str, str] = {"op12_hard_negatives": HARD_NEGATIVES, "op13_line_dedup": LINE_DEDUP}
