@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import decontaminate, jaccard, language, licenses, lines, negatives, phrases, quality, segment, simhash, suffixes, tokens
+from shelfcast.llm import decontaminate, jaccard, language, licenses, lines, negatives, phrases, quality, segment, simhash, suffixes, tokens, whitening
 
 MODEL = "piece_bpe_32k.model"
 
@@ -77,6 +77,10 @@ def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.phrase_dedup(read(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(read(spark, sf_dir, "embeddings"))
 
@@ -100,6 +104,7 @@ QUERIES = {
         op8_fingerprints,
         op9_language_id,
         op10_phrase_dedup,
+        op11_whitening,
         op12_hard_negatives,
         op13_line_dedup,
     )
