@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shelfcast import oracle as O
 from shelfcast.config import (
     LAGS,
+    METRICS,
     PANEL_KEYS,
     ROLLING_WINDOWS,
     SERIES,
@@ -124,15 +125,22 @@ class Views:
     def features(self, horizon: int, grain: str = "day") -> DataFrame:
         return P.build_features(self.processed(), horizon, self.state(stats=False), grain)
 
-    def naive(self, year: bool = False) -> DataFrame:
-        """Processed panel with the value of a week ago as the prediction, and that of a year ago."""
+    def naive(self, year: bool = False, panel: DataFrame | None = None) -> DataFrame:
+        """Panel with the value of a week ago as the prediction, and that of a year ago."""
         lags = {"y_pred": F.lag("sales", 7)} | ({"y_year": F.lag("sales", 364)} if year else {})
-        df = self.processed().withColumns({n: c.over(G.by_series()) for n, c in lags.items()})
+        panel = self.processed() if panel is None else panel
+        df = panel.withColumns({n: c.over(G.by_series()) for n, c in lags.items()})
         return df.dropna(subset=list(lags))
 
     def holdout(self, year: bool = False) -> DataFrame:
-        """Rows after the cutoff, which comes from the panel: the lags need no second pass for it."""
-        return self.naive(year).where(F.col("date") > V.holdout_cutoff(self.processed()))
+        """Rows after the cutoff with their predictions.
+
+        The panel is dense, so the lags reach as many days as rows: only those days
+        and the holdout itself go through the window.
+        """
+        reach = SETTINGS.test_weeks * 7 + (364 if year else 7)
+        rows = self.naive(year, V.last_days(self.processed(), reach))
+        return rows.where(F.col("date") > V.holdout_cutoff(self.processed()))
 
     def fold_metrics(self) -> DataFrame:
         return E.evaluate(V.validation_rows(self.naive()), ["fold"])
@@ -177,6 +185,15 @@ class Views:
         written = self.written(f"features_{horizon}", lambda: self.features(horizon))
         return TR.prepare(written, SETTINGS)
 
+    def vectors(self, horizon: int) -> DataFrame:
+        """Assembled rows of the training table, written once: every fit reads them."""
+        df = self.prepared(horizon)
+        return self.written(f"vectors_{horizon}", lambda: TR.vectors(df, TR.model_columns(df)))
+
+    def fold_rows(self) -> DataFrame:
+        """(date) of the rows of the feature table of the daily model: those with all lags."""
+        return V.rows_with_history(self.processed(), max(LAGS[7]))
+
     def params(self, horizon: int) -> TR.TreeParams:
         full = TR.PARAMS[horizon]
         return full if self.rounds is None else replace(full, rounds=self.rounds)
@@ -187,7 +204,9 @@ class Views:
         folder = self.folder(f"models-{params.rounds}")
         if f"{folder}/{horizon}" not in _models:
             df = self.prepared(horizon)
-            fitted = TR.fit_final(df, TR.model_columns(df), params, params.rounds, SETTINGS)
+            fitted = TR.fit_final(
+                df, TR.model_columns(df), params, params.rounds, SETTINGS, self.vectors(horizon)
+            )
             files.save_state(folder, horizon, {}, fitted)
             _models.add(f"{folder}/{horizon}")
         return files.load_state(self.spark, folder, horizon, [])[0]
@@ -566,7 +585,8 @@ _add("sample_weights", lambda v: V.sample_weights(
         settings=SETTINGS),
      """select p.date, p.store_nbr, code as family,
        case when code in (1, 3) then 5.0::double else 1.0::double end as weight
-     from processed p join codes on column_name = 'family' and value = p.family""")
+     from fx_train p join (select family, cast(row_number() over (order by family) - 1 as int) as code
+       from (select distinct family from fx_train)) c on c.family = p.family""")
 _add("iqr_outliers", lambda v: X.iqr_outliers(v.train), """
   , b as (select q3 + 3 * (q3 - q1) as bound from (select quantile_cont(sales, 0.25) as q1,
       quantile_cont(sales, 0.75) as q3 from fx_train)),
@@ -695,8 +715,8 @@ _add("label_encode", _encoded,
 
 # --- folds and evaluation ------------------------------------------------------------------
 
-_add("walk_forward_folds", lambda v: V.walk_forward_folds(v.features(7)), "select * from folds")
-_add("fold_description", lambda v: V.describe_folds(V.walk_forward_folds(v.features(7))), """
+_add("walk_forward_folds", lambda v: V.walk_forward_folds(v.fold_rows()), "select * from folds")
+_add("fold_description", lambda v: V.describe_folds(V.walk_forward_folds(v.fold_rows())), """
   select fold, 'train' as role, train_start as start_date, train_end as end_date, n_train as n_rows
   from folds union all select fold, 'val', val_start, val_end, n_val from folds""")
 _add("date_positions", lambda v: V.date_positions(v.processed()).select(
@@ -721,6 +741,35 @@ _add("worst_stores", lambda v: E.worst(E.evaluate_by_store(v.holdout()), "rmse",
      "select * from store_metrics order by rmse desc nulls last, store_nbr limit 5")
 _add("worst_dates", lambda v: E.worst(E.error_by_date(v.holdout()), "mae_diario", 10, "date"),
      "select * from date_metrics order by mae_diario desc nulls last, date limit 10")
+
+
+def _reports_sql() -> str:
+    """The reports of the naive forecast, one after the other."""
+    keys = {"global": "'all'", "family": "family", "store": "cast(store_nbr as varchar)", "date": "cast(date as varchar)"}
+    parts = [
+        f"""select '{name}' as report, {key} as key, {O.metrics()}, count(*) as n_rows,
+          round(case when sum(sales) <> 0 then sum(abs(sales - y_pred)) / sum(sales) end, 6) as log_wape,
+          round(avg(abs((exp(sales) - 1) - (exp(y_pred) - 1))), 6) as mae_diario,
+          round(stddev_samp(abs((exp(sales) - 1) - (exp(y_pred) - 1))), 6) as std_diario
+        from holdout group by {key if name != "global" else "()"}"""
+        for name, key in keys.items()
+    ]
+    return " union all ".join(parts)
+
+
+def _eval_reports(v: Views) -> DataFrame:
+    table = E.report_table(v.holdout())
+    name, key = F.lit("global"), F.lit("all")
+    for report, (column, level) in E.REPORTS.items():
+        if column:
+            name = F.when(F.col("level") == level, report).otherwise(name)
+            key = F.when(F.col("level") == level, F.col(column).cast("string")).otherwise(key)
+    return table.select(
+        name.alias("report"), key.alias("key"), *METRICS, "n_rows", "log_wape", "mae_diario", "std_diario"
+    )
+
+
+_add("eval_reports", _eval_reports, _reports_sql())
 _add("series_compare", lambda v: E.series_compare(v.holdout(), 4, "ECONOMY"), """select date,
     round(exp(sales) - 1, 6) as actual, round(exp(y_pred) - 1, 6) as predicted,
     round(abs((exp(sales) - 1) - (exp(y_pred) - 1)), 6) as abs_error
@@ -774,25 +823,26 @@ _add("forecast_monthly_view", lambda v: FC.monthly_view(v.naive_forecast(30)).wi
 
 
 def _fit_fold(v: Views) -> DataFrame:
-    df = v.prepared(7)
-    fold = V.walk_forward_folds(df, SETTINGS).orderBy(F.desc("fold")).first().asDict()
-    _, rounds, scored = TR.fit_fold(df, fold, TR.model_columns(df), v.params(7))
+    rows = v.vectors(7)
+    fold = V.walk_forward_folds(rows, SETTINGS).orderBy(F.desc("fold")).first().asDict()
+    _, rounds, scored = TR.fit_fold(rows, fold, v.params(7))
     return E.evaluate(scored, []).withColumns(
         {"fold": F.lit(fold["fold"]), "rounds": F.lit(rounds)}
     )
 
 
-def _train_cv(v: Views) -> DataFrame:
-    df = v.prepared(7)
-    return TR.cv_table(v.spark, TR.train_cv(df, TR.model_columns(df), v.params(7), SETTINGS)[0])
+def _train_cv(v: Views, horizon: int) -> DataFrame:
+    return TR.cv_table(v.spark, TR.train_cv(v.vectors(horizon), v.params(horizon), SETTINGS)[0])
 
 
-def _training_run(v: Views) -> DataFrame:
-    """Folds and final fit of the monthly model: metrics of the folds and of the holdout."""
-    df = v.prepared(30)
-    model, results, rounds = TR.train(df, 30, v.params(30), SETTINGS)
-    files.save_state(v.folder("training"), 30, v.state(), model)
-    folds = E.cv_summary(TR.cv_table(v.spark, results))
+def _training_run(v: Views, horizon: int) -> DataFrame:
+    """Folds and final fit: metrics of the folds, read back from where they are kept, and of the holdout."""
+    df, folder = v.prepared(horizon), v.folder("training")
+    stage = lambda _: v.vectors(horizon)
+    model, results, rounds = TR.train(df, horizon, v.params(horizon), SETTINGS, stage)
+    files.save_state(folder, horizon, v.state(), model)
+    saved = files.save_cv(TR.cv_table(v.spark, results), horizon, folder)
+    folds = E.cv_summary(files.scan_parquet(v.spark, saved))
     holdout = E.evaluate(model.transform(V.holdout_split(df, SETTINGS)[1]), [])
     scores = holdout.select(F.struct(*holdout.columns)).scalar()
     return folds.withColumn("rounds", F.lit(rounds)).withColumn("t", scores).select(
@@ -800,25 +850,27 @@ def _training_run(v: Views) -> DataFrame:
     )
 
 
-def _fit_final(v: Views) -> DataFrame:
-    model = v.model(7)
-    scored = model.transform(V.holdout_split(v.prepared(7), SETTINGS)[1])
-    return E.evaluate(scored, []).withColumn("rounds", F.lit(len(model.stages[1].treeWeights)))
+def _fit_final(v: Views, horizon: int) -> DataFrame:
+    model = v.model(horizon)
+    scored = model.transform(V.holdout_split(v.prepared(horizon), SETTINGS)[1])
+    return E.evaluate(scored, []).withColumn("rounds", F.lit(model.stages[1].getNumTrees))
 
 
 def _evaluation_run(v: Views) -> DataFrame:
-    """All reports on the holdout, written where a service would read them."""
-    reports = TR.evaluate_all(v.prepared(7), v.model(7), SETTINGS)
-    folder = v.folder("evaluation")
-    files.save_metrics(reports["family"], reports["store"], 7, folder)
-    families = files.scan_parquet(v.spark, f"{folder}/family_metrics_h7.parquet")
-    return E.worst(families, "rmse", 5, "family")
+    """All six reports on the holdout; those of families and stores are written where a service would read them."""
+    stage = lambda df: v.written(f"reports_{v.params(7).rounds}", lambda: df)
+    reports = TR.evaluate_all(v.prepared(7), v.model(7), SETTINGS, stage)
+    files.save_metrics(reports["family"], reports["store"], 7, v.folder("evaluation"))
+    return TR.all_reports(reports)
 
 
 _add("fit_fold", _fit_fold)
-_add("train_cv", _train_cv)
-_add("fit_final", _fit_final)
-_add("training_run", _training_run)
+for _h in (7, 30):
+    _suffix = "" if _h == 7 else "_h30"
+    _add(f"train_cv{_suffix}", lambda v, h=_h: _train_cv(v, h))
+    _add(f"fit_final{_suffix}", lambda v, h=_h: _fit_final(v, h))
+_add("training_run", lambda v: _training_run(v, 30))
+_add("training_run_h7", lambda v: _training_run(v, 7))
 _add("feature_importance", lambda v: E.worst(
     TR.importance(v.model(7), v.spark), "importance", 30, "feature"))
 _add("evaluation_run", _evaluation_run)

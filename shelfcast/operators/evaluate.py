@@ -45,6 +45,47 @@ def error_by_date(df: DataFrame, yhat: str = "y_pred") -> DataFrame:
     )
 
 
+#: Report -> grouping column and the bits of its grouping id over (family, store_nbr, date).
+REPORTS = {"global": (None, 7), "family": ("family", 3), "store": ("store_nbr", 5), "date": ("date", 6)}
+
+
+def report_table(df: DataFrame, yhat: str = "y_pred") -> DataFrame:
+    """The global, family, store and date reports in one pass over the scored rows.
+
+    Grouping sets: a row is aggregated for each of the four groupings, and partial sums
+    combine before the only shuffle. ``level`` is the grouping id, so a null family
+    stays a group of its own.
+    """
+    error, total = _absolute_error(yhat), F.sum(TARGET)
+    wape = F.when(total != 0, F.sum(F.abs(F.col(TARGET) - F.col(yhat))) / total)
+    keys = ["family", "store_nbr", "date"]
+    return df.groupingSets([[key] if key else [] for key, _ in REPORTS.values()], *keys).agg(
+        F.grouping_id().cast("int").alias("level"),
+        *metric_columns(TARGET, yhat),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.round(wape, 6).alias("log_wape"),
+        F.round(F.avg(error), 6).alias("mae_diario"),
+        F.round(F.stddev_samp(error), 6).alias("std_diario"),
+        F.min("city").alias("city"),
+    )
+
+
+def report_views(table: DataFrame) -> dict[str, DataFrame]:
+    """The single reports out of ``report_table``."""
+
+    def view(name: str, *columns: str) -> DataFrame:
+        key, level = REPORTS[name]
+        return table.where(F.col("level") == level).select(*([key] if key else []), *columns)
+
+    return {
+        "global": view("global", *METRICS, "n_rows"),
+        "family": view("family", *METRICS, "n_rows"),
+        "family_log_wape": view("family", "log_wape"),
+        "store": view("store", *METRICS, "city", "n_rows"),
+        "date": view("date", "mae_diario", "std_diario"),
+    }
+
+
 def worst(df: DataFrame, metric: str, n: int, *ties: str) -> DataFrame:
     """The ``n`` largest rows by a metric. Spark keeps n rows per task, then merges."""
     return df.orderBy(F.desc_nulls_last(metric), *ties).limit(n)

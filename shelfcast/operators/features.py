@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import operator
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -87,14 +91,52 @@ def target_lags(df: DataFrame, horizon: int) -> DataFrame:
     return df.withColumns(lag_columns(TARGET, LAGS[horizon], "lag_"))
 
 
-def rolling_columns(horizon: int) -> dict:
-    columns = {}
+def rolling_parts(horizon: int) -> dict:
+    """What the rows of one short frame add to any wider one: number, sum, squared deviations, maximum.
+
+    The frame is as wide as the widths of the horizon have in common.
+    """
+    rows = frame(horizon, math.gcd(*ROLLING_WINDOWS[horizon]))
+    return {
+        "_n": F.count(TARGET).over(rows),
+        "_sum": F.sum(TARGET).over(rows),
+        "_spread": F.var_pop(TARGET).over(rows),
+        "_top": F.max(TARGET).over(rows),
+    }
+
+
+def rolling_statistics(df: DataFrame, horizon: int) -> DataFrame:
+    """Mean, deviation and maximum of each width, from ``rolling_parts`` of neighbouring frames.
+
+    A wide frame is a few short ones, each a lag away in the same sort, so a row costs
+    the same whatever the widths. Parts merge by their means and squared deviations from
+    them: nothing is subtracted that cancels.
+    """
+    width = math.gcd(*ROLLING_WINDOWS[horizon])
+    most = ROLLING_WINDOWS[horizon][-1] // width
+    lags = {
+        f"{c}{k}": (F.lag(c, k * width).over(by_series()) if k else F.col(c))
+        for k in range(most)
+        for c in ("_n", "_sum", "_spread", "_top")
+    }
+    filled = {c: F.coalesce(c, F.lit(0)) for c in lags if c[:2] == "_n"}
+    filled |= {c: F.coalesce(c, F.lit(0.0)) for c in lags if c[:4] == "_sum"}
+    filled |= {f"_mean{k}": F.try_divide(F.col(f"_sum{k}"), F.col(f"_n{k}")) for k in range(most)}
+    means, deviations = {}, {}
     for w in ROLLING_WINDOWS[horizon]:
-        rows = frame(horizon, w)
-        columns[f"rolling_mean_{w}d"] = F.avg(TARGET).over(rows)
-        columns[f"rolling_std_{w}d"] = F.stddev_samp(TARGET).over(rows)
-        columns[f"rolling_max_{w}d"] = F.max(TARGET).over(rows)
-    return columns
+        parts = range(w // width)
+        mean, n = F.col(f"rolling_mean_{w}d"), F.col(f"_count{w}")
+        means[f"_count{w}"] = reduce(operator.add, [F.col(f"_n{k}") for k in parts])
+        means[f"rolling_mean_{w}d"] = F.try_divide(reduce(operator.add, [F.col(f"_sum{k}") for k in parts]), means[f"_count{w}"])
+        off = [F.col(f"_n{k}") * (F.col(f"_spread{k}") + (F.col(f"_mean{k}") - mean) * (F.col(f"_mean{k}") - mean)) for k in parts]
+        total = reduce(operator.add, [F.coalesce(x, F.lit(0.0)) for x in off])
+        deviations[f"rolling_std_{w}d"] = F.when(n > 1, F.sqrt(total / (n - 1)))
+        tops = [F.col(f"_top{k}") for k in parts]
+        deviations[f"rolling_max_{w}d"] = F.greatest(*tops) if len(tops) > 1 else tops[0]
+    # step by step: each line reads columns of the one before, so no expression is written out twice
+    made = df.withColumns(lags).withColumns(filled).withColumns(means).withColumns(deviations)
+    order = [f"rolling_{s}_{w}d" for w in ROLLING_WINDOWS[horizon] for s in ("mean", "std", "max")]
+    return made.select(*[c for c in df.columns if c not in ("_n", "_sum", "_spread", "_top")], *order)
 
 
 def variation(df: DataFrame, horizon: int) -> DataFrame:
@@ -106,7 +148,7 @@ def variation(df: DataFrame, horizon: int) -> DataFrame:
 
 
 def rolling_features(df: DataFrame, horizon: int) -> DataFrame:
-    return variation(df.withColumns(rolling_columns(horizon)), horizon)
+    return variation(rolling_statistics(df.withColumns(rolling_parts(horizon)), horizon), horizon)
 
 
 def promo_columns(horizon: int) -> dict:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfcast.config import SETTINGS, Settings
+from shelfcast.config import SERIES, SETTINGS, Settings
 from shelfcast.session import by_day
 
 
@@ -111,13 +111,27 @@ def holdout_split(df: DataFrame, settings: Settings = SETTINGS) -> tuple[DataFra
     return df.where(F.col("date") <= cutoff), df.where(F.col("date") > cutoff)
 
 
+def last_days(df: DataFrame, days: int) -> DataFrame:
+    """Rows of the last days that have rows.
+
+    To be stated before windows that look back: Spark cannot move a filter below them.
+    """
+    found = df.select("date").distinct().orderBy(F.desc("date")).limit(days)
+    return df.where(F.col("date") >= found.agg(F.min("date")).scalar())
+
+
 def lookback(df: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    """History a forecast needs: the last days that have rows, since lags count rows.
+    """History a forecast needs: the last days that have rows, since lags count rows."""
+    return last_days(df, settings.lookback_days + 1)
+
+
+def rows_with_history(df: DataFrame, rows: int) -> DataFrame:
+    """(date) of each row that ``rows`` earlier rows of its series precede: those whose lags are known.
 
-    Stated before the windows: Spark cannot move it below them.
+    Reads the keys alone, in the order the panel is bucketed and sorted by.
     """
-    days = df.select("date").distinct().orderBy(F.desc("date")).limit(settings.lookback_days + 1)
-    return df.where(F.col("date") >= days.agg(F.min("date")).scalar())
+    place = F.row_number().over(W.partitionBy(*SERIES).orderBy("date"))
+    return df.select("date", place.alias("place")).where(F.col("place") > rows).select("date")
 
 
 def sample_weights(

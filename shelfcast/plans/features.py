@@ -72,11 +72,11 @@ def raw_features(
     coded = apply_codes(flagged, state["codes"], [c for c in ENCODED if c != "family"])
     windows = {
         **X.lag_columns(TARGET, LAGS[horizon], "lag_"),
-        **X.rolling_columns(horizon),
+        **X.rolling_parts(horizon),
         **X.promo_columns(horizon),
         **(X.trans_columns(horizon) if grain == "day" else {}),
     }
-    df = X.variation(coded.withColumns(windows), horizon)
+    df = X.variation(X.rolling_statistics(coded.withColumns(windows), horizon), horizon)
     df = store_features(df, state["ranking"], state.get("stats"), as_of)
     if grain == "row":
         df = X.trans_row_features(X.oil_row_features(df, horizon), horizon)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -13,12 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.config import SETTINGS, TARGET, Settings
 from shelfcast.functions.metrics import metric_columns
-from shelfcast.operators.evaluate import (
-    error_by_date,
-    evaluate,
-    evaluate_by_store,
-    log_wape,
-)
+from shelfcast.operators.evaluate import report_table, report_views
 from shelfcast.operators.folds import (
     holdout_split,
     sample_weights,
@@ -92,41 +89,50 @@ def best_round(losses: list[float], patience: int) -> int:
     return min(best + 1, len(losses))
 
 
-def fit_fold(
-    prepared: DataFrame, fold: dict, columns: list[str], params: TreeParams
-) -> tuple[GBTRegressionModel, int, DataFrame]:
+def vectors(prepared: DataFrame, columns: list[str]) -> DataFrame:
+    """What every fit reads: the day, the assembled features, the target and the weight."""
+    return assembler(columns).transform(prepared).select("date", "features", TARGET, "weight")
+
+
+def truncated(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The model of the first ``rounds`` trees, which is what a fit with fewer rounds gives."""
+    java, gateway = model._java_obj, SparkContext._gateway
+    package = gateway.jvm.org.apache.spark.ml.regression
+    trees = gateway.new_array(package.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(gateway.jvm.double, rounds)
+    for i, (tree, weight) in enumerate(zip(java.trees()[:rounds], java.treeWeights()[:rounds])):
+        trees[i], weights[i] = tree, weight
+    shorter = package.GBTRegressionModel(java.uid(), trees, weights)
+    return (
+        GBTRegressionModel(shorter)
+        .setFeaturesCol(model.getFeaturesCol())
+        .setPredictionCol(model.getPredictionCol())
+    )
+
+
+def fit_fold(rows: DataFrame, fold: dict, params: TreeParams) -> tuple[GBTRegressionModel, int, DataFrame]:
     """Fit on the training days of a fold, with the rounds that its validation days choose.
 
-    Spark's own early stop ends at the first round without a gain, so all rounds
-    are fitted and their losses on the validation rows decide. A fit with fewer
-    rounds and the same seed has the first trees of the longer one.
-    Returns the model, the number of rounds kept and the scored validation rows.
+    Spark's own early stop ends at the first round without a gain, so all rounds are
+    fitted once and their losses on the validation rows decide how many trees stay.
+    ``rows`` are ``vectors``. Returns the model, the number of rounds kept and the
+    scored validation rows.
     """
-    vectors = (
-        assembler(columns)
-        .transform(prepared.where(F.col("date") <= fold["val_end"]))
-        .withColumn("is_val", F.col("date") >= fold["val_start"])
-        .select("features", TARGET, "weight", "is_val")
-    )
-    known, held = vectors.where("not is_val"), vectors.where("is_val")
+    known = rows.where(F.col("date") < fold["val_start"])
+    held = rows.where(F.col("date").between(fold["val_start"], fold["val_end"]))
     model = estimator(params).fit(known)
     kept = best_round(model.evaluateEachIteration(held, params.loss), params.patience)
-    if kept < params.rounds:
-        model = estimator(params, kept).fit(known)
+    if kept < model.getNumTrees:
+        model = truncated(model, kept)
     return model, kept, model.transform(held)
 
 
-def train_cv(
-    prepared: DataFrame,
-    columns: list[str],
-    params: TreeParams,
-    settings: Settings = SETTINGS,
-) -> tuple[list[dict], int]:
-    """Metrics per fold and the mean of the best rounds. One distributed fit per fold."""
+def train_cv(rows: DataFrame, params: TreeParams, settings: Settings = SETTINGS) -> tuple[list[dict], int]:
+    """Metrics per fold and the mean of the best rounds. One distributed fit per fold of ``vectors``."""
     results, rounds = [], []
-    for row in walk_forward_folds(prepared, settings).orderBy("fold").collect():
+    for row in walk_forward_folds(rows, settings).orderBy("fold").collect():
         fold = row.asDict()
-        _, kept, val = fit_fold(prepared, fold, columns, params)
+        _, kept, val = fit_fold(rows, fold, params)
         metrics = val.agg(*metric_columns(TARGET, "y_pred")).first().asDict()
         results.append({**fold, **metrics, "rounds": kept})
         rounds.append(kept)
@@ -150,12 +156,12 @@ def fit_final(
     params: TreeParams,
     rounds: int,
     settings: Settings = SETTINGS,
+    rows: DataFrame | None = None,
 ) -> PipelineModel:
-    """All rows before the holdout, a fixed number of rounds."""
-    train, _ = holdout_split(prepared, settings)
+    """All rows before the holdout, a fixed number of rounds. ``rows`` are ``vectors`` written before."""
     step = assembler(columns)
-    vectors = step.transform(train).select("features", TARGET, "weight")
-    return PipelineModel(stages=[step, estimator(params, rounds).fit(vectors)])
+    train, _ = holdout_split(vectors(prepared, columns) if rows is None else rows, settings)
+    return PipelineModel(stages=[step, estimator(params, rounds).fit(train)])
 
 
 def model_columns(prepared: DataFrame) -> list[str]:
@@ -163,13 +169,21 @@ def model_columns(prepared: DataFrame) -> list[str]:
 
 
 def train(
-    prepared: DataFrame, horizon: int, params: TreeParams | None = None, settings=SETTINGS
+    prepared: DataFrame,
+    horizon: int,
+    params: TreeParams | None = None,
+    settings=SETTINGS,
+    stage: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> tuple[PipelineModel, list[dict], int]:
-    """Cross-validation, then the final fit with the rounds it found."""
+    """Cross-validation, then the final fit with the rounds it found.
+
+    ``stage`` may write the vectors and read them back: every fit reads them.
+    """
     params = params or PARAMS[horizon]
     columns = model_columns(prepared)
-    results, rounds = train_cv(prepared, columns, params, settings)
-    return fit_final(prepared, columns, params, rounds, settings), results, rounds
+    rows = stage(vectors(prepared, columns))
+    results, rounds = train_cv(rows, params, settings)
+    return fit_final(prepared, columns, params, rounds, settings, rows), results, rounds
 
 
 def importance(model: PipelineModel, spark: SparkSession) -> DataFrame:
@@ -178,7 +192,9 @@ def importance(model: PipelineModel, spark: SparkSession) -> DataFrame:
     vector = spark.createDataFrame([(trees.featureImportances,)], ["v"])
     names = F.array(*[F.lit(c) for c in step.getInputCols()])
     pairs = F.explode(F.arrays_zip(names.alias("feature"), vector_to_array("v").alias("importance")))
-    table = vector.select(pairs.alias("p")).select("p.feature", "p.importance")
+    # a model of few trees has no entry for features after the last it uses
+    share = F.coalesce("p.importance", F.lit(0.0)).alias("importance")
+    table = vector.select(pairs.alias("p")).select("p.feature", share)
     total = table.agg(F.sum("importance")).scalar()
     return table.withColumn("importance_pct", F.round(F.try_divide(F.col("importance"), total) * 100, 2))
 
@@ -195,15 +211,34 @@ def predictor(model: PipelineModel):
     return predict
 
 
-def evaluate_all(prepared: DataFrame, model: PipelineModel, settings=SETTINGS) -> dict:
-    """Every report on the holdout: overall, by family, store and date, and importance."""
+def evaluate_all(
+    prepared: DataFrame,
+    model: PipelineModel,
+    settings=SETTINGS,
+    stage: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> dict:
+    """Every report on the holdout: overall, by family (twice), store and date, and importance.
+
+    The first five come from one pass over the scored rows; ``stage`` may write its
+    result, which has a row per group, and read it back.
+    """
     _, holdout = holdout_split(prepared, settings)
-    scored = model.transform(holdout)
-    return {
-        "global": evaluate(scored, []),
-        "family": evaluate(scored, ["family"]),
-        "family_log_wape": log_wape(scored, ["family"]),
-        "store": evaluate_by_store(scored),
-        "date": error_by_date(scored),
-        "importance": importance(model, prepared.sparkSession),
-    }
+    reports = report_views(stage(report_table(model.transform(holdout))))
+    return {**reports, "importance": importance(model, prepared.sparkSession)}
+
+
+def all_reports(reports: dict[str, DataFrame]) -> DataFrame:
+    """The reports of ``evaluate_all`` as one table: the report, its key as text, and its columns."""
+    keys = {"family": "family", "family_log_wape": "family", "store": "store_nbr", "date": "date", "importance": "feature"}
+    named = [
+        df.select(
+            F.lit(name).alias("report"),
+            F.col(keys[name]).cast("string").alias("key") if name in keys else F.lit("all").alias("key"),
+            *[c for c in df.columns if c != keys.get(name)],
+        )
+        for name, df in reports.items()
+    ]
+    table = named[0]
+    for df in named[1:]:
+        table = table.unionByName(df, allowMissingColumns=True)
+    return table

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfcast.operators.quality import check_columns
 from shelfcast.schemas import PREDICTION_TABLES, RAW, TRAINING_TABLES
@@ -75,6 +76,31 @@ def save_metrics(
     store_metrics.write.mode("overwrite").parquet(f"{folder}/store_metrics_h{horizon}.parquet")
 
 
+def save_cv(results: DataFrame, horizon: int, folder: str) -> str:
+    """Metrics of the folds of a training run, beside its model."""
+    path = f"{folder}/h{horizon}/cv_metrics"
+    results.write.mode("overwrite").parquet(path)
+    return path
+
+
+def save_partition(df: DataFrame, folder: str, name: str, horizon: int, run_date: dt.date | None = None) -> str:
+    """Features or predictions as one table partitioned by ``horizon`` and ``run_date``.
+
+    Only the partition at hand is replaced, whatever else the table holds; readers
+    that name a horizon or a day list no other folder.
+    """
+    path = f"{folder.rstrip('/')}/{name}"
+    keys = {"horizon": F.lit(horizon), "run_date": F.lit(run_date or dt.date.today())}
+    (
+        df.withColumns(keys)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*keys)
+        .parquet(path)
+    )
+    return path
+
+
 def save_forecast(
     forecast: DataFrame, horizon: int, folder: str, run_date: dt.date | None = None
 ) -> str:

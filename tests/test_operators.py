@@ -415,3 +415,36 @@ def test_decomposition_against_numpy(spark, period):
     assert np.allclose(got["trend"], trend)
     assert np.allclose(got["seasonal"], season)
     assert np.allclose(got["resid"], y - trend - season)
+
+
+def test_rolling_statistics_equal_pandas_on_gaps_and_constants(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for series, n in (("A", 130), ("B", 40), ("C", 5), ("D", 100)):
+        for i in range(n):
+            value = 3.25 if series == "D" else float(rng.gamma(2, 3) * 1e6 * (i % 11 > 3))
+            rows.append((dt.date(2020, 1, 1) + dt.timedelta(i), 1, series, None if series == "A" and i % 13 == 0 else value))
+    df = spark.createDataFrame(rows, "date date, store_nbr int, family string, sales double")
+    for horizon, widths in ((7, [7, 14, 28]), (30, [30, 60, 90])):
+        got = G.rolling_features(df, horizon).toPandas().sort_values(["family", "date"], ignore_index=True)
+        assert not [c for c in got.columns if c.startswith("_")]
+        base = got.groupby("family")["sales"].shift(horizon)
+        for w in widths:
+            rolled = base.groupby(got["family"]).rolling(w, min_periods=1)
+            for name, want in (("mean", rolled.mean()), ("std", rolled.std()), ("max", rolled.max())):
+                want = want.reset_index(drop=True)
+                have = got[f"rolling_{name}_{w}d"]
+                assert (have.isna() == want.isna()).all(), (name, w)
+                np.testing.assert_allclose(have.dropna(), want.dropna(), rtol=1e-9, atol=1e-6)
+        flat = got[got["family"] == "D"][f"rolling_std_{widths[0]}d"].dropna()
+        assert (flat == 0).all()
+
+
+def test_holdout_and_folds_are_cut_below_the_window(spark, small):
+    from shelfcast import catalog
+
+    v = catalog.views(spark, small)
+    plan = v.holdout()._jdf.queryExecution().optimizedPlan().toString()
+    assert ">= scalar-subquery" in plan[plan.index("Window [") :]
+    folds = catalog.QUERIES["walk_forward_folds"](v)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(" not in folds and "row_number" in folds

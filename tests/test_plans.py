@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfcast.config import Settings
+from shelfcast.operators import evaluate as E
 from shelfcast.operators.features import narrow_types
 from shelfcast.operators.folds import holdout_split
 from shelfcast.plans import features as P
@@ -164,6 +165,65 @@ def test_shorter_fit_has_the_first_trees_of_the_longer(spark):
     assert short.evaluateEachIteration(rows, PARAMS.loss) == pytest.approx(losses[:2])
 
 
+def test_truncated_model_equals_a_shorter_fit(spark):
+    rows = spark.range(400).selectExpr("id % 17 + 0.5 * (id % 5) as sales", "cast(id % 17 as double) a", "cast(id % 5 as double) b", "1.0d + id % 2 as weight")
+    rows = TR.assembler(["a", "b"]).transform(rows).coalesce(1)
+    long = TR.estimator(PARAMS).fit(rows)
+    for kept in (1, 2, 3):
+        cut, short = TR.truncated(long, kept), TR.estimator(PARAMS, kept).fit(rows)
+        assert cut.getNumTrees == kept and cut.treeWeights == short.treeWeights
+        both = [[r.y_pred for r in m.transform(rows).select("y_pred").collect()] for m in (cut, short)]
+        assert both[0] == both[1]
+    folder = run_folder(spark, "test-truncated")
+    cut.write().overwrite().save(folder)
+    assert type(cut).load(folder).getNumTrees == 3
+
+
+def test_fold_is_fitted_once(spark, features, monkeypatch):
+    prepared = TR.prepare(features, SETTINGS)
+    rows = table(spark, "test-plans", "vectors", lambda: TR.vectors(prepared, TR.model_columns(prepared)))
+    fits = []
+    estimator = TR.estimator
+    monkeypatch.setattr(TR, "estimator", lambda *a: fits.append(a) or estimator(*a))
+    monkeypatch.setattr(TR, "best_round", lambda losses, patience: 2)
+    results, rounds = TR.train_cv(rows, PARAMS, SETTINGS)
+    assert len(fits) == len(results) == 2 and rounds == 2 and {r["rounds"] for r in results} == {2}
+    path = files.save_cv(TR.cv_table(spark, results), 7, run_folder(spark, "test-cv"))
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_all_reports_come_from_one_table(spark, features):
+    prepared = TR.prepare(features, SETTINGS)
+    model = TR.fit_final(prepared, TR.model_columns(prepared), PARAMS, 2, SETTINGS)
+    reports = TR.evaluate_all(prepared, model, SETTINGS)
+    scored = model.transform(holdout_split(prepared, SETTINGS)[1])
+    alone = {
+        "global": E.evaluate(scored, []), "family": E.evaluate(scored, ["family"]),
+        "family_log_wape": E.log_wape(scored, ["family"]), "store": E.evaluate_by_store(scored), "date": E.error_by_date(scored),
+    }
+    for name, df in alone.items():
+        got, want = reports[name].select(*df.columns).toPandas(), df.toPandas()
+        order = list(df.columns[:1])
+        pd.testing.assert_frame_equal(got.sort_values(order, ignore_index=True), want.sort_values(order, ignore_index=True))
+    table_ = TR.all_reports(reports)
+    counts = dict(table_.groupBy("report").count().collect())
+    assert counts == {"global": 1, "family": 2, "family_log_wape": 2, "store": 2, "date": 7, "importance": len(TR.model_columns(prepared))}
+    plan = E.report_table(scored)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Expand" in plan
+
+
+def test_dynamic_overwrite_leaves_other_days(spark):
+    folder = run_folder(spark, "test-partitions")
+    day = lambda n: spark.createDataFrame([(n, 1.5)], "store_nbr int, predicted_sales double")
+    for h, d, n in ((7, 1, 1), (7, 2, 2), (30, 1, 3), (7, 2, 4)):
+        path = files.save_partition(day(n), folder, "predictions", h, dt.date(2021, 3, d))
+    rows = spark.read.parquet(path)
+    assert sorted(r.store_nbr for r in rows.collect()) == [1, 3, 4]
+    one = rows.where("horizon = 7 and run_date = date'2021-03-02'")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert [r.store_nbr for r in one.collect()] == [4] and "PartitionFilters: [isnotnull(horizon" in plan
+
+
 def test_forecast_of_one_store_keeps_the_codes_of_training(spark, tables, processed, state):
     whole = FC.forecast(processed, tables, 7, state, FC.naive(7), settings=SETTINGS)
     one = FC.forecast(
