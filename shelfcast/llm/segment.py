@@ -12,11 +12,10 @@ in the queue.
 from __future__ import annotations
 
 import heapq
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate, chain
+from itertools import chain, groupby
 from pathlib import Path
 
 import numpy as np
@@ -30,8 +29,9 @@ SAMPLES = 2
 SEED = 17
 # Choices of a row; others form one further choice, which leads to a row of their own.
 LISTED = 6
-# Rows and parts that are remembered before a further document starts afresh.
-ROWS, PARTS = 1 << 18, 200_000
+WIDE = 8
+# Rows and parts that are remembered before the older half of them goes; bytes of text taken at once.
+ROWS, PARTS, SLICE = 1 << 19, 100_000, 1 << 18
 FIRST_RANK = 10
 _PARTS = re.compile(r" *[^ ]+| +$")
 
@@ -40,14 +40,21 @@ class Grown:
     """A numpy array that takes appended rows."""
 
     def __init__(self, dtype: type, *shape: int):
-        self.data, self.n = np.zeros((1024, *shape), dtype), 0
+        # memory that no row has touched yet costs nothing
+        self.data, self.n = np.zeros((ROWS + ROWS // 4, *shape), dtype), 0
 
     def extend(self, rows) -> None:
-        while self.n + len(rows) > len(self.data):
-            self.data = np.concatenate((self.data, np.zeros_like(self.data)))
+        if (need := self.n + len(rows)) > len(self.data):
+            more = np.zeros((max(need, len(self.data) * 3 // 2) - len(self.data), *self.data.shape[1:]), self.data.dtype)
+            self.data = np.concatenate((self.data, more))
         self.data[self.n : self.n + len(rows)] = rows
         self.n += len(rows)
 
+    def cut(self, n: int) -> None:
+        """Drops the first n rows."""
+        self.data[: self.n - n] = self.data[n : self.n].copy()
+        self.n -= n
+
 
 class Spellings:
     """The lattices of parts between blanks, as choices one after another.
@@ -70,63 +77,175 @@ class Spellings:
             self.piece[self.library.id_to_piece(i)] = i
             self.weight[i] = -float(np.log(i - base + FIRST_RANK))
         self.longest = max(map(len, self.piece), default=0)
+        self._weights = np.full(self.library.get_piece_size(), -np.inf)
+        self._weights[list(self.weight)] = list(self.weight.values())
+        # by length: hashes of the pieces in rising order, their ids and code points
+        self._pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self._seen = np.zeros(1 << 20, bool)
+        by_length: dict[int, list[str]] = {}
+        for x in self.piece:
+            by_length.setdefault(len(x), []).append(x)
+        for n, found in sorted(by_length.items()):
+            points = _points("".join(found)).reshape(-1, n)
+            value = (points * _powers(n, common.MULTIPLIER)).sum(axis=1, dtype=np.uint64)
+            order = np.argsort(value)
+            if (value[order][1:] == value[order][:-1]).any():
+                raise ValueError("two pieces of one hash")
+            self._pieces[n] = value[order], np.array([self.piece[x] for x in found])[order], points[order]
+            self._seen[_slot(value)] = True
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str | int, int] = {}
-        self.of: list[str | int] = []
+        self.of: list[str | int] = []  # keys of the entries from number ``gone`` on
+        self.gone = 0
         self.start = Grown(np.int64)  # by entry
-        # by row: chance of the listed choices up to each; of all choices log chance, piece (or -1), next row (or -1)
-        self.up_to, self.log_q = Grown(float, LISTED), Grown(float, LISTED + 1)
+        # by row: chance of the listed choices up to each, above 1 from the last on; of all choices log chance, piece (or -1), next row (or -1)
+        self.up_to, self.log_q = Grown(float, WIDE), Grown(float, LISTED + 1)
         self.ids, self.next = Grown(np.int32, LISTED + 1), Grown(np.int64, LISTED + 1)
 
     def lattice(self, text: str) -> tuple[str, list[list[tuple[int, int]]], list[float]]:
-        """Text, edges (end, id) by start, and log weight from each place to the end."""
-        n, piece = len(text), self.piece
-        edges = [
-            [(b, piece[x]) for b in range(a + 1, min(n, a + self.longest) + 1) if (x := text[a:b]) in piece] for a in range(n)
-        ]
-        onward = [-math.inf] * n + [0.0]
-        for a in range(n - 1, -1, -1):
-            onward[a] = _log_sum([self.weight[e] + onward[b] for b, e in edges[a]])
-        return text, edges, onward
-
-    def entry(self, key: str | int) -> int:
-        if key in self.known:
-            return self.known[key]
-        places, base = [[(0.0, key, -1)]], self.up_to.n
-        if isinstance(key, str):
-            _, edges, onward = self.lattice(key)
-            places = [
-                sorted(((self.weight[e] + onward[b] - onward[a], e, b) for b, e in edges[a] if onward[b] > -math.inf), reverse=True)
-                for a in range(len(key))
-            ]
-        row_of, rows = [], base
-        for choices in places:
-            row_of.append(rows)
-            rows += -(-len(choices) // LISTED)
-        row_of.append(-1)
-        up_to, log_q, ids, following = [], [], [], []
-        for choices in places:
-            for j in range(0, len(choices), LISTED):
-                listed, rest, whole = choices[j : j + LISTED], -math.inf, 0.0
-                if len(choices) > LISTED:
-                    rest = _log_sum([x for x, _, _ in choices[j + LISTED :]])
-                    whole = _log_sum([*(x for x, _, _ in listed), rest])
-                pad = LISTED - len(listed)
-                chance = list(accumulate(math.exp(x - whole) for x, _, _ in listed))
-                if rest == -math.inf:
-                    chance[-1] = 1.0
-                up_to.append(chance + [1.0] * pad)
-                log_q.append([x - whole for x, _, _ in listed] + [-math.inf] * pad + [rest - whole])
-                ids.append([e for _, e, _ in listed] + [-1] * (pad + 1))
-                following.append([row_of[b] for _, _, b in listed] + [-1] * pad + [base + len(up_to)])
+        """Text, edges (end, id) by start, and log weight from each place to the end, of one stretch."""
+        if not text:
+            return text, [], [0.0]
+        a, b, ids, onward, _, _ = self._lattices([text])
+        edges: list[list[tuple[int, int]]] = [[] for _ in text]
+        for i, j, e in sorted(zip(a.tolist(), b.tolist(), ids.tolist(), strict=True)):
+            edges[i].append((j, e))
+        return text, edges, [*onward.tolist(), 0.0]
+
+    def _lattices(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """The lattices of all texts, one after the other: edges (start, end, id), and by place the log
+        weight from it to the end of its text, that end, and the places at which texts start.
+
+        Substrings of each length are looked up by their hashes, all places at once.
+        """
+        points, lengths = _points("".join(texts)), np.array([len(t) for t in texts])
+        n, ends = len(points), np.cumsum(lengths)
+        end = np.repeat(ends, lengths)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(points * _powers(n, common.MULTIPLIER), dtype=np.uint64)))
+        inverse = _powers(n, pow(int(common.MULTIPLIER), -1, 1 << 64))
+        at, found = np.arange(n), []
+        for size, (hashes, ids, spelled) in self._pieces.items():
+            at = at[end[at] - at >= size]
+            value = (total[at + size] - total[at]) * inverse[at]
+            maybe = self._seen[_slot(value)]
+            a, value = at[maybe], value[maybe]
+            which = np.minimum(np.searchsorted(hashes, value), len(hashes) - 1)
+            hit = np.flatnonzero(hashes[which] == value)
+            a, which = a[hit], which[hit]
+            same = (points[a[:, None] + np.arange(size)] == spelled[which]).all(axis=1)
+            a, which = a[same], which[same]
+            found.append((a, a + size, ids[which]))
+        a, b, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(a, kind="stable")  # a few rising runs
+        a, b, ids = a[order], b[order], ids[order]
+        count = np.bincount(a, minlength=n)
+        first = np.cumsum(count) - count
+        weight, onward = self._weights[ids], np.full(n + 1, -np.inf)
+        last = b == end[a]
+        # by the distance to the end: what goes on from a place is known before the place comes
+        alive, here = ends, lengths
+        for far in range(1, int(lengths.max(initial=0)) + 1):
+            alive, here = alive[here >= far], here[here >= far]
+            place = alive - far
+            sizes = count[place]
+            if not sizes.all():
+                place, sizes = place[sizes > 0], sizes[sizes > 0]
+            starts = np.cumsum(sizes) - sizes
+            i = np.repeat(first[place] - starts, sizes) + np.arange(int(sizes.sum()))
+            onward[place] = _log_sums(weight[i] + np.where(last[i], 0.0, onward[b[i]]), starts, sizes)
+        return a, b, ids, onward[:n], end, ends - lengths
+
+    def add(self, keys: list[str | int]) -> None:
+        """Entries of all keys that have none: rows of choices, in falling chance, for each place of a lattice."""
+        fresh = [k for k in dict.fromkeys(keys) if k not in self.known]
+        texts = [k for k in fresh if isinstance(k, str)]
+        if texts:
+            self._add_texts(texts)
+        single = [k for k in fresh if not isinstance(k, str)]
+        if single:
+            n, base = len(single), self.up_to.n
+            log_q, ids = np.full((n, LISTED + 1), -np.inf), np.full((n, LISTED + 1), -1)
+            log_q[:, 0], ids[:, 0] = 0.0, single
+            following = np.full((n, LISTED + 1), -1)
+            following[:, LISTED] = np.arange(base + 1, base + n + 1)
+            self._extend(single, np.arange(base, base + n), np.full((n, WIDE), 2.0), log_q, ids, following)
+
+    def _add_texts(self, texts: list[str]) -> None:
+        a, b, ids, onward, end, starts = self._lattices(texts)
+        base, n = self.up_to.n, len(end)
+        last = b == end[a]
+        ahead = np.where(last, 0.0, onward[np.minimum(b, n - 1)])
+        live = ahead > -np.inf
+        a, b, ids, last = a[live], b[live], ids[live], last[live]
+        x = self._weights[ids] + ahead[live] - onward[a]
+        count = np.bincount(a, minlength=n)
+        before = np.cumsum(count) - count
+        order = np.arange(len(a))
+        for size in range(2, int(count.max(initial=0)) + 1):
+            i = before[count == size][:, None] + np.arange(size)
+            order[i] = np.take_along_axis(i, np.argsort(-x[i], axis=1, kind="stable"), axis=1)
+        b, ids, last, x = b[order], ids[order], last[order], x[order]
+        rows = -(-count // LISTED)
+        first = np.cumsum(rows) - rows  # first row of a place, from the base
+        number, slot = np.divmod(np.arange(len(a)) - before[a], LISTED)
+        row, height = first[a] + number, int(rows.sum())
+        whole = np.zeros(height)
+        rest = np.full(height, -np.inf)
+        # a place of many choices: the mass of each of its rows, with that of the rows that go on from it
+        if (many := count[a] > LISTED).any():
+            top = np.full(height, -np.inf)
+            np.maximum.at(top, row[many], x[many])
+            mass = np.zeros(height)
+            np.add.at(mass, row[many], np.exp(x[many] - top[row[many]]))
+            held = np.flatnonzero(mass)
+            whole[held] = top[held] + np.log(mass[held])
+            for k in range(int(number.max()) - 1, -1, -1):
+                i = np.unique(row[many & (number == k) & (count[a] > (k + 1) * LISTED)])
+                rest[i] = whole[i + 1]
+                whole[i] = np.logaddexp(whole[i], whole[i + 1])
+        x = x - whole[row]
+        log_q, found = np.full((height, LISTED + 1), -np.inf), np.full((height, LISTED + 1), -1, np.int32)
+        following, up_to = np.full((height, LISTED + 1), -1), np.zeros((height, WIDE))
+        cell = row * (LISTED + 1) + slot
+        log_q.ravel()[cell], found.ravel()[cell] = x, ids
+        following.ravel()[cell] = np.where(last, -1, base + first[np.minimum(b, n - 1)])
+        following[:, LISTED] = np.arange(base + 1, base + height + 1)
+        log_q[:, LISTED] = rest - whole
+        chance = np.exp(x)
+        # the last choice of a place takes what rounding leaves
+        chance[np.arange(len(a)) == (before + count - 1)[a]] = 2.0
+        up_to.ravel()[row * WIDE + slot] = chance
+        np.cumsum(up_to[:, :LISTED], axis=1, out=up_to[:, :LISTED])
+        up_to[:, LISTED:] = 2.0
+        self._extend(texts, base + first[starts], up_to, log_q, found, following)
+
+    def _extend(self, keys: list, starts: np.ndarray, up_to: np.ndarray, log_q: np.ndarray, ids: np.ndarray, following: np.ndarray) -> None:
         for grown, found in ((self.up_to, up_to), (self.log_q, log_q), (self.ids, ids), (self.next, following)):
             grown.extend(found)
-        self.known[key] = len(self.of)
-        self.of.append(key)
-        self.start.extend([base])
-        return self.known[key]
+        number = self.gone + len(self.of)
+        self.known.update(zip(keys, range(number, number + len(keys)), strict=True))
+        self.of += keys
+        self.start.extend(starts)
+
+    def forget(self) -> int:
+        """Drops the older half of the entries; the others keep their numbers, the least of which it returns."""
+        half = len(self.of) // 2
+        cut = int(self.start.data[half])
+        for grown in (self.up_to, self.log_q, self.ids, self.next):
+            grown.cut(cut)
+        self.start.cut(half)
+        self.start.data[: self.start.n] -= cut
+        following = self.next.data[: self.next.n]
+        following[following >= 0] -= cut
+        self.of, self.gone = self.of[half:], self.gone + half
+        self.known = dict(zip(self.of, range(self.gone, self.gone + len(self.of)), strict=True))
+        return self.gone
+
+    def starts(self, entries: np.ndarray) -> np.ndarray:
+        """The first row of each entry."""
+        return self.start.data[entries - self.gone]
 
     def draw(self, row: int, without: dict, rng: np.random.Generator) -> int:
         """A choice that is not in ``without``, in proportion to its chance."""
@@ -143,7 +262,8 @@ class Spellings:
         """
         who, following, steps = np.arange(len(rows)), self.next.data.ravel(), []
         while len(who):
-            taken = (self.up_to.data[rows] <= rng.random(len(rows))[:, None]).sum(axis=1)
+            passed = self.up_to.data[rows] <= rng.random(len(rows))[:, None]
+            taken = np.bitwise_count(passed.view(np.uint64).ravel())  # eight truth values to a word
             steps.append((who, cells := rows * (LISTED + 1) + taken))
             rows = following[cells]
             who, rows = who[rows >= 0], rows[rows >= 0]
@@ -154,48 +274,79 @@ class Spellings:
         return out, np.repeat(np.arange(len(size)), size)
 
 
-def _log_sum(x: list[float]) -> float:
-    if len(x) == 1:
-        return x[0]
-    most = max(x, default=-math.inf)
-    return most if most == -math.inf else most + math.log(sum(math.exp(y - most) for y in x))
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    """1, base, base^2, ... modulo 2^64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def _slot(value: np.ndarray) -> np.ndarray:
+    return (value * common.MULTIPLIER) >> np.uint64(44)
+
+
+def _log_sums(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Log of the sum of the exponentials of each group of neighbours."""
+    if len(x) == len(starts):
+        return x
+    most = np.maximum.reduceat(x, starts)
+    base = np.where(most == -np.inf, 0.0, most)
+    with np.errstate(divide="ignore"):
+        return base + np.log(np.add.reduceat(np.exp(x - np.repeat(base, sizes)), starts))
 
 
 class Encoder(dict):
-    """Entries of a part between blanks; the library merges each part once."""
+    """Entries of the parts between blanks; the library merges each part once."""
 
     def __init__(self, spellings: Spellings):
         super().__init__()
         self.spellings, self.library = spellings, spellings.library
+        self.known = {x for x in spellings.piece if len(x) == 1}
         self.blank = self.library.encode("a ")[len(self.library.encode("a")) :]
 
-    def __missing__(self, part: str) -> list[int]:
-        found, stretch = [], ""
-        for i in self.library.encode(part) if part else self.blank:
-            if i in self.spellings.weight:
-                stretch += self.library.id_to_piece(i)
-                continue
-            if stretch:
-                found.append(self.spellings.entry(stretch))
-            found.append(self.spellings.entry(i))
-            stretch = ""
-        if stretch:
-            found.append(self.spellings.entry(stretch))
-        if len(part) <= 64:
-            self[part] = found
-        return found
-
-    def entries(self, text: str) -> np.ndarray:
-        """text: with plain blanks in place of the library's own."""
-        if not text:
-            return np.zeros(0, np.int64)
+    def all_entries(self, texts: list[str]) -> list[np.ndarray]:
+        """Entries of each text; blanks are plain ones. What is new to all texts is spelled at once."""
         if self.spellings.up_to.n > ROWS or len(self) > PARTS:
+            gone = self.spellings.forget()
+            kept = [(part, found) for part, found in self.items() if min(found) >= gone]
             self.clear()
-            self.spellings.clear()
-        parts = text.split(" ")
-        if "" in parts:
-            parts = [p[1:] for p in _PARTS.findall(" " + text)]
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, parts)), np.int64)
+            self.update(kept)
+        lists = [_split(text) for text in texts]
+        fresh = set(chain.from_iterable(lists)) - self.keys()
+        # the library leaves the characters of these texts as they are
+        plain = all(self.library.normalize(text) == BLANK + text.replace(" ", BLANK) for text in texts if text)
+        self._add(list(fresh), plain)
+        return [np.fromiter(chain.from_iterable(map(self.__getitem__, parts)), np.int64) for parts in lists]
+
+    def entries(self, text: str) -> np.ndarray:
+        return self.all_entries([text])[0]
+
+    def _add(self, parts: list[str], plain: bool) -> None:
+        """plain: a part of characters that are all pieces is one stretch, whatever the library merges in it."""
+        known = self.known.issuperset
+        keys = [[BLANK + part] if plain and part and known(part) else self._stretches(part) for part in parts]
+        self.spellings.add(list(chain.from_iterable(keys)))
+        number = self.spellings.known.__getitem__
+        self.update(zip(parts, [list(map(number, found)) for found in keys], strict=True))
+
+    def _stretches(self, part: str) -> list[str | int]:
+        """What the library makes of a part: stretches of pieces in the lattice, and pieces outside it."""
+        out: list[str | int] = []
+        ids = self.library.encode(part) if part else self.blank
+        for plain, run in groupby(ids, self.spellings.weight.__contains__):
+            out += ["".join(map(self.library.id_to_piece, run))] if plain else run
+        return out
+
+
+def _split(text: str) -> list[str]:
+    if not text:
+        return []
+    parts = text.split(" ")
+    return [p[1:] for p in _PARTS.findall(" " + text)] if "" in parts else parts
 
 
 @dataclass
@@ -236,7 +387,7 @@ def sample(entries: np.ndarray, s: Spellings, k: int, rng: np.random.Generator)
     inclusion score is the log of the chance to be drawn, given the least time that
     is left out; it is 0 if nothing is left out.
     """
-    starts, width = s.start.data[entries], LISTED + 1
+    starts, width = s.starts(entries), LISTED + 1
     queue, number, done = [Node(float(np.log(rng.standard_exponential())), 0, None, -1, {})], 1, []
 
     def wait(late: float, mass: float, path: Segmentation, place: int, without: dict) -> None:
@@ -311,11 +462,9 @@ def sampled_segmentations(docs: DataFrame, model: str, k: int = SAMPLES, seed: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spellings = Spellings(data)
         encoder = Encoder(spellings)
-        for ids, texts in common.rows(batches, "doc_id", "text", bound=2 << 20):
-            out = []
-            for d, text in zip(ids, texts, strict=True):
-                text = (text or "").replace(BLANK, " ")
-                entries = encoder.entries(text)
+        for ids, texts in common.rows(batches, "doc_id", "text", bound=SLICE):
+            out, texts = [], [(text or "").replace(BLANK, " ") for text in texts]
+            for d, text, entries in zip(ids, texts, encoder.all_entries(texts), strict=True):
                 rng = np.random.Generator(np.random.Philox(key=[seed, (-1 if d is None else d) & (1 << 64) - 1]))
                 for i, (found, *numbers) in enumerate(sample(entries, spellings, k, rng)):
                     decoded = spellings.library.decode(found.tolist()) == text

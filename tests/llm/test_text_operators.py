@@ -259,3 +259,38 @@ def test_language_evidence_is_fused(spark):
     assert got[44].text_lang == "en" and 0 <= got[43].probability <= 1
     assert language.identify(pages.limit(0), docs).count() == 0
     assert {r.lang for r in language.identify(pages, docs.limit(0)).collect()} == {None}
+
+
+def test_samples_do_not_depend_on_what_is_remembered(spark, docs, monkeypatch):
+    read = lambda: sorted((r.doc_id is None, r.doc_id or 0, r.sample, tuple(r.ids), r.log_p, r.inclusion) for r in segment.sampled_segmentations(docs, MODEL).collect())
+    whole = read()
+    with open(MODEL, "rb") as f:
+        data = f.read()
+    monkeypatch.setattr(segment, "ROWS", 40)
+    monkeypatch.setattr(segment, "PARTS", 3)
+    s = segment.Spellings(data)
+    encoder, again = segment.Encoder(s), []
+    for r in docs.collect():
+        entries = encoder.entries((r.text or "").replace("▁", " "))
+        rng = np.random.Generator(np.random.Philox(key=[segment.SEED, (-1 if r.doc_id is None else r.doc_id) & (1 << 64) - 1]))
+        for i, (ids, log_p, _, inclusion) in enumerate(segment.sample(entries, s, 2, rng)):
+            again.append((r.doc_id is None, r.doc_id or 0, i, tuple(ids.tolist()), log_p, inclusion))
+    assert s.gone > 0 and sorted(again) == whole
+    assert segment.sampled_segmentations(docs.limit(0), MODEL).count() == 0
+
+
+def test_lattice_has_every_piece_at_every_place():
+    with open(MODEL, "rb") as f:
+        s = segment.Spellings(f.read())
+    rng = random.Random(1)
+    for _ in range(40):
+        text = "▁" + "".join(rng.choice("theandringoslmé日") for _ in range(rng.randint(0, 20)))
+        if not set(text) <= set(s.piece):
+            continue
+        _, edges, onward = s.lattice(text)
+        want = [[(b, s.piece[text[a:b]]) for b in range(a + 1, len(text) + 1) if text[a:b] in s.piece] for a in range(len(text))]
+        assert edges == want
+        back = [0.0] * (len(text) + 1)
+        for a in range(len(text) - 1, -1, -1):
+            back[a] = np.logaddexp.reduce([s.weight[e] + back[b] for b, e in want[a]])
+        assert np.allclose(back, onward)
