@@ -50,6 +50,11 @@ def width(spark: SparkSession) -> int:
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) | 1
 
 
+def width_of(spark: SparkSession, entries: int) -> int:
+    """Buckets of an exchange of so many entries: a million or so in each, two for each core at least, made odd."""
+    return max(2 * spark.sparkContext.defaultParallelism, entries >> 20) | 1
+
+
 class HashCache(dict):
     """64-bit hash of each key, remembered up to a bound on the entries."""
 

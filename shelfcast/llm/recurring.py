@@ -106,13 +106,16 @@ def _documents(rule: Rule) -> Callable[[pa.Table, pa.Table], Iterator[tuple]]:
     return documents
 
 
-def recurring(entries: DataFrame, info: DataFrame, rule: Rule, rounds: int) -> DataFrame:
+def recurring(entries: DataFrame, info: DataFrame, rule: Rule, rounds: int, buckets: int | None = None) -> DataFrame:
     """Rows of ``BY_DOCUMENT`` with the hashes of each document that occur elsewhere too.
 
     info: (doc_id, n), one row per document that may stay. rule(shared, n) says
-    whether a document stays; ``f`` counts occurrences as of the last round.
+    whether a document stays; ``f`` counts occurrences as of the last round. ``buckets``:
+    as the entries were packed, by the session's partitions if not given. A bucket of
+    hashes sends at most one row to each bucket of documents, and never more than it
+    has entries.
     """
-    buckets = common.width(entries.sparkSession)
+    buckets = buckets or common.width(entries.sparkSession)
     info = info.select(F.expr(f"cast(pmod(doc_id, {buckets}) as int)").alias("bucket"), "doc_id", "n")
     shared, documents = _shared(buckets), _documents(rule)
 
