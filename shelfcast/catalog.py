@@ -32,7 +32,7 @@ from shelfcast.plans import features as P
 from shelfcast.plans import forecast as FC
 from shelfcast.plans import preprocess as PP
 from shelfcast.plans import training as TR
-from shelfcast.session import by_day, run_folder, sized, table
+from shelfcast.session import by_day, file_listing, run_folder, sized, table
 from shelfcast.sources import files
 from shelfcast.sources.retail import Retail
 
@@ -219,12 +219,12 @@ class Views:
         return run_folder(self.spark, "out", tag, name)
 
 
-_views: dict[tuple[str, str, str, int | None], Views] = {}
+_views: dict[tuple[str, str, str, int | None, str], Views] = {}
 
 
 def views(spark: SparkSession, folder: str, store: str = "nation", rounds: int | None = None) -> Views:
-    """One set of views per application, folder and rounds, so files are listed once."""
-    key = (spark.sparkContext.applicationId, folder, store, rounds)
+    """One set of views per application, rounds and state of the folder's files: changed files give new answers."""
+    key = (spark.sparkContext.applicationId, folder, store, rounds, file_listing(spark, folder))
     if key not in _views:
         _views[key] = Views(spark, folder, store, rounds)
     return _views[key]

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfcast.operators.ranges import range_positions
 from shelfcast.session import sized
 
 
@@ -13,7 +13,8 @@ def fit_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     """Tidy dictionary (column_name, value, code). Numbers sort as numbers, text by bytes.
 
     The combinations that occur are reduced first, so each row is hashed once
-    and only the few combinations are unpivoted.
+    and only the few combinations are unpivoted. Values are dealt out by ranges, so a
+    column may have more of them than one task can order.
     """
     kinds = dict(df.dtypes)
     found = df.select(*columns).distinct()
@@ -27,16 +28,14 @@ def fit_codes(df: DataFrame, columns: list[str]) -> DataFrame:
             for c in columns
         ]
     )
-    order = W.partitionBy("column_name").orderBy("number", "value")
-    return (
+    values = (
         found.select(F.explode(pairs).alias("p"))
         .select("p.*")
         .where(F.col("value").isNotNull())
         .distinct()
-        .select(
-            "column_name", "value", (F.row_number().over(order) - 1).cast("int").alias("code")
-        )
     )
+    placed = range_positions(values, [F.col("number").asc(), F.col("value").asc()], by="column_name")
+    return placed.select("column_name", "value", F.col("position").cast("int").alias("code"))
 
 
 def apply_codes(df: DataFrame, codes: DataFrame, columns: list[str]) -> DataFrame:

@@ -20,6 +20,7 @@ from shelfcast.config import (
 )
 from shelfcast.functions.calendar import calendar_columns, flag, impact_type
 from shelfcast.operators.positions import over_rows, with_positions
+from shelfcast.operators.ranges import range_positions
 from shelfcast.session import by_day, sized
 
 
@@ -249,39 +250,20 @@ def stats_columns(as_of=None) -> dict:
     }
 
 
-def store_ranking(df: DataFrame, as_of=None, bands: int = 4096) -> DataFrame:
+def store_ranking(df: DataFrame, as_of=None) -> DataFrame:
     """Stores by total log sales, largest first; ties share their average rank, truncated.
 
-    Equal totals are counted once, then ordered inside bands of equal width
-    whose sizes give the ranks before them: no task orders all stores.
+    Positions come from ranges of the totals: no task orders all stores, and stores of
+    one total are told apart by their number, so they may fill several ranges.
     """
     rows = df if as_of is None else df.where(F.col("date") <= as_of)
     # Sums that differ only by the order of addition must not break a tie.
     total = F.round(F.coalesce(F.sum(TARGET), F.lit(0.0)), 6).alias("total")
     totals = rows.groupBy("store_nbr").agg(total)
-    ends = totals.agg(F.struct(F.max("total").alias("top"), F.min("total").alias("low"))).scalar()
-    share = F.try_divide(
-        F.col("ends.top") - F.col("total"), F.col("ends.top") - F.col("ends.low")
-    )  # null if all totals are equal
-    ties = (
-        totals.groupBy("total")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("ends", ends)
-        .withColumn("band", F.coalesce(F.floor(share * bands), F.lit(0)))
-        .drop("ends")
-    )
-    earlier = W.orderBy("band").rowsBetween(W.unboundedPreceding, -1)  # one row per band
-    starts = (
-        ties.groupBy("band")
-        .agg(F.sum("n").alias("size"))
-        .select("band", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"))
-    )
-    above = W.partitionBy("band").orderBy(F.desc("total")).rowsBetween(W.unboundedPreceding, -1)
-    better = F.col("start") + F.coalesce(F.sum("n").over(above), F.lit(0))
-    ranks = ties.join(F.broadcast(starts), "band").select(
-        "total", F.floor(better + (F.col("n") + 1) / 2).cast("int").alias("ranking_tienda")
-    )
-    return totals.join(ranks, "total").select("store_nbr", "total", "ranking_tienda")
+    placed = range_positions(totals, [F.col("total").desc(), F.col("store_nbr").asc()])
+    rank = F.floor(F.min("position") + (F.count(F.lit(1)) + 1) / 2).cast("int").alias("ranking_tienda")
+    ranks = placed.groupBy("total").agg(rank)
+    return placed.join(ranks, "total").select("store_nbr", "total", "ranking_tienda")
 
 
 def series_std(df: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 # A table is broadcast only when it has been counted below this many rows.
 BROADCAST_ROWS = 500_000
+# Files of this size are small whatever their rows.
+BROADCAST_BYTES = 8 << 20
 ROWS_PER_BUCKET = 1_000_000
 
 _written: dict[tuple[str, str, str], DataFrame] = {}
@@ -60,6 +62,33 @@ def run_folder(spark: SparkSession, *parts: str) -> str:
     return "/".join([shared_folder(spark).rstrip("/"), f"shelfcast-{app}-{_run}", *parts])
 
 
+def file_listing(spark: SparkSession, folder: str) -> str:
+    """Short digest of the paths, sizes and times of all files below a folder: it changes when one of them does."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha1(repr(sorted(found)).encode()).hexdigest()[:10]
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back: what follows reads the same rows however often."""
+    path = run_folder(df.sparkSession, "staged", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Removes all that this application has written to its own folder. No table of it can be read afterwards."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _written if k[0] == app]:
+        del _written[key]
+
+
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a table counted to be small; otherwise the table as it is.
 
@@ -69,7 +98,17 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Counts in all tasks: a limit would bring the rows of all into one."""
+    """Whether a table has at most ``limit`` rows, or little enough to broadcast in any case.
+
+    What Spark knows of the files decides where that is enough: the number of rows, or a
+    size that only filters and projections can lessen. Else the rows are counted, in all
+    tasks: a limit would bring the rows of all into one.
+    """
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    if stats.rowCount().isDefined():
+        return int(str(stats.rowCount().get())) <= limit
+    if limit >= BROADCAST_ROWS and int(str(stats.sizeInBytes())) <= BROADCAST_BYTES:
+        return True
     return df.count() <= limit
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.config import SERIES
-from shelfcast.session import bucket_count, table
+from shelfcast.session import bucket_count, file_listing, table
 
 # Yearly holiday rules (month, day, type, locale, locale_name,
 # description, transferred). Every year of the sales data gets one copy.
@@ -43,7 +43,8 @@ class Retail:
 
     def __init__(self, spark: SparkSession, folder: str, store: str = "nation"):
         self.spark, self.folder, self.store = spark, folder.rstrip("/"), store
-        self.source = f"{self.folder}#{store}"
+        # what is written belongs to these very files
+        self.source = f"{self.folder}#{store}#{file_listing(spark, self.folder)}"
         self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:

@@ -448,3 +448,55 @@ def test_holdout_and_folds_are_cut_below_the_window(spark, small):
     assert ">= scalar-subquery" in plan[plan.index("Window [") :]
     folds = catalog.QUERIES["walk_forward_folds"](v)._jdf.queryExecution().optimizedPlan().toString()
     assert "lag(" not in folds and "row_number" in folds
+
+
+def test_quantiles_of_a_narrow_range_are_split_until_a_task_can_order_them(spark):
+    from shelfcast.operators import quantiles as Q
+
+    rng = np.random.default_rng(2)
+    values = np.round(rng.random(30_000) * 0.01, 9)
+    rows = [(None if i % 3 == 0 else "a", float(v)) for i, v in enumerate(values)] + [("b", 7.0)] * 5 + [("c", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(6)
+    probs = {"q1": 0.25, "median": 0.5, "p99": 0.99}
+    got = {r.g: r for r in exact_quantiles(df, "x", probs, ["g"], ordered=500).collect()}
+    assert set(got) == {None, "a", "b"}
+    for g, part in ((None, values[::3]), ("a", np.delete(values, np.s_[::3])), ("b", np.full(5, 7.0))):
+        for name, p in probs.items():
+            assert got[g][name] == pytest.approx(np.quantile(part, p), rel=1e-12)
+    one = exact_quantiles(df, "x", probs, ordered=500).first()
+    flat = np.append(values, np.full(5, 7.0))
+    assert [one[n] for n in probs] == pytest.approx([np.quantile(flat, p) for p in probs.values()], rel=1e-12)
+    freq = df.where("x is not null").groupBy(F.col("x").alias("_v")).agg(F.count("*").alias("_n"))
+    ranks, areas = Q._areas(freq, [], probs, 500)
+    assert ranks.agg(F.max("_m")).first()[0] <= 500
+    assert Q._within(freq, areas, []).groupBy("_before").count().agg(F.max("count")).first()[0] <= 500
+
+
+def test_positions_come_from_ranges(spark):
+    from shelfcast.operators.ranges import range_positions
+
+    df = spark.range(5000).selectExpr("cast(id % 7 as string) g", "cast(hash(id) as double) v", "id")
+    rows = range_positions(df, [F.col("v").desc(), F.col("id").asc()], by="g").toPandas()
+    for _, part in rows.groupby("g"):
+        assert part.sort_values(["v", "id"], ascending=[False, True])["position"].tolist() == list(range(len(part)))
+    plan = fit_codes(df.select("g", "v"), ["g", "v"])._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan
+    assert range_positions(df.limit(0), [F.col("v").asc()]).count() == 0
+
+
+def test_changed_files_give_new_answers(spark, small):
+    import shutil
+
+    import pyarrow.parquet as pq
+
+    from shelfcast import catalog, session
+
+    folder = session.run_folder(spark, "test-listing")
+    shutil.copytree(small, folder, copy_function=shutil.copyfile)
+    old = catalog.views(spark, folder)
+    before = old.oil.count()
+    assert catalog.views(spark, folder) is old
+    pq.write_table(pq.read_table(f"{small}/orders.parquet").slice(0, 10), f"{folder}/orders.parquet")
+    new = catalog.views(spark, folder)
+    assert new is not old and new.retail.source != old.retail.source
+    assert new.oil.count() < before == old.oil.count()
