@@ -608,8 +608,8 @@ _add("impute_nulls", lambda v: rounded(impute_nulls(v.merged()), {**_HOLIDAY, "t
 _add("oil_by_day", lambda v: oil_by_day(v.train.select("date").distinct(), v.oil).select(
         "date", F.round("dcoilwtico", 6).alias("dcoilwtico")),
      "select date, round(dcoilwtico, 6) as dcoilwtico from oil_day")
-_add("oil_interpolate", lambda v: rounded(oil_by_row(v.train, v.oil), _digits(["dcoilwtico"])),
-     rounded_sql("""(select date, store_nbr, family, coalesce(v,
+_ROWS = "partition by store_nbr order by date, family"
+_OIL_ROWS = """(select date, store_nbr, family, coalesce(v,
           case when pl is not null and pr is not null
             then vl + (vr - vl) * (p - pl) / (pr - pl) end, vl, vr) as dcoilwtico
         from (select *,
@@ -623,7 +623,9 @@ _add("oil_interpolate", lambda v: rounded(oil_by_row(v.train, v.oil), _digits(["
         window b as (partition by store_nbr order by p
                  rows between unbounded preceding and current row),
                a as (partition by store_nbr order by p
-                 rows between current row and unbounded following)))""", _digits(["dcoilwtico"])))
+                 rows between current row and unbounded following)))"""
+_add("oil_interpolate", lambda v: rounded(oil_by_row(v.train, v.oil), _digits(["dcoilwtico"])),
+     rounded_sql(_OIL_ROWS, _digits(["dcoilwtico"])))
 _add("fill_edges", lambda v: fill_edges(v.train.select("date").distinct().join(
         by_day(v.oil), "date", "left"), "dcoilwtico", [], ["date"]),
      """select date, coalesce(last_value(dcoilwtico ignore nulls) over (order by date
@@ -632,6 +634,9 @@ _add("fill_edges", lambda v: fill_edges(v.train.select("date").distinct().join(
          rows between current row and unbounded following)) as dcoilwtico from oil_days""")
 _add("preprocess", lambda v: rounded(PP.preprocess(v.tables)["train"], _PROCESSED),
      rounded_sql("processed", _PROCESSED))
+_add("preprocess_row", lambda v: rounded(PP.preprocess(v.tables, oil_grain="row")["train"], _PROCESSED),
+     rounded_sql(f"""(select p.* exclude (dcoilwtico), o.dcoilwtico
+       from processed p join {_OIL_ROWS} o using (date, store_nbr, family))""", _PROCESSED))
 _add("preprocess_test", lambda v: rounded(PP.preprocess(v.tables, predict=True)["test"], _HOLIDAY),
      rounded_sql("(select p.* from processed p join fx_test using (date, store_nbr, family))", _HOLIDAY))
 
@@ -653,6 +658,8 @@ for _h in (7, 30):
     _all = O.feature_columns(_h)
     _add(f"target_lags_h{_h}", lambda v, h=_h, c=_lag: rounded(G.target_lags(v.processed(), h), c),
          rounded_sql(f"windowed_{_h}", _lag))
+    _add(f"features_h{_h}_row", lambda v, h=_h, c=_all: rounded(v.features(h, "row"), c),
+         rounded_sql(f"row_features_{_h}", _all), O.row_grain(_h, _ROWS))
     _add(f"rolling_h{_h}",
          lambda v, h=_h, c={**_roll, "cv_ventas": 6}: rounded(G.rolling_features(v.processed(), h), c),
          rounded_sql(f"""(select *, rolling_std_{ROLLING_WINDOWS[_h][-1]}d
@@ -664,7 +671,6 @@ _PROMO = {"tiene_promo": None, "promo_lag_7": None, "rolling_promo_mean_14": 6}
 _add("promo_features", lambda v: rounded(G.promo_features(v.train, 7), _PROMO),
      rounded_sql("windowed_7", _PROMO))
 _OIL = _digits([f"oil_lag_{k}" for k in LAGS[7]] + [f"oil_rolling_mean_{w}" for w in ROLLING_WINDOWS[7]])
-_ROWS = "partition by store_nbr order by date, family"
 
 
 def _oil_days(v: Views) -> DataFrame:

@@ -201,8 +201,7 @@ def _before(value: str, k: int) -> tuple:
     return F.first(value), -k, -k
 
 
-def oil_row_features(panel: DataFrame, horizon: int) -> DataFrame:
-    """Lags and means of the price in panel rows of the store, whatever their day."""
+def _oil_rows(horizon: int) -> dict:
     columns = {f"oil_lag_{k}": _before("dcoilwtico", k) for k in LAGS[horizon]}
     for w in ROLLING_WINDOWS[horizon]:
         columns[f"oil_rolling_mean_{w}"] = (
@@ -210,19 +209,35 @@ def oil_row_features(panel: DataFrame, horizon: int) -> DataFrame:
             -(horizon + w - 1),
             -horizon,
         )
-    lookback = max(max(LAGS[horizon]), horizon + max(ROLLING_WINDOWS[horizon]) - 1)
-    return over_rows(with_positions(panel), columns, lookback).drop("first_row", "rows", "row")
+    return columns
 
 
-def trans_row_features(panel: DataFrame, horizon: int) -> DataFrame:
-    """Lag and mean of transactions in panel rows of the store."""
-    columns = {
+def _trans_rows(horizon: int) -> dict:
+    return {
         f"trans_lag_{horizon}": _before("transactions", horizon),
         f"trans_rolling_mean_{horizon}": (F.avg("transactions"), -(2 * horizon - 1), -horizon),
     }
-    return over_rows(with_positions(panel), columns, 2 * horizon - 1).drop(
-        "first_row", "rows", "row"
-    )
+
+
+def _over_panel_rows(panel: DataFrame, columns: dict) -> DataFrame:
+    """Columns over the rows of a store: positions are worked out once, whatever the columns."""
+    lookback = max(-first for _, first, _ in columns.values())
+    return over_rows(with_positions(panel), columns, lookback).drop("first_row", "rows", "row")
+
+
+def oil_row_features(panel: DataFrame, horizon: int) -> DataFrame:
+    """Lags and means of the price in panel rows of the store, whatever their day."""
+    return _over_panel_rows(panel, _oil_rows(horizon))
+
+
+def trans_row_features(panel: DataFrame, horizon: int) -> DataFrame:
+    """Lag and mean of transactions in panel rows of the store."""
+    return _over_panel_rows(panel, _trans_rows(horizon))
+
+
+def row_features(panel: DataFrame, horizon: int) -> DataFrame:
+    """Both of the above from one table of positions and one window."""
+    return _over_panel_rows(panel, {**_oil_rows(horizon), **_trans_rows(horizon)})
 
 
 # --- stores and series --------------------------------------------------------

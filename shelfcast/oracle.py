@@ -201,11 +201,24 @@ def _coded(h: int, windowed: str, days: str) -> str:
       where {" and ".join(f"{c} is not null" for c in lags)}"""
 
 
-def _windowed(h: int, source: str, stats: bool) -> str:
-    own = """, avg(sales) over (partition by store_nbr, family) as venta_media_historica,
+_OWN = """, avg(sales) over (partition by store_nbr, family) as venta_media_historica,
       stddev_samp(sales) over (partition by store_nbr, family) as venta_std_historica"""
+
+
+def row_grain(h: int, rows: str) -> dict[str, str]:
+    """Steps to the feature table whose oil and transaction columns count rows of a store."""
+    days = _distance("(select date, max(es_festivo) as es_festivo from flagged group by date)")
+    return {
+        "row_days": days,
+        f"row_windowed_{h}": f"""select *, {_lags("sales", LAGS[h], "lag_")}, {_rolling(h)}, {_promo(h)},
+          {_trans(h, rows)}, {_oil(h, rows)} {_OWN} from flagged""",
+        f"row_features_{h}": _coded(h, f"row_windowed_{h}", "row_days"),
+    }
+
+
+def _windowed(h: int, source: str, stats: bool) -> str:
     return f"""select *, {_lags("sales", LAGS[h], "lag_")}, {_rolling(h)}, {_promo(h)}, {_trans(h)}
-      {own if stats else ""} from {source}"""
+      {_OWN if stats else ""} from {source}"""
 
 
 def _future(h: int) -> dict[str, str]:

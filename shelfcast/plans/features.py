@@ -79,7 +79,7 @@ def raw_features(
     df = X.variation(X.rolling_statistics(coded.withColumns(windows), horizon), horizon)
     df = store_features(df, state["ranking"], state.get("stats"), as_of)
     if grain == "row":
-        df = X.trans_row_features(X.oil_row_features(df, horizon), horizon)
+        df = X.row_features(df, horizon)
         days = flagged.groupBy("date").agg(F.max("es_festivo").alias("es_festivo"))
         df = X.join_days(df, X.holiday_distance(days).drop("es_festivo"))
     else:
