@@ -94,7 +94,11 @@ class Views:
 
     def merged(self) -> DataFrame:
         """Panel with all dimensions, nothing imputed."""
-        return enrich_panel(self.train, self.stores, self.oil, self.transactions, self.holidays)
+        return enrich_panel(self.train, self.stores, self.oil, self.transactions, self.holidays, self.alike)
+
+    def alike(self, name: str, df: DataFrame) -> DataFrame:
+        """A table in the buckets of the panel, written once."""
+        return self.written(name, lambda: df, keys=SERIES, buckets=self.retail.buckets())
 
     def with_holidays(self) -> DataFrame:
         """Panel with stores and holidays only, for queries that read no more."""
@@ -112,7 +116,7 @@ class Views:
         """Processed panel, written once and bucketed by series."""
         return self.written(
             "processed",
-            lambda: G.log_target(PP.process(self.train, self.tables)),
+            lambda: G.log_target(PP.process(self.train, self.tables, alike=self.alike)),
             keys=SERIES,
             buckets=self.retail.buckets(),
         )

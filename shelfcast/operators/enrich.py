@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfcast.config import SERIES
 from shelfcast.operators.impute import prices
 from shelfcast.session import by_day, is_small, sized
 
@@ -55,24 +58,44 @@ def join_holidays(panel: DataFrame, holidays: DataFrame) -> DataFrame:
     )
 
 
+def _for_series(panel: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows of a table of stores, repeated for each series of the store."""
+    return panel.select(*SERIES).distinct().join(table, "store_nbr")
+
+
+def _join_stores(
+    panel: DataFrame, table: DataFrame, days: list[str], name: str, alike: Callable[[str, DataFrame], DataFrame] | None
+) -> DataFrame:
+    """Adds the columns of a table of stores, or of stores and days.
+
+    A small table is broadcast. A larger one is brought to the series and written by
+    ``alike`` in the buckets of the panel, so that both sides meet bucket by bucket and the
+    panel stays where it is; without ``alike`` Spark shuffles both and splits skewed
+    partitions.
+    """
+    if alike is None or is_small(table):
+        return panel.join(sized(table), [*days, "store_nbr"], "left")
+    held = alike(name, _for_series(panel, table))
+    return panel.join(held.hint("merge"), [*SERIES, *days], "left")
+
+
 def enrich_panel(
     panel: DataFrame,
     stores: DataFrame,
     oil: DataFrame,
     transactions: DataFrame,
     holidays: DataFrame,
+    alike: Callable[[str, DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Store attributes, oil price, transactions and holidays for every panel row.
 
-    All joins keep the panel where it is as long as the dimensions are small.
-    Transactions have a row per store and day: if those grow past the limit,
-    Spark shuffles both sides and splits skewed partitions.
+    All joins keep the panel where it is: dimensions are broadcast while they are
+    small, and with ``alike`` (see ``_join_stores``) stores and transactions beyond that
+    are bucketed like the panel.
     """
-    merged = (
-        panel.join(sized(stores), "store_nbr", "left")
-        .join(by_day(prices(oil)), "date", "left")
-        .join(sized(transactions), ["date", "store_nbr"], "left")
-    )
+    merged = _join_stores(panel, stores, [], "stores_by_series", alike)
+    merged = merged.join(by_day(prices(oil)), "date", "left")
+    merged = _join_stores(merged, transactions, ["date"], "transactions_by_series", alike)
     columns = [
         *panel.columns,
         *[c for c in stores.columns if c != "store_nbr"],

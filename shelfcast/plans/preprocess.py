@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from shelfcast.operators.enrich import enrich_panel
@@ -11,9 +13,13 @@ from shelfcast.operators.quality import require_unique
 
 
 def process(
-    panel: DataFrame, tables: dict[str, DataFrame], oil_grain: str = "day", check: bool = False
+    panel: DataFrame,
+    tables: dict[str, DataFrame],
+    oil_grain: str = "day",
+    check: bool = False,
+    alike: Callable[[str, DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Enrich and impute one panel.
+    """Enrich and impute one panel. ``alike`` writes a table in the buckets of the panel.
 
     ``oil_grain="day"`` interpolates the price over days. ``"row"`` counts every
     panel row of a store as a step, so rows of one day differ.
@@ -22,7 +28,7 @@ def process(
     if oil_grain == "day":
         oil = oil_by_day(panel.select("date").distinct(), oil)
     merged = enrich_panel(
-        panel, tables["stores"], oil, tables["transactions"], tables["holidays_events"]
+        panel, tables["stores"], oil, tables["transactions"], tables["holidays_events"], alike
     )
     if oil_grain == "row":
         merged = oil_by_row(merged.drop("dcoilwtico"), tables["oil"])

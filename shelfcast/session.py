@@ -33,6 +33,8 @@ def build_session(cpus: int | str = "*", app: str = "shelfcast", **conf: str) ->
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.adaptive.enabled", "true")
+        # tables in the buckets of a series are joined by series and day without a shuffle
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -145,7 +147,7 @@ def table(
                 df.repartition(buckets, *keys)
                 .write.mode("overwrite")
                 .bucketBy(buckets, *keys)
-                .sortBy("date")
+                .sortBy(*(["date"] if "date" in df.columns else keys))
                 .option("path", path)
                 .saveAsTable(catalog_name)
             )

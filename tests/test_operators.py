@@ -500,3 +500,31 @@ def test_changed_files_give_new_answers(spark, small):
     new = catalog.views(spark, folder)
     assert new is not old and new.retail.source != old.retail.source
     assert new.oil.count() < before == old.oil.count()
+
+
+def test_large_dimensions_meet_the_panel_in_its_buckets(spark, small, monkeypatch):
+    from shelfcast import catalog
+    from shelfcast.operators import enrich
+
+    v = catalog.views(spark, small)
+    want = v.merged()
+    monkeypatch.setattr(enrich, "is_small", lambda df, *a: "locale" in df.columns)  # holidays alone are broadcast
+    monkeypatch.setattr(v, "written", lambda name, build, keys=None, buckets=None: session_table(spark, name, build, keys, buckets))
+    v.train, v.stores, v.oil, v.transactions, v.holidays  # noqa: B018  written before broadcasts end
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = v.merged()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        panel = [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]
+        # whatever is shuffled (dates of holidays, prices) is not the panel: its joins are merges of buckets
+        assert plan.count("SortMergeJoin [store_nbr") == 2
+        assert not [line for line in panel if "family" in line or "hashpartitioning(store_nbr" in line or "hashpartitioning(date" in line and "store_nbr" in line]
+        assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def session_table(spark, name, build, keys, buckets):
+    from shelfcast.session import table
+
+    return table(spark, "test-alike", name, build, keys=keys, buckets=buckets)
