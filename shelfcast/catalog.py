@@ -526,6 +526,18 @@ def _lag_null_pct(v: Views) -> DataFrame:
 
 
 _add("lag_null_pct", _lag_null_pct, _lag_nulls_sql(7))
+
+
+def _difference_sql() -> str:
+    """Columns of the daily feature table beside those of the monthly one."""
+    have, want = [c for c in O.feature_columns(7)], [c for c in O.feature_columns(30)]
+    parts = [f"select '{c}' as column_name, '{'expected' if c in want else 'extra'}' as status, count({c}) as filled from features_7" for c in have]
+    parts += [f"select '{c}', 'missing', cast(null as bigint)" for c in want if c not in have]
+    return " union all ".join(parts)
+
+
+_add("column_difference", lambda v: Q.column_difference(
+        v.features(7).select(*O.feature_columns(7)), list(O.feature_columns(30))), _difference_sql())
 _add("oil_null_days", lambda v: Q.days_without_quote(v.oil),
      "select date from fx_oil where dcoilwtico is null")
 
@@ -555,6 +567,11 @@ def _narrow(v: Views) -> DataFrame:
 
 _add("narrow_types", _narrow, """select date, store_nbr, family, transactions,
   round(cast(cast(sales as real) as double), 3) as sales from processed""")
+_add("narrow_type_names", lambda v: G.narrow_types(v.processed()).groupBy().agg(
+        *[F.max(F.typeof(c)).alias(c) for c in ("sales", "dcoilwtico", "transactions", "cluster")],
+        F.count(F.lit(1)).alias("n_rows")),
+     """select 'float' as sales, 'float' as dcoilwtico, 'int' as transactions, 'int' as cluster,
+       count(*) as n_rows from processed""")
 _add("feature_selection", lambda v: v.features(7).groupBy().agg(
         F.lit(len(P.feature_columns(v.features(7)))).alias("n_features"),
         F.count(F.lit(1)).alias("n_rows")),

@@ -69,6 +69,14 @@ def check_features(df: DataFrame, features: list[str]) -> DataFrame:
     return df
 
 
+def column_difference(df: DataFrame, expected: list[str]) -> DataFrame:
+    """(column_name, status, filled): each column that the table has, lacks or has besides, with its filled rows."""
+    missing = [c for c in expected if c not in df.columns]
+    counts = df.agg(*[F.count(c).alias(c) for c in df.columns]).withColumns({c: F.lit(None).cast("long") for c in missing})
+    status = F.when(F.col("column_name").isin(missing), "missing").when(F.col("column_name").isin(expected), "expected").otherwise("extra")
+    return unpivot(counts, [*df.columns, *missing], "column_name", "filled").select("column_name", status.alias("status"), "filled")
+
+
 def repeated_dates(holidays: DataFrame) -> DataFrame:
     """All holiday rows on dates that occur more than once."""
     counts = holidays.groupBy("date").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
