@@ -108,10 +108,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     return rows.select("block", "doc_id", "nth", "text", F.col("after.doc_id").alias("next_id"), F.col("after.text").alias("next_text"))
 
 
-def near_counts(prints: DataFrame, radius: int = RADIUS, every: int = QUERY_EVERY) -> DataFrame:
-    """(doc_id, near_docs) for ids divisible by ``every``: other rows within the Hamming radius.
+def near_counts(prints: DataFrame, keys: list[str], radius: int = RADIUS, every: int = QUERY_EVERY) -> DataFrame:
+    """(keys, near_docs) for ids divisible by ``every``: other rows within the Hamming radius.
 
-    prints: (doc_id, high, low). Fingerprints are cut into radius + 1 blocks; within
+    prints: (keys, high, low); keys, with doc_id among them, identify a row. Fingerprints are cut into radius + 1 blocks; within
     the radius one block is equal, so a table by each block finds every pair. A pair
     counts in the first table that has it. Equal fingerprints are held as one.
     """
@@ -141,8 +141,8 @@ def near_counts(prints: DataFrame, radius: int = RADIUS, every: int = QUERY_EVER
     )
     pairs = pairs.where(near & ~F.coalesce(earlier, F.lit(False)))
     found = pairs.groupBy(F.col("a_high").alias("high"), F.col("a_low").alias("low")).agg(F.sum("b_docs").alias("found"))
-    asked_rows = prints.where(F.col("doc_id") % every == 0).select("doc_id", "high", "low")
-    return asked_rows.join(found, ["high", "low"]).select("doc_id", (F.col("found") - 1).alias("near_docs")).distinct()
+    asked_rows = prints.where(F.col("doc_id") % every == 0).select(*keys, "high", "low")
+    return asked_rows.join(found, ["high", "low"]).select(*keys, (F.col("found") - 1).alias("near_docs"))
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
@@ -182,7 +182,8 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     )
     own, other = (F.col("high"), F.col("low")), (F.col("edited_high"), F.col("edited_low"))
     out = prints.join(following, prints["next_id"].eqNullSafe(following["next_id"])).drop(following["next_id"])
-    out = out.join(near_counts(prints.select("doc_id", "high", "low")), "doc_id", "left")
+    row = ["block", "doc_id", "nth"]
+    out = out.join(near_counts(prints.select(*row, "high", "low"), row), row, "left")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", shown(*own).alias("fingerprint"), shown(*other).alias("edited_fingerprint"),
         likeness(own, other).alias("near_edited"), likeness(own, (F.col("next_high"), F.col("next_low"))).alias("near_next"),

@@ -294,3 +294,25 @@ def test_lattice_has_every_piece_at_every_place():
         for a in range(len(text) - 1, -1, -1):
             back[a] = np.logaddexp.reduce([s.weight[e] + back[b] for b, e in want[a]])
         assert np.allclose(back, onward)
+
+
+def test_fingerprints_keep_rows_of_one_id(spark):
+    texts = [(50, "one two three four"), (50, "five six seven"), (50, "one two three four"), (100, "eight nine"), (None, "x")]
+    rows = spark.createDataFrame([(i, t, 1, 2) for i, t in texts], "doc_id long, text string, nth int, block int")
+    got = simhash.document_fingerprints(rows).collect()
+    assert len(got) == len(texts)
+    prints = {(r.doc_id, r.n_chars): (r.fingerprint, r.near_docs) for r in got}
+    assert prints[50, 18][1] == 1 and prints[50, 14][1] == 0 and prints[100, 10][1] == 0
+    same = [r for r in got if r.n_chars == 18]
+    assert len(same) == 2 and same[0].fingerprint == same[1].fingerprint
+
+
+def test_pipeline_stage_keeps_columns_called_like_its_own(spark, small):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").selectExpr("*", "cast(doc_id as string) as score", "doc_id * 2 as predicted")
+    kept = corpus_pipeline.quality_filter(spark, docs, small)
+    assert kept.columns == docs.columns and dict(kept.dtypes)["score"] == "string"
+    rows = kept.collect()
+    assert rows and all(r.score == str(r.doc_id) and r.predicted == 2 * r.doc_id for r in rows)
+    assert corpus_pipeline.quality_filter(spark, docs.limit(0), small).count() == 0
