@@ -14,14 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.llm.common import MULTIPLIER, mix, rows, stage
 
 HASH_BITS = 15
-# Bounds: labelled documents learned from, trigrams of a text that count in full.
-SAMPLE = 4000
+# Bounds: labelled documents of each language learned from, trigrams of a text that count in full,
+# languages (their likelihoods are broadcast, 256 kB each).
+SAMPLE = 1000
 FULL = 300
 SMOOTHING = 5.0
 LANGUAGES = 64
@@ -43,25 +44,39 @@ def trigrams(text: str) -> np.ndarray:
     return (mix(gram) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
     """Languages, and log-likelihoods by language and trigram, from labelled documents.
 
-    At most ``sample`` documents (doc_id, text, lang), least hash first; sums of
-    fixed size come to the driver, at most ``LANGUAGES`` of them.
+    At most ``sample`` documents (doc_id, text, lang) of each language, least hash
+    first, so a rare language is learned as a frequent one is. More than ``languages``
+    languages raise an error. Sums of fixed size come to the driver.
     """
-    known = docs.where("lang is not null and text is not null").select("doc_id", "lang")
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("lang", "text")
-
-    def count(table: pa.Table) -> pa.Table:
-        total = np.zeros(1 << HASH_BITS, np.int64)
-        for text in table["text"].to_pylist():
-            total += np.bincount(trigrams(text), minlength=1 << HASH_BITS)
-        return pa.table({"lang": [table["lang"][0].as_py()], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    found = picked.groupBy("lang").applyInArrow(count, "lang string, counts binary").orderBy("lang").limit(LANGUAGES).collect()
-    counts = np.array([np.frombuffer(r.counts, np.int64) for r in found]).reshape(len(found), 1 << HASH_BITS) + 0.5
-    return [r.lang for r in found], np.log(counts / counts.sum(axis=1, keepdims=True))
+    known = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang")
+    names = sorted(r.lang for r in known.select("lang").distinct().limit(languages + 1).collect())
+    if len(names) > languages:
+        raise ValueError(f"more than {languages} languages: the bound is a parameter")
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    known = known.withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample)
+    known = F.broadcast(known.select("doc_id", "lang").distinct())  # bounded by both parameters
+    picked = docs.where("text is not null").join(known, ["doc_id", "lang"], "left_semi").select("lang", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for langs, texts in rows(batches, "lang", "text"):
+            for lang, text in zip(langs, texts, strict=True):
+                total.setdefault(lang, np.zeros(1 << HASH_BITS, np.int64))
+                total[lang] += np.bincount(trigrams(text), minlength=1 << HASH_BITS)
+        for lang, counts in total.items():
+            at = np.flatnonzero(counts)
+            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], names=["lang", "gram", "n"])
+
+    summed = picked.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = np.full((len(names), 1 << HASH_BITS), 0.5)
+    place = {lang: i for i, lang in enumerate(names)}
+    found = summed.groupBy("lang").agg(F.collect_list(F.struct("gram", "n")).alias("all")).toLocalIterator()
+    for lang, table in found:  # a row of at most 2^15 entries for each language
+        counts[place[lang], [x.gram for x in table]] += [x.n for x in table]
+    return names, np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
 def text_evidence(pages: DataFrame, languages: list[str], table: np.ndarray) -> DataFrame:
@@ -90,15 +105,15 @@ def text_evidence(pages: DataFrame, languages: list[str], table: np.ndarray) ->
     return scored.select("*", domain.alias("domain"), F.element_at(labels, -1).alias("suffix"))
 
 
-def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> DataFrame:
     """(page_id, lang, probability, text_lang, declared, host) for every row of pages.
 
     pages (page_id, url, html, ...), docs (doc_id, text, lang, ...). Missing markup,
     addresses or texts are evidence of nothing: null and empty pages go by their host
-    and declaration. Ties go to the first language by name. Repeated rows count each.
-    Without labelled documents lang is null.
+    and declaration. Ties go to the first language by name. Repeated rows count each;
+    all rows of a labelled document in the sample teach. Without labelled documents lang is null.
     """
-    languages, table = train(docs, sample)
+    languages, table = train(docs, sample, languages)
     if not languages:
         none = F.lit(None).cast("string")
         return pages.select("page_id", none.alias("lang"), F.lit(None).cast("double").alias("probability"),
@@ -120,8 +135,10 @@ def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFra
         """Sum over the other pages."""
         return F.greatest(F.col(f"{tag}_{i}") - t[i], F.lit(0.0))
 
+    joined = joined.withColumns({f"{tag}_all": sum((less(tag, i) for i in range(n)), F.lit(0.0)) for tag in "asdh"})
+
     def total(tag: str) -> Column:
-        return sum((less(tag, i) for i in range(n)), F.lit(0.0))
+        return F.col(f"{tag}_all")
 
     prior = [(less("a", i) + 1.0) / (total("a") + n) for i in range(n)]
     for tag in ("s", "d", "h"):

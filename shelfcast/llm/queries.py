@@ -44,16 +44,16 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of a tree: source / ten thousands / hundreds / file.
+    """Documents as files of a tree: source / sixty-fours / eights / file.
 
-    The first document of a hundred stands in for the licence file of its folder,
-    the first of ten thousand for that of the folder above.
+    The first document of eight stands in for the licence file of its folder, the
+    first of sixty-four for that of the folder above.
     """
     i = F.col("doc_id")
-    top, low = F.floor(i / 10_000), F.floor(i / 100)
+    top, low = F.floor(i / 64), F.floor(i / 8)
     path = (
-        F.when(i % 10_000 == 0, F.concat_ws("/", "source", top.cast("string"), F.lit("LICENSE")))
-        .when(i % 100 == 0, F.concat_ws("/", "source", top.cast("string"), low.cast("string"), F.lit("LICENSE")))
+        F.when(i % 64 == 0, F.concat_ws("/", "source", top.cast("string"), F.lit("LICENSE")))
+        .when(i % 8 == 0, F.concat_ws("/", "source", top.cast("string"), low.cast("string"), F.lit("LICENSE")))
         .otherwise(F.concat_ws("/", "source", top.cast("string"), low.cast("string"), i.cast("string")))
     )
     files = read(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"))

@@ -1,7 +1,11 @@
 """Operators on single texts and pages, against brute force or the libraries themselves."""
 
 import itertools
+import math
 import random
+import re
+import textwrap
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -238,9 +242,53 @@ def test_licenses_are_inherited_from_the_nearest_folder(spark):
     assert got["a/LICENSE"].origin == "file" and got["a/long.py"].origin == "inherited"
     assert all(got[p].origin == "none" and got[p].license is None for p in ("q/n.py", "q/m.py", "ab/x.py", None))
     assert licenses.scan(files.limit(0)).count() == 0
-    # the cosine by hand
-    t = {k: set(v.lower().strip(".").replace(",", "").split()) for k, v in {"m": rows[0][1]}.items()}
-    assert got["a/LICENSE"].cosine == pytest.approx(1.0) and t
+
+
+def test_notices_are_found_wrapped_and_whole(spark):
+    wrap = lambda text, width, mark="# ": "\n".join(mark + x for x in textwrap.wrap(text, width))
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    own = "\nimport os\nprint(os.getcwd(), 'some words of the file', 12)\n"
+    year = "Copyright (c) 2020, A. N. Other\n\n"
+    bsd2, bsd3 = licenses.TEMPLATES["BSD-2-Clause"][1], licenses.TEMPLATES["BSD-3-Clause"][2]
+    want = {
+        "s/gpl2.py": ("GPL-2.0", wrap(gpl.format(2), 72) + own), "s/gpl3.c": ("GPL-3.0", "int a;\n\n" + wrap(gpl.format(3), 66, " * ") + own),
+        "s/mpl.js": ("MPL-2.0", wrap(mpl, 70, " * ") + own), "s/mit.py": ("MIT", "# SPDX-License-Identifier: MIT" + own),
+        "s/only.py": ("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-only" + own), "s/later.py": ("LGPL-2.1", "// SPDX-License-Identifier: LGPL-2.1-or-later" + own),
+        "t/1/LICENSE": ("GPL-3.0", "          GNU GENERAL PUBLIC LICENSE\n            Version 3, 29 June 2007\n\n" + "words of the long text " * 300),
+        "t/2/LICENSE.md": ("MPL-2.0", "Mozilla Public License Version 2.0\n======\n\nDefinitions\n"),
+        "t/3/LICENSE": ("BSD-2-Clause", year + wrap(bsd2, 76, "")), "t/4/LICENSE": ("BSD-3-Clause", year + wrap(bsd3, 76, "")),
+        "t/5/COPYING": ("ISC", year + wrap(licenses.TEMPLATES["ISC"][2], 76, "")), "t/6/LICENSE": ("MIT", year + wrap(licenses.TEMPLATES["MIT"][4], 76, "")),
+        "s/apache.py": ("Apache-2.0", wrap(licenses.TEMPLATES["Apache-2.0"][2], 70) + own),
+        "u/a.py": (None, "# SPDX-License-Identifier: Zlib" + own), "u/b.py": (None, "he gave permission for use of the copy, and a warranty"),
+        "u/c.py": (None, "copyright 2020 by the author"),
+    }
+    files = spark.createDataFrame([(p, text) for p, (_, text) in want.items()], "path string, text string")
+    got = {r.path: r for r in licenses.scan(files).collect()}
+    assert {p: r.license for p, r in got.items()} == {p: x for p, (x, _) in want.items()}
+    # the cosine of the best stretch, computed apart
+    split = lambda text: [w for w in re.split(r"[^a-z0-9.]+|\.+(?![a-z0-9])", text.lower()) if w]
+    notices = [(x, Counter(split(t))) for x, texts in licenses.TEMPLATES.items() for t in texts]
+    holds = Counter(w for _, n in notices for w in n)
+    idf = lambda w: math.log((1 + len(notices)) / holds.get(w, 1))
+    size = lambda v: math.sqrt(sum((n * idf(w)) ** 2 for w, n in v.items()))
+    cosine = lambda v, n: sum(v[w] * n[w] * idf(w) ** 2 for w in v) / size(v) / size(n) if v else 0.0
+    for path, (_, text) in want.items():
+        lines, best = text.split("\n"), (0.0, "")
+        stretches = ["\n".join(lines[max(0, i - a) : i - a + n]) for i in range(len(lines)) for a, n in licenses.STRETCHES]
+        stretches += [re.split(r"\n[ \t]*\n", text.lstrip(" "), maxsplit=1)[0]] + [text] * path.startswith("t/")
+        for stretch in stretches:
+            if any(re.search(rf"(?i)\b{c}\b", stretch) for c in licenses.CUES):
+                best = max(best, *((round(cosine(Counter(split(stretch)), n), 9), x) for x, n in notices))
+        assert got[path].license is None and best[0] < licenses.COSINE or got[path].cosine == pytest.approx(best[0], abs=2e-9)
+    assert licenses.scan(files, templates={"X": ("alpha beta license",)}).where("license is not null").count() == 0
+
+
+def test_ties_of_licenses_go_to_the_last_name(spark):
+    files = spark.createDataFrame([("a/LICENSE", "alpha license\nbeta license"), ("a/LICENSE.txt", "alpha license"), ("a/x", "")], "path string, text string")
+    got = {r.path: r for r in licenses.scan(files, templates={"B": ("beta license",), "A": ("alpha license",)}).collect()}
+    assert got["a/LICENSE"].license == "B" and got["a/LICENSE.txt"].license == "A"
+    assert (got["a/x"].license, got["a/x"].from_path) == ("B", "a/LICENSE")
 
 
 def test_language_evidence_is_fused(spark):
@@ -261,6 +309,54 @@ def test_language_evidence_is_fused(spark):
     assert {r.lang for r in language.identify(pages, docs.limit(0)).collect()} == {None}
 
 
+def test_rare_languages_are_learned(spark):
+    names = [f"l{i:02}" for i in range(70)]
+    word = lambda i: chr(97 + i % 26) * (3 + i // 26)
+    rows = [(j, (word(0) + " ") * 9, "l00") for j in range(300)] + [(1000 + i, (word(i) + " ") * 9, x) for i, x in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, counts = language.train(docs, sample=5, languages=70)
+    assert languages == names and counts.shape[0] == 70
+    # a language beyond its sample counts only so many documents
+    grams = lambda n: np.bincount(language.trigrams((word(0) + " ") * 9), minlength=counts.shape[1]) * n + 0.5
+    assert np.allclose(counts[0], np.log(grams(5) / grams(5).sum()))
+    few = docs.where("lang < 'l08'")
+    pages = spark.createDataFrame([(i, None, f"<p>{(word(i) + ' ') * 9}</p>") for i in range(8)], "page_id long, url string, html string")
+    assert {r.page_id: r.text_lang for r in language.identify(pages, few).collect()} == dict(enumerate(names[:8]))
+    with pytest.raises(ValueError, match="languages"):
+        language.train(docs, languages=69)
+
+
+def test_posterior_against_a_loop(spark):
+    text = ["the house and the garden ", "der garten und das haus ", "la maison et le jardin "]
+    docs = spark.createDataFrame([(i, text[i % 3] * 3, "abc"[i % 3]) for i in range(30)], "doc_id long, text string, lang string")
+    rng = random.Random(4)
+    rows = [(i, f"http://{rng.choice(['x.', 'y.', ''])}{rng.choice('pqr')}.{rng.choice(['de', 'fr'])}/", rng.choice(["", "aa", "bb"]),
+             " ".join(rng.choice(" ".join(text).split()) for _ in range(rng.randint(0, 4)))) for i in range(60)]
+    rows += [rows[0], (60, rows[0][1], "", "the garten " * 400)]
+    pages = spark.createDataFrame([(i, u, f'<html lang="{m}"><p>{t}</p></html>') for i, u, m, t in rows], "page_id long, url string, html string")
+    languages, table = language.train(docs)
+    seen = []
+    for i, url, markup, words in rows:
+        found = language.trigrams(words)
+        log_p = table[:, found].sum(axis=1) * min(1, language.FULL / max(1, len(found)))
+        p = np.exp(log_p - log_p.max())
+        host = url[7:-1]
+        seen.append((i, p / p.sum(), markup, [host.split(".")[-1], ".".join(host.split(".")[-2:]), host]))
+    got = {r.page_id: r for r in language.identify(pages, docs).collect()}
+    for k, (i, own, markup, levels) in enumerate(seen):
+        others = [x for j, x in enumerate(seen) if j != k]
+        sums = lambda keep: sum((x[1] for x in others if keep(x)), np.zeros(3))  # noqa: B023, E731
+        everything = sums(lambda x: True)
+        prior = (everything + 1) / (everything.sum() + 3)
+        for level in range(3):
+            mine = sums(lambda x: x[3][level] == levels[level])  # noqa: B023
+            prior = (mine + language.SMOOTHING * prior) / (mine.sum() + language.SMOOTHING)
+        w = own * prior
+        if markup:
+            w = w * (sums(lambda x: x[2] == markup) + 1) / (everything + 3)  # noqa: B023
+        assert got[i].probability == pytest.approx(w.max() / w.sum()) and got[i].lang == languages[int(w.argmax())]
+
+
 def test_samples_do_not_depend_on_what_is_remembered(spark, docs, monkeypatch):
     read = lambda: sorted((r.doc_id is None, r.doc_id or 0, r.sample, tuple(r.ids), r.log_p, r.inclusion) for r in segment.sampled_segmentations(docs, MODEL).collect())
     whole = read()
