@@ -1,14 +1,17 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every n-gram of a test item that some document holds is a seed, however common it
-is: an edited copy may share only those that verbatim copies made common. Documents
-that share seeds at about the same distance are aligned with the item word by word.
+The items are held by the tasks in slices of a bounded size. Every n-gram of an item
+that a document holds is a seed, however common it is: an edited copy may share only
+those that verbatim copies made common. What a seed opens is aligned with the item word
+by word, unless the words near it are too few for the wanted score. So a document's rows
+depend on it and the items alone, never on other documents.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +22,14 @@ from shelfcast.llm import common
 from shelfcast.llm.common import concat, stage
 
 N = 3
-# Seeds of an item that must agree, and how far their distances may differ. A copy with
-# replaced words that still scores half of its item can be left with a single 3-gram,
-# but only if the item has at most so many words.
-SEEDS = 2
-SHORT_ITEM = 12
+# Words by which a copy may be shifted beside its edits.
 SHIFT = 16
 SCORE = 0.5
 GAP = 1
-# Bits of the table that sifts n-grams before they are joined.
-SIEVE_BITS = 22
+# Words of items that a task holds at once: more take further passes over the documents.
+WORDS = 1 << 21
+# Seeds of a text that are placed at once.
+HITS = 1 << 20
 _WORD = re.compile(r"\w+")
 
 
@@ -45,75 +46,78 @@ def grams(values: np.ndarray, n: int = N) -> np.ndarray:
     return common.mix(out)
 
 
-def item_grams(items: DataFrame, n: int = N) -> DataFrame:
-    """(item_id, at, gram) of every item with n words or more."""
+class Items:
+    """Test items as word hashes, with the places of their n-grams in order of the n-grams."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, ids: list[int], texts: list[str], n: int = N):
         cache = common.HashCache()
-        for ids, texts in common.rows(batches, "item_id", "text"):
-            found = [(i, grams(common.hashes(words(t), cache), n)) for i, t in zip(ids, texts, strict=True)]
-            yield pa.record_batch(
-                {
-                    "item_id": pa.array(np.repeat([i for i, _ in found], [len(g) for _, g in found]), pa.int64()),
-                    "at": pa.array(concat((np.arange(len(g)) for _, g in found), np.int64), pa.int32()),
-                    "gram": pa.array(concat((g for _, g in found), np.uint64).view(np.int64)),
-                }
-            )
-
-    items = items.select("item_id", "text").where("item_id is not null")
-    return items.mapInArrow(run, "item_id long, at int, gram long")
-
-
-def sieve(of_items: DataFrame) -> np.ndarray:
-    """A table of fixed size with a bit for each n-gram of the items, put together in tasks."""
-    shift = np.uint64(64 - SIEVE_BITS)
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << SIEVE_BITS, bool)
-        for batch in batches:
-            table[(batch.column("gram").to_numpy().view(np.uint64) >> shift).astype(np.int64)] = True
-        at = np.flatnonzero(np.packbits(table))
-        yield pa.record_batch({"at": pa.array(at, pa.int32()), "bits": pa.array(np.packbits(table)[at], pa.int16())})
-
-    found = of_items.select("gram").mapInArrow(bits, "at int, bits short").groupBy("at").agg(F.expr("bit_or(bits) bits"))
-    packed = np.zeros(1 << SIEVE_BITS - 3, np.uint8)
-    for at, byte in found.collect():  # at most one row per byte of the table
-        packed[at] = byte
-    return packed
-
-
-def places(docs: DataFrame, packed: np.ndarray, n: int = N) -> DataFrame:
-    """(doc_id, pos, gram) of the n-grams of docs that the sieve lets through."""
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
-    shift = np.uint64(64 - SIEVE_BITS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, table = common.HashCache(), np.unpackbits(shared.value).astype(bool)
-        for ids, texts in common.rows(batches, "doc_id", "text"):
-            lists = [words(t) for t in texts]
-            flat = common.hashes([w for ws in lists for w in ws], cache)
-            ends = np.cumsum([len(ws) for ws in lists])
-            g = grams(flat, n)
-            at = np.flatnonzero(table[(g >> shift).astype(np.int64)])
-            row = np.searchsorted(ends, at, side="right")
-            inside = at + n <= ends[row] if len(at) else np.zeros(0, bool)
-            at, row = at[inside], row[inside]
-            starts = ends - [len(ws) for ws in lists]
-            yield pa.record_batch(
-                {
-                    "doc_id": pa.array(np.array(ids, np.int64)[row], pa.int64()),
-                    "pos": pa.array(at - starts[row], pa.int32()) if len(at) else pa.array([], pa.int32()),
-                    "gram": pa.array(g[at].view(np.int64)),
-                }
-            )
-
-    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    return docs.mapInArrow(run, "doc_id long, pos int, gram long")
+        self.ids, self.words = ids, [common.hashes(words(t), cache) for t in texts]
+        found = [grams(w, n) for w in self.words]
+        gram = concat(found, np.uint64)
+        order = np.argsort(gram, kind="stable")
+        self.gram = gram[order]
+        self.item = np.repeat(np.arange(len(ids)), [len(g) for g in found])[order]
+        self.at = concat((np.arange(len(g)) for g in found), np.int64)[order]
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+
+    def near(self, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Item, start and end of each stretch of a text around seeds; stretches of an item may touch."""
+        g = grams(text)
+        low = np.searchsorted(self.gram, g)
+        pos = np.flatnonzero(low < len(self.gram))
+        pos = pos[self.gram[low[pos]] == g[pos]]
+        low, high = low[pos], np.searchsorted(self.gram, g[pos], side="right")
+        for part in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(np.cumsum(high - low) // HITS)) + 1):
+            times = high[part] - low[part]
+            entry = np.repeat(low[part] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            item, shift = self.item[entry], np.repeat(pos[part], times) - self.at[entry]
+            order = np.lexsort((shift, item))
+            item, shift = item[order], shift[order]
+            slack = self.sizes[item] // 2 + SHIFT
+            apart = np.flatnonzero((np.diff(item) != 0) | (np.diff(shift) > (self.sizes[item] + 2 * slack)[1:])) + 1
+            first, last = np.r_[0, apart], np.r_[apart, len(item)] - 1
+            if len(item):
+                start = np.maximum(0, shift[first] - slack[first])
+                end = shift[last] + self.sizes[item[last]] + slack[last]
+                yield from zip(item[first].tolist(), start.tolist(), end.tolist(), strict=True)
+
+    def leaks(self, text: np.ndarray, score: float) -> Iterator[tuple[int, float, int, int]]:
+        """Item, score, first word and number of words of each item that a text holds."""
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for i, a, b in self.near(text):
+            if enough(self.words[i], text[a:b], score):
+                spans.setdefault(i, []).append((a, b))
+        for i, found in spans.items():
+            best = (0, 0, 0)
+            for a, b in _merged(found):
+                s, x, y = aligned(self.words[i], text[a:b])
+                if s > best[0]:
+                    best = (s, a + x, a + y)
+            if best[0] >= score * self.sizes[i]:
+                yield self.ids[i], best[0] / int(self.sizes[i]), best[1], best[2] - best[1]
+
+
+def enough(item: np.ndarray, text: np.ndarray, score: float) -> bool:
+    """Whether some stretch as long as an alignment of that score can be holds words enough for it.
+
+    The score takes ``score`` of the item's words as matches, and each word of the text
+    beside them takes one off, so no such alignment covers more words than twice the item
+    has less that share.
+    """
+    held = np.isin(text, item)
+    total = np.concatenate([[0], np.cumsum(held)])
+    width = len(item) + int((1 - score) * len(item)) + 1
+    return int((total[min(width, len(text)) :] - total[: max(1, len(total) - width)]).max()) >= score * len(item)
 
 
-def seeds(of_items: DataFrame, found: DataFrame) -> DataFrame:
-    """(item_id, at, gram): the n-grams of items that some document holds."""
-    return of_items.join(found.select("gram").distinct(), "gram", "left_semi").select("item_id", "at", "gram")
+def slices(items: DataFrame, bound: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts of the items, about ``bound`` words at a time; of several texts of an id the least."""
+    items = items.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    total = items.agg(F.sum(F.size(F.split("text", r"\W+", -1)).cast("long"))).first()[0] or 0
+    parts = -(-total // bound)
+    for k in range(parts):
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()
+        yield [r.item_id for r in part], [r.text for r in part]
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -141,55 +145,36 @@ def aligned(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return score, j - back, j
 
 
-def contaminated(docs: DataFrame, items: DataFrame, score: float = SCORE) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, score: float = SCORE, bound: int = WORDS) -> DataFrame:
     """(doc_id, item_id, score, first_word, n_words): passages of docs that hold a test item.
 
     docs (doc_id, text, ...), items (item_id, text, ...). Words are runs of letters,
     digits and underscores, in lower case. score is the alignment score over the
     words of the item, kept from ``score`` on; the span counts words of the document.
     Null ids and texts match nothing, nor do items of fewer than three words. Repeated
-    documents or items give one row per pair of ids. No items: no rows.
+    documents or items give one row per pair of ids. No items: no rows. Items of more
+    than ``bound`` words take a pass over the documents for each so many.
     """
-    of_items = stage(item_grams(items), "item-grams")
-    found = stage(places(docs, sieve(of_items)), "places")
-    seed = seeds(of_items, found)
-    hits = found.join(seed, "gram").select("doc_id", "item_id", "at", (F.col("pos") - F.col("at")).alias("shift"))
-    bands = F.explode(F.array(F.floor(F.col("shift") / SHIFT) * 2, F.floor((F.col("shift") + SHIFT // 2) / SHIFT) * 2 + 1))
-    all_of = of_items.groupBy("item_id").agg((F.max("at") + N).alias("n_words"))
-    few = seed.groupBy("item_id").agg(F.countDistinct("at").alias("seeds")).join(all_of, "item_id")
-    few = few.select("item_id", F.when(F.col("n_words") <= SHORT_ITEM, 1).otherwise(F.least(F.lit(SEEDS), "seeds")).alias("needed"))
-    agree = hits.select("*", bands.alias("band")).groupBy("doc_id", "item_id", "band").agg(
-        F.countDistinct("at").alias("agree"), F.min("shift").alias("low"), F.max("shift").alias("high")
-    )
-    agree = agree.join(few, "item_id").where("agree >= needed")
-    pairs = agree.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("low", "high")).alias("near"))
-    pairs = pairs.join(items.select("item_id", F.col("text").alias("item")).dropDuplicates(["item_id"]), "item_id")
-    by_doc = stage(pairs.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item", "near")).alias("pairs")), "pairs")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = common.HashCache()
-        for ids, texts, lists in common.rows(batches, "doc_id", "text", "pairs", bound=2 << 20):
-            out = []
-            for d, text, tests in zip(ids, texts, lists, strict=True):
-                whole = common.hashes(words(text), cache)
-                for test in tests:
-                    item = common.hashes(words(test["item"]), cache)
-                    slack = len(item) // 2 + SHIFT
-                    spans = [(max(0, x["low"] - slack), x["high"] + len(item) + slack) for x in test["near"]]
-                    best = (0, 0, 0)
-                    for a, b in _merged(spans):
-                        s, i, j = aligned(item, whole[a:b])
-                        if s > best[0]:
-                            best = (s, a + i, a + j)
-                    if best[0] >= score * len(item):
-                        out.append((d, test["item_id"], best[0] / len(item), best[1], best[2] - best[1]))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            names = ["doc_id", "item_id", "score", "first_word", "n_words"]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
-
-    held = docs.select("doc_id", "text").join(by_doc, "doc_id")
-    rows = held.mapInArrow(run, "doc_id long, item_id long, score double, first_word long, n_words long")
+    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    schema = "doc_id long, item_id long, score double, first_word long, n_words long"
+
+    def search(ids: list[int], texts: list[str]) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast((ids, texts))  # a slice
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, cache = Items(*shared.value), common.HashCache()
+            for docs_, found in common.rows(batches, "doc_id", "text"):
+                out = [(d, *leak) for d, t in zip(docs_, found, strict=True) for leak in held.leaks(common.hashes(words(t), cache), score)]
+                columns = list(zip(*out, strict=True)) or [[]] * 5
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                names = ["doc_id", "item_id", "score", "first_word", "n_words"]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+        return docs.mapInArrow(run, schema)
+
+    # each slice's rows are written before the next slice is read
+    rows = [stage(search(*part), "leaks") for part in slices(items, bound)]
+    rows = reduce(DataFrame.unionByName, rows) if rows else docs.sparkSession.createDataFrame([], schema)
     best = rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "first_word", "n_words")).alias("best"))
     return best.select("doc_id", "item_id", "best.*")
 

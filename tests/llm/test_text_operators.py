@@ -357,6 +357,41 @@ def test_posterior_against_a_loop(spark):
         assert got[i].probability == pytest.approx(w.max() / w.sum()) and got[i].lang == languages[int(w.argmax())]
 
 
+def test_leaks_do_not_depend_on_other_documents(spark):
+    rng = random.Random(6)
+    items = [[f"i{i}w{rng.randrange(10**6)}" for _ in range(n)] for i, n in enumerate((11, 12, 13, 16, 20, 30))]
+    # a word put in after every second word, but for one row of three words that stays
+    spread = lambda x: [w for i, word in enumerate(x) for w in ([word, f"n{i}"] if i % 2 and i != 3 else [word])]
+    copies = [(i, f"{'pre ' * 9}{' '.join(spread(x))} post") for i, x in enumerate(items)]
+    plain = [(100 + i, f"some {' '.join(x)} more") for i, x in enumerate(items)] * 3
+    bench = spark.createDataFrame([(i, " ".join(x), 1) for i, x in enumerate(items)], "item_id long, text string, doc_id int")
+    schema = "doc_id long, text string"
+    pairs = lambda rows, **more: {
+        (r.doc_id, r.item_id): (r.score, r.first_word, r.n_words)
+        for r in decontaminate.contaminated(spark.createDataFrame(rows, schema), bench, **more).collect()
+    }
+    code = {}
+    ids = lambda ws: np.array([code.setdefault(w, len(code)) for w in ws])
+    want = {(i, i) for i, x in enumerate(items) if decontaminate.align(ids(x), ids(spread(x)))[0] >= decontaminate.SCORE * len(x)}
+    alone, beside = pairs(copies), pairs(copies + plain)
+    assert set(alone) == want and len(want) >= 3
+    assert {p: beside[p] for p in alone} == alone and len(beside) == len(alone) + len(items)
+    # a null id, repeated rows, a very long text, items in many slices
+    long = [(7, "word " * 40000 + " ".join(items[5]) + " word" * 9), (None, " ".join(items[0]))]
+    again = pairs([*copies, *copies, *plain, *long], bound=20)
+    assert again.pop((7, 5)) == (1.0, 40000, 30) and again == beside
+
+
+def test_words_enough_for_a_score_are_never_missed():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        item = rng.integers(0, 12, rng.integers(3, 14))
+        text = np.concatenate([rng.integers(0, 20, rng.integers(0, 30)), np.delete(item, rng.integers(0, len(item))), rng.integers(0, 20, 5)])
+        score = rng.choice([0.3, 0.5, 0.8, 1.0])
+        if decontaminate.align(item, text)[0] >= score * len(item):
+            assert decontaminate.enough(item, text, score)
+
+
 def test_samples_do_not_depend_on_what_is_remembered(spark, docs, monkeypatch):
     read = lambda: sorted((r.doc_id is None, r.doc_id or 0, r.sample, tuple(r.ids), r.log_p, r.inclusion) for r in segment.sampled_segmentations(docs, MODEL).collect())
     whole = read()
