@@ -28,6 +28,9 @@ SCORE = 0.5
 GAP = 1
 # Words of items that a task holds at once: more take further passes over the documents.
 WORDS = 1 << 21
+# Bits of the table that sifts the n-grams of documents.
+SIEVE_BITS = 22
+SIEVE_SHIFT = np.uint64(64 - SIEVE_BITS)
 # Seeds of a text that are placed at once.
 HITS = 1 << 20
 _WORD = re.compile(r"\w+")
@@ -59,14 +62,26 @@ class Items:
         self.item = np.repeat(np.arange(len(ids)), [len(g) for g in found])[order]
         self.at = concat((np.arange(len(g)) for g in found), np.int64)[order]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
-
-    def near(self, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Item, start and end of each stretch of a text around seeds; stretches of an item may touch."""
-        g = grams(text)
-        low = np.searchsorted(self.gram, g)
-        pos = np.flatnonzero(low < len(self.gram))
-        pos = pos[self.gram[low[pos]] == g[pos]]
-        low, high = low[pos], np.searchsorted(self.gram, g[pos], side="right")
+        self.sieve = np.zeros(1 << SIEVE_BITS, bool)
+        self.sieve[(gram >> SIEVE_SHIFT).astype(np.int64)] = True
+
+    def seeds(self, texts: list[np.ndarray], n: int = N) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Number of each text that holds n-grams of items, with their places in it and the n-grams."""
+        ends = np.cumsum([len(t) for t in texts])
+        gram = grams(concat(texts, np.uint64), n)
+        at = np.flatnonzero(self.sieve[(gram >> SIEVE_SHIFT).astype(np.int64)])
+        at = at[np.isin(gram[at], self.gram)]
+        row = np.searchsorted(ends, at, side="right")
+        inside = at + n <= ends[row]
+        at, row = at[inside], row[inside]
+        cuts = np.flatnonzero(np.diff(row)) + 1
+        for places in np.split(at, cuts) if len(at) else ():
+            r = int(np.searchsorted(ends, places[0], side="right"))
+            yield r, places - (ends[r] - len(texts[r])), gram[places]
+
+    def near(self, pos: np.ndarray, gram: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Item, start and end of each stretch of a text around its seeds; stretches of an item may touch."""
+        low, high = np.searchsorted(self.gram, gram), np.searchsorted(self.gram, gram, side="right")
         for part in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(np.cumsum(high - low) // HITS)) + 1):
             times = high[part] - low[part]
             entry = np.repeat(low[part] - np.cumsum(times) + times, times) + np.arange(times.sum())
@@ -81,20 +96,21 @@ class Items:
                 end = shift[last] + self.sizes[item[last]] + slack[last]
                 yield from zip(item[first].tolist(), start.tolist(), end.tolist(), strict=True)
 
-    def leaks(self, text: np.ndarray, score: float) -> Iterator[tuple[int, float, int, int]]:
-        """Item, score, first word and number of words of each item that a text holds."""
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for i, a, b in self.near(text):
-            if enough(self.words[i], text[a:b], score):
-                spans.setdefault(i, []).append((a, b))
-        for i, found in spans.items():
-            best = (0, 0, 0)
-            for a, b in _merged(found):
-                s, x, y = aligned(self.words[i], text[a:b])
-                if s > best[0]:
-                    best = (s, a + x, a + y)
-            if best[0] >= score * self.sizes[i]:
-                yield self.ids[i], best[0] / int(self.sizes[i]), best[1], best[2] - best[1]
+    def leaks(self, texts: list[np.ndarray], score: float) -> Iterator[tuple[int, int, float, int, int]]:
+        """Number of the text, item, score, first word and number of words of each item that a text holds."""
+        for row, pos, gram in self.seeds(texts):
+            text, spans = texts[row], {}
+            for i, a, b in self.near(pos, gram):
+                if enough(self.words[i], text[a:b], score):
+                    spans.setdefault(i, []).append((a, b))
+            for i, found in spans.items():
+                best = (0, 0, 0)
+                for a, b in _merged(found):
+                    s, x, y = aligned(self.words[i], text[a:b])
+                    if s > best[0]:
+                        best = (s, a + x, a + y)
+                if best[0] >= score * self.sizes[i]:
+                    yield row, self.ids[i], best[0] / int(self.sizes[i]), best[1], best[2] - best[1]
 
 
 def enough(item: np.ndarray, text: np.ndarray, score: float) -> bool:
@@ -163,8 +179,8 @@ def contaminated(docs: DataFrame, items: DataFrame, score: float = SCORE, bound:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, cache = Items(*shared.value), common.HashCache()
-            for docs_, found in common.rows(batches, "doc_id", "text"):
-                out = [(d, *leak) for d, t in zip(docs_, found, strict=True) for leak in held.leaks(common.hashes(words(t), cache), score)]
+            for numbers, found in common.rows(batches, "doc_id", "text"):
+                out = [(numbers[row], *leak) for row, *leak in held.leaks([common.hashes(words(t), cache) for t in found], score)]
                 columns = list(zip(*out, strict=True)) or [[]] * 5
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 names = ["doc_id", "item_id", "score", "first_word", "n_words"]
