@@ -52,9 +52,15 @@ def train(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) ->
     languages raise an error. Sums of fixed size come to the driver.
     """
     known = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang")
-    names = sorted(r.lang for r in known.select("lang").distinct().limit(languages + 1).collect())
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().limit(languages + 1).collect()}
+    names = sorted(sizes)
     if len(names) > languages:
         raise ValueError(f"more than {languages} languages: the bound is a parameter")
+    if not names:
+        return [], np.zeros((0, 1 << HASH_BITS))
+    # a share of each language that holds some four times its sample goes on to be ordered
+    below = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1 << 40, (sample << 42) // n + 1))])
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < below[F.col("lang")])
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = known.withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample)
     known = F.broadcast(known.select("doc_id", "lang").distinct())  # bounded by both parameters
