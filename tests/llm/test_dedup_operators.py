@@ -206,3 +206,30 @@ def test_pipeline(spark, small):
     rows = docs.collect()
     assert {r.doc_id for r in rows} == set(text)
     assert all(library.decode(r.ids) == text[r.doc_id].replace("▁", " ") for r in rows)
+
+
+def test_pipeline_stages_of_odd_rows(spark, small):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars int, n int, p string, bucket int, spans string"
+    long, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    texts = [(1, long), (1, long), (2, long), (3, None), (4, ""), (None, other), (None, other), (5, other + " " + long), (6, "x" * 300_000)]
+    rows = [(i, t, "en", "s", len(t or ""), 7, "p", 8, "s") for i, t in texts]
+    docs = spark.createDataFrame(rows, schema)
+    want = {
+        # the copy 2 goes, 1 stays twice, and what has no id or no words stays
+        "n-gram Jaccard join": [x for x in texts if x[0] != 2],
+        # the words that start earlier go from 2 and 5, not from rows without id
+        "substring dedup": [(2, "") if i == 2 else (5, other) if i == 5 else (i, t) for i, t in texts],
+        "benchmark decontamination": texts,
+    }
+    for name, function in corpus_pipeline.STAGES[1:4]:
+        got = function(spark, docs, small)
+        assert got.columns == docs.columns and got.dtypes == docs.dtypes, name
+        found = got.collect()
+        assert sorted(map(repr, ((r.doc_id, r.text) for r in found))) == sorted(map(repr, want[name])), name
+        assert all((r.lang, r.source, r.n, r.p, r.bucket, r.spans) == ("en", "s", 7, "p", 8, "s") for r in found)
+        assert function(spark, docs.limit(0), small).count() == 0, name
+    samples = corpus_pipeline.encoded(spark, docs, small).collect()
+    assert {r.doc_id for r in samples} == {i for i, _ in texts} and all(r.decoded for r in samples)
+    assert corpus_pipeline.encoded(spark, docs.limit(0), small).count() == 0
