@@ -13,9 +13,10 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
-from itertools import chain, groupby
+from functools import lru_cache
+from itertools import chain, filterfalse, groupby
 from pathlib import Path
 
 import numpy as np
@@ -30,8 +31,8 @@ SEED = 17
 # Choices of a row; others form one further choice, which leads to a row of their own.
 LISTED = 6
 WIDE = 8
-# Rows and parts that are remembered before the older half of them goes; bytes of text taken at once.
-ROWS, PARTS, SLICE = 1 << 19, 100_000, 1 << 18
+# Rows and parts that are remembered before all of them go; bytes of text taken at once.
+ROWS, PARTS, SLICE = 5 << 17, 250_000, 1 << 18
 FIRST_RANK = 10
 _PARTS = re.compile(r" *[^ ]+| +$")
 
@@ -50,10 +51,26 @@ class Grown:
         self.data[self.n : self.n + len(rows)] = rows
         self.n += len(rows)
 
-    def cut(self, n: int) -> None:
-        """Drops the first n rows."""
-        self.data[: self.n - n] = self.data[n : self.n].copy()
-        self.n -= n
+
+class Cut:
+    """Code points of texts one after another: the end of the text of each, the places at which texts start, hashes of stretches."""
+
+    def __init__(self, texts: list[str]):
+        self.points, lengths = _points("".join(texts)), np.array([len(t) for t in texts])
+        n, ends = len(self.points), np.cumsum(lengths)
+        self.end, self.starts = np.repeat(ends, lengths), ends - lengths
+        self._total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.points * _powers(n, common.MULTIPLIER), dtype=np.uint64)))
+        self._inverse = _powers(n, pow(int(common.MULTIPLIER), -1, 1 << 64))
+
+    def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of the stretches from a to b."""
+        return (self._total[b] - self._total[a]) * self._inverse[a]
+
+    def ends(self) -> np.ndarray:
+        """Hashes, none of them 0, of what is left of its text from each place on."""
+        found = self.hashes(np.arange(len(self.points)), self.end)
+        found[found == 0] = 1
+        return found
 
 
 class Spellings:
@@ -61,8 +78,10 @@ class Spellings:
 
     A piece weighs the inverse of its rank in the vocabulary. The pieces that go on from
     a place of a part are the choices of its row, each with the chance that a spelling
-    of the rest starts with it. An entry is a stretch that pieces spell, or the id of a
-    piece outside the lattice (a byte), which has one choice.
+    of the rest starts with it. What goes on from a place depends on the rest of its
+    stretch alone, so equal ends of stretches have the same rows. An entry is a stretch
+    that pieces spell, or the id of a piece outside the lattice (a byte), which has one
+    choice.
     """
 
     def __init__(self, model: bytes):
@@ -93,42 +112,46 @@ class Spellings:
                 raise ValueError("two pieces of one hash")
             self._pieces[n] = value[order], np.array([self.piece[x] for x in found])[order], points[order]
             self._seen[_slot(value)] = True
+        self.gone, self.of = 0, []
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str | int, int] = {}
+        """Drops all entries; later ones go on with their numbers."""
+        self.gone += len(self.of)
         self.of: list[str | int] = []  # keys of the entries from number ``gone`` on
-        self.gone = 0
         self.start = Grown(np.int64)  # by entry
         # by row: chance of the listed choices up to each, above 1 from the last on; of all choices log chance, piece (or -1), next row (or -1)
         self.up_to, self.log_q = Grown(float, WIDE), Grown(float, LISTED + 1)
-        self.ids, self.next = Grown(np.int32, LISTED + 1), Grown(np.int64, LISTED + 1)
+        self.ids, self.next = Grown(np.int32, LISTED + 1), Grown(np.int32, LISTED + 1)
+        # by the first row of a place: log weight from it to the end, its code point, the row of the place after it (or -1)
+        self.onward, self.point, self.after = Grown(float), Grown(np.uint32), Grown(np.int32)
+        self._table(1 << 20)
+
+    def _table(self, size: int) -> None:
+        """An empty table of ends of stretches: a hash (or 0), and the first row of the place it begins at."""
+        self._key, self._row = np.zeros(size, np.uint64), np.zeros(size, np.int32)
 
     def lattice(self, text: str) -> tuple[str, list[list[tuple[int, int]]], list[float]]:
         """Text, edges (end, id) by start, and log weight from each place to the end, of one stretch."""
         if not text:
             return text, [], [0.0]
-        a, b, ids, onward, _, _ = self._lattices([text])
+        cut = Cut([text])
+        a, b, ids = self._edges(cut, np.arange(len(cut.points)))
+        onward = self._onward(cut, a, b, ids, np.arange(len(cut.points)), np.full(len(cut.points) + 1, -np.inf))
         edges: list[list[tuple[int, int]]] = [[] for _ in text]
         for i, j, e in sorted(zip(a.tolist(), b.tolist(), ids.tolist(), strict=True)):
             edges[i].append((j, e))
-        return text, edges, [*onward.tolist(), 0.0]
+        return text, edges, [*onward[:-1].tolist(), 0.0]
 
-    def _lattices(self, texts: list[str]) -> tuple[np.ndarray, ...]:
-        """The lattices of all texts, one after the other: edges (start, end, id), and by place the log
-        weight from it to the end of its text, that end, and the places at which texts start.
+    def _edges(self, cut: Cut, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces (start, end, id) that begin at the places ``at``, which rise.
 
         Substrings of each length are looked up by their hashes, all places at once.
         """
-        points, lengths = _points("".join(texts)), np.array([len(t) for t in texts])
-        n, ends = len(points), np.cumsum(lengths)
-        end = np.repeat(ends, lengths)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(points * _powers(n, common.MULTIPLIER), dtype=np.uint64)))
-        inverse = _powers(n, pow(int(common.MULTIPLIER), -1, 1 << 64))
-        at, found = np.arange(n), []
+        points, end, found = cut.points, cut.end, []
         for size, (hashes, ids, spelled) in self._pieces.items():
             at = at[end[at] - at >= size]
-            value = (total[at + size] - total[at]) * inverse[at]
+            value = cut.hashes(at, at + size)
             maybe = self._seen[_slot(value)]
             a, value = at[maybe], value[maybe]
             which = np.minimum(np.searchsorted(hashes, value), len(hashes) - 1)
@@ -139,44 +162,97 @@ class Spellings:
             found.append((a, a + size, ids[which]))
         a, b, ids = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(a, kind="stable")  # a few rising runs
-        a, b, ids = a[order], b[order], ids[order]
-        count = np.bincount(a, minlength=n)
+        return a[order], b[order], ids[order]
+
+    def _onward(self, cut: Cut, a: np.ndarray, b: np.ndarray, ids: np.ndarray, fresh: np.ndarray, onward: np.ndarray) -> np.ndarray:
+        """The log weight from each place of ``fresh`` to the end of its text, set in ``onward``; (a, b, ids) are their edges."""
+        count = np.bincount(a, minlength=len(onward))
         first = np.cumsum(count) - count
-        weight, onward = self._weights[ids], np.full(n + 1, -np.inf)
-        last = b == end[a]
+        weight, last = self._weights[ids], b == cut.end[a]
         # by the distance to the end: what goes on from a place is known before the place comes
-        alive, here = ends, lengths
-        for far in range(1, int(lengths.max(initial=0)) + 1):
-            alive, here = alive[here >= far], here[here >= far]
-            place = alive - far
+        far = cut.end[fresh] - fresh
+        order = np.argsort(far, kind="stable")
+        for place in np.split(fresh[order], np.flatnonzero(np.diff(far[order])) + 1):
             sizes = count[place]
             if not sizes.all():
                 place, sizes = place[sizes > 0], sizes[sizes > 0]
             starts = np.cumsum(sizes) - sizes
             i = np.repeat(first[place] - starts, sizes) + np.arange(int(sizes.sum()))
             onward[place] = _log_sums(weight[i] + np.where(last[i], 0.0, onward[b[i]]), starts, sizes)
-        return a, b, ids, onward[:n], end, ends - lengths
+        return onward
 
-    def add(self, keys: list[str | int]) -> None:
-        """Entries of all keys that have none: rows of choices, in falling chance, for each place of a lattice."""
-        fresh = [k for k in dict.fromkeys(keys) if k not in self.known]
-        texts = [k for k in fresh if isinstance(k, str)]
+    def add(self, texts: list[str], pieces: list[int]) -> int:
+        """Entries of distinct stretches and of pieces outside the lattice; the number of the first, the others follow."""
+        number, n = self.gone + len(self.of), len(pieces)
         if texts:
-            self._add_texts(texts)
-        single = [k for k in fresh if not isinstance(k, str)]
-        if single:
-            n, base = len(single), self.up_to.n
+            self.start.extend(self._add_texts(texts))
+        if n:
+            base = self.up_to.n
             log_q, ids = np.full((n, LISTED + 1), -np.inf), np.full((n, LISTED + 1), -1)
-            log_q[:, 0], ids[:, 0] = 0.0, single
+            log_q[:, 0], ids[:, 0] = 0.0, pieces
             following = np.full((n, LISTED + 1), -1)
             following[:, LISTED] = np.arange(base + 1, base + n + 1)
-            self._extend(single, np.arange(base, base + n), np.full((n, WIDE), 2.0), log_q, ids, following)
-
-    def _add_texts(self, texts: list[str]) -> None:
-        a, b, ids, onward, end, starts = self._lattices(texts)
-        base, n = self.up_to.n, len(end)
-        last = b == end[a]
-        ahead = np.where(last, 0.0, onward[np.minimum(b, n - 1)])
+            self._extend(np.full((n, WIDE), 2.0), log_q, ids, following, np.zeros(n), np.zeros(n), np.full(n, -1))
+            self.start.extend(np.arange(base, base + n))
+        self.of += texts
+        self.of += pieces
+        return number
+
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        """Where each hash is in the table, which takes those that it has not."""
+        if (self.up_to.n + len(key)) * 4 > len(self._key) * 3:
+            self._table(1 << int((self.up_to.n + len(key)) * 2).bit_length())  # what was in it is not shared any more
+        mask = len(self._key) - 1
+        slots = (key * common.MULTIPLIER >> np.uint64(65 - len(self._key).bit_length())).astype(np.int64)
+        left, at = np.arange(len(key)), slots
+        while len(left):
+            held = self._key[at]
+            free = held == 0
+            self._key[at[free]] = key[left[free]]
+            passed = self._key[at] != key[left]
+            left = left[passed]
+            slots[left] = at = (at[passed] + 1) & mask
+        return slots
+
+    def _shared(self, cut: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """By place: its row if its end is known, else -1; the first place that has the same end; its
+        slot; and whether the table may have it.
+
+        Equal hashes count if the code points and the places after them agree, so by
+        induction from the end the whole ends do. A text in which any do not, or that
+        is like a place of such a text, has rows of its own.
+        """
+        n = len(cut.points)
+        slots, like = self._slots(cut.ends()), np.arange(n)
+        row = self._row[slots].astype(np.int64) - 1
+        fresh, old = np.flatnonzero(row < 0), row >= 0
+        self._row[slots[fresh[::-1]]] = fresh[::-1]  # of several writes the last holds
+        like[fresh] = self._row[slots[fresh]]
+        self._row[slots[fresh]] = 0
+        # the place after each, as its row or (below -1) as the first place like it; -1 at the end of a text
+        after = np.append(np.where(old, row, -2 - like)[1:], -1)
+        after[cut.end - 1] = -1
+        same = cut.points == np.where(old, self.point.data[row], cut.points[like])
+        same &= after == np.where(old, self.after.data[row], after[like])
+        own = np.zeros(n, bool)
+        if not same.all():
+            own = np.isin(cut.end, cut.end[~same])
+            own = np.isin(cut.end, cut.end[own[like] & ~old | own])
+            row[own], like[own] = -1, np.flatnonzero(own)
+        return row, like, slots, ~own
+
+    def _add_texts(self, texts: list[str]) -> np.ndarray:
+        """The first row of each text; places whose ends have no rows yet get them."""
+        cut = Cut(texts)
+        known, like, slots, kept = self._shared(cut)
+        base, n = self.up_to.n, len(cut.points)
+        fresh = np.flatnonzero((known < 0) & (like == np.arange(n)))
+        a, b, ids = self._edges(cut, fresh)
+        last = b == cut.end[a]
+        b = like[np.minimum(b, n - 1)]
+        onward = np.append(np.where(known >= 0, self.onward.data[known], -np.inf), -np.inf)
+        self._onward(cut, a, np.where(last, cut.end[a], b), ids, fresh, onward)
+        ahead = np.where(last, 0.0, onward[b])
         live = ahead > -np.inf
         a, b, ids, last = a[live], b[live], ids[live], last[live]
         x = self._weights[ids] + ahead[live] - onward[a]
@@ -187,7 +263,8 @@ class Spellings:
             i = before[count == size][:, None] + np.arange(size)
             order[i] = np.take_along_axis(i, np.argsort(-x[i], axis=1, kind="stable"), axis=1)
         b, ids, last, x = b[order], ids[order], last[order], x[order]
-        rows = -(-count // LISTED)
+        rows = np.zeros(n, np.int64)
+        rows[fresh] = np.maximum(1, -(-count[fresh] // LISTED))
         first = np.cumsum(rows) - rows  # first row of a place, from the base
         number, slot = np.divmod(np.arange(len(a)) - before[a], LISTED)
         row, height = first[a] + number, int(rows.sum())
@@ -206,11 +283,13 @@ class Spellings:
                 rest[i] = whole[i + 1]
                 whole[i] = np.logaddexp(whole[i], whole[i + 1])
         x = x - whole[row]
+        # the row of every place
+        at = np.where(known >= 0, known, base + first[like])
         log_q, found = np.full((height, LISTED + 1), -np.inf), np.full((height, LISTED + 1), -1, np.int32)
-        following, up_to = np.full((height, LISTED + 1), -1), np.zeros((height, WIDE))
+        following, up_to = np.full((height, LISTED + 1), -1, np.int32), np.zeros((height, WIDE))
         cell = row * (LISTED + 1) + slot
         log_q.ravel()[cell], found.ravel()[cell] = x, ids
-        following.ravel()[cell] = np.where(last, -1, base + first[np.minimum(b, n - 1)])
+        following.ravel()[cell] = np.where(last, -1, at[b])
         following[:, LISTED] = np.arange(base + 1, base + height + 1)
         log_q[:, LISTED] = rest - whole
         chance = np.exp(x)
@@ -219,29 +298,21 @@ class Spellings:
         up_to.ravel()[row * WIDE + slot] = chance
         np.cumsum(up_to[:, :LISTED], axis=1, out=up_to[:, :LISTED])
         up_to[:, LISTED:] = 2.0
-        self._extend(texts, base + first[starts], up_to, log_q, found, following)
-
-    def _extend(self, keys: list, starts: np.ndarray, up_to: np.ndarray, log_q: np.ndarray, ids: np.ndarray, following: np.ndarray) -> None:
-        for grown, found in ((self.up_to, up_to), (self.log_q, log_q), (self.ids, ids), (self.next, following)):
+        of_row = np.repeat(np.arange(n), rows)
+        after = np.append(at[1:], -1)
+        after[cut.end - 1] = -1
+        self._extend(up_to, log_q, found, following, onward[of_row], cut.points[of_row], after[of_row])
+        put = fresh[kept[fresh]]
+        self._row[slots[put]] = at[put] + 1
+        return at[cut.starts]
+
+    def _extend(self, up_to: np.ndarray, log_q: np.ndarray, ids: np.ndarray, following: np.ndarray, *of_place: np.ndarray) -> None:
+        for grown, found in zip(
+            (self.up_to, self.log_q, self.ids, self.next, self.onward, self.point, self.after),
+            (up_to, log_q, ids, following, *of_place),
+            strict=True,
+        ):
             grown.extend(found)
-        number = self.gone + len(self.of)
-        self.known.update(zip(keys, range(number, number + len(keys)), strict=True))
-        self.of += keys
-        self.start.extend(starts)
-
-    def forget(self) -> int:
-        """Drops the older half of the entries; the others keep their numbers, the least of which it returns."""
-        half = len(self.of) // 2
-        cut = int(self.start.data[half])
-        for grown in (self.up_to, self.log_q, self.ids, self.next):
-            grown.cut(cut)
-        self.start.cut(half)
-        self.start.data[: self.start.n] -= cut
-        following = self.next.data[: self.next.n]
-        following[following >= 0] -= cut
-        self.of, self.gone = self.of[half:], self.gone + half
-        self.known = dict(zip(self.of, range(self.gone, self.gone + len(self.of)), strict=True))
-        return self.gone
 
     def starts(self, entries: np.ndarray) -> np.ndarray:
         """The first row of each entry."""
@@ -255,23 +326,34 @@ class Spellings:
         taken = int(np.searchsorted(up_to, rng.random() * up_to[-1], side="right"))
         return min(taken, int(np.flatnonzero(q)[-1]))
 
-    def walk(self, rows: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """Choices from each row to the end of its part, one part after another, and the number of the part of each.
+    def walk(self, rows: list[np.ndarray], rngs: list[np.random.Generator]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each search: choices from its rows to the end of their parts, one part after another, and the
+        number of the part of each.
 
-        A choice is numbered by its row and its place in it.
+        A choice is numbered by its row and its place in it. All searches take their
+        steps together, each with numbers of its own.
         """
-        who, following, steps = np.arange(len(rows)), self.next.data.ravel(), []
+        ends = np.cumsum([0, *map(len, rows)])
+        rows, up_to, following = np.concatenate(rows), self.up_to.data, self.next.data.ravel()
+        who, steps = np.arange(len(rows)), []
+        size = np.zeros(len(rows), np.int64)
         while len(who):
-            passed = self.up_to.data[rows] <= rng.random(len(rows))[:, None]
+            left, drawn = np.searchsorted(who, ends).tolist(), np.empty(len(who))
+            for rng, a, b in zip(rngs, left, left[1:], strict=False):
+                rng.random(out=drawn[a:b])
+            passed = up_to.take(rows, axis=0) <= drawn[:, None]
             taken = np.bitwise_count(passed.view(np.uint64).ravel())  # eight truth values to a word
             steps.append((who, cells := rows * (LISTED + 1) + taken))
-            rows = following[cells]
-            who, rows = who[rows >= 0], rows[rows >= 0]
-        size = np.bincount(common.concat((w for w, _ in steps), np.int64), minlength=len(steps[0][0]) if steps else 0)
-        at, out = np.cumsum(size) - size, np.zeros(int(size.sum()), np.int64)
+            size[who] += 1
+            rows = following.take(cells)
+            on = np.flatnonzero(rows >= 0)
+            who, rows = who.take(on), rows.take(on).astype(np.int64)
+        to = np.cumsum(size)
+        at, out = to - size, np.zeros(int(size.sum()), np.int64)
         for t, (w, cells) in enumerate(steps):
-            out[at[w] + t] = cells
-        return out, np.repeat(np.arange(len(size)), size)
+            out[at.take(w) + t] = cells
+        part, cut = np.repeat(np.arange(len(size)), size), np.append(0, to)[ends].tolist()
+        return [(out[a:b], part[a:b] - first) for a, b, first in zip(cut, cut[1:], ends.tolist(), strict=False)]
 
 
 def _points(text: str) -> np.ndarray:
@@ -300,48 +382,82 @@ def _log_sums(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
 
 
 class Encoder(dict):
-    """Entries of the parts between blanks; the library merges each part once."""
+    """The entry of each part between blanks, or below 0 one less than the negative of its place in ``several``.
+
+    The library merges each part once.
+    """
 
     def __init__(self, spellings: Spellings):
         super().__init__()
         self.spellings, self.library = spellings, spellings.library
+        self.several: list[list[int]] = []
         self.known = {x for x in spellings.piece if len(x) == 1}
+        self.name = {i: x for x, i in spellings.piece.items()}.__getitem__
         self.blank = self.library.encode("a ")[len(self.library.encode("a")) :]
 
     def all_entries(self, texts: list[str]) -> list[np.ndarray]:
         """Entries of each text; blanks are plain ones. What is new to all texts is spelled at once."""
         if self.spellings.up_to.n > ROWS or len(self) > PARTS:
-            gone = self.spellings.forget()
-            kept = [(part, found) for part, found in self.items() if min(found) >= gone]
-            self.clear()
-            self.update(kept)
+            self.forget()
         lists = [_split(text) for text in texts]
-        fresh = set(chain.from_iterable(lists)) - self.keys()
-        # the library leaves the characters of these texts as they are
-        plain = all(self.library.normalize(text) == BLANK + text.replace(" ", BLANK) for text in texts if text)
-        self._add(list(fresh), plain)
-        return [np.fromiter(chain.from_iterable(map(self.__getitem__, parts)), np.int64) for parts in lists]
+        parts = list(chain.from_iterable(lists))
+        fresh = list(filterfalse(self.__contains__, set(parts)))
+        self._add(fresh)
+        found = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
+        ends = np.cumsum([0, *map(len, lists)])
+        if len(many := np.flatnonzero(found < 0)):
+            lists = [self.several[-1 - i] for i in found[many].tolist()]
+            size = np.ones(len(found), np.int64)
+            size[many] = [len(x) for x in lists]
+            to = np.cumsum(size)
+            long, found = found < 0, np.repeat(found, size)
+            found[np.repeat(long, size)] = list(chain.from_iterable(lists))
+            ends = np.append(0, to)[ends]
+        return [found[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+
+    def forget(self) -> None:
+        self.spellings.clear()
+        self.several.clear()
+        self.clear()
 
     def entries(self, text: str) -> np.ndarray:
         return self.all_entries([text])[0]
 
-    def _add(self, parts: list[str], plain: bool) -> None:
-        """plain: a part of characters that are all pieces is one stretch, whatever the library merges in it."""
-        known = self.known.issuperset
-        keys = [[BLANK + part] if plain and part and known(part) else self._stretches(part) for part in parts]
-        self.spellings.add(list(chain.from_iterable(keys)))
-        number = self.spellings.known.__getitem__
-        self.update(zip(parts, [list(map(number, found)) for found in keys], strict=True))
+    def _add(self, parts: list[str]) -> None:
+        """A part of characters that are all pieces is one stretch, whatever the library merges in it, if the
+        library leaves the characters of the parts as they are."""
+        text = " ".join(parts)
+        plain = self.library.normalize(text) == BLANK + text.replace(" ", BLANK)
+        known, whole, others = self.known.issuperset, [], {}
+        for part in parts:
+            if plain and part and known(part):
+                whole.append(part)
+            else:
+                others[part] = self._stretches(part)
+        keys = dict.fromkeys(chain.from_iterable(others.values()))
+        texts, pieces = [k for k in keys if isinstance(k, str)], [k for k in keys if not isinstance(k, str)]
+        number = self.spellings.add([BLANK + part for part in whole] + texts, pieces)
+        self.update(zip(whole, range(number, number + len(whole)), strict=True))
+        of = {k: i for i, k in enumerate(texts + pieces, number + len(whole))}
+        for part, found in others.items():
+            self.several.append([of[k] for k in found])
+            self[part] = -len(self.several)
 
     def _stretches(self, part: str) -> list[str | int]:
         """What the library makes of a part: stretches of pieces in the lattice, and pieces outside it."""
         out: list[str | int] = []
         ids = self.library.encode(part) if part else self.blank
         for plain, run in groupby(ids, self.spellings.weight.__contains__):
-            out += ["".join(map(self.library.id_to_piece, run))] if plain else run
+            out += ["".join(map(self.name, run))] if plain else run
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(model: bytes) -> Encoder:
+    """One for all tasks of a process: its vocabulary takes most of a second to read."""
+    return Encoder(Spellings(model))
+
+
 def _split(text: str) -> list[str]:
     if not text:
         return []
@@ -359,7 +475,7 @@ class Segmentation:
     score: float
 
     def ids(self, s: Spellings) -> np.ndarray:
-        found = s.ids.data.ravel()[self.cells]
+        found = s.ids.data.ravel().take(self.cells)
         return found[found >= 0]
 
 
@@ -377,7 +493,31 @@ class Node:
     without: dict = field(compare=False)
 
 
-def sample(entries: np.ndarray, s: Spellings, k: int, rng: np.random.Generator) -> list[tuple[np.ndarray, float, float, float]]:
+Found = list[tuple[np.ndarray, float, float, float]]
+
+
+def sample(entries: np.ndarray, s: Spellings, k: int, rng: np.random.Generator) -> Found:
+    """What ``search`` finds for one text."""
+    return sample_all([entries], s, k, [rng])[0]
+
+
+def sample_all(entries: list[np.ndarray], s: Spellings, k: int, rngs: list[np.random.Generator]) -> list[Found]:
+    """What ``search`` finds for each text, all of them walking at once."""
+    searches = [search(x, s, k, rng) for x, rng in zip(entries, rngs, strict=True)]
+    out: list[Found] = [[] for _ in searches]
+    live = [(i, next(x)) for i, x in enumerate(searches)]
+    while live:
+        walked, asked = s.walk([rows for _, rows in live], [rngs[i] for i, _ in live]), []
+        for (i, _), path in zip(live, walked, strict=True):
+            try:
+                asked.append((i, searches[i].send(path)))
+            except StopIteration as end:
+                out[i] = end.value
+        live = asked
+    return out
+
+
+def search(entries: np.ndarray, s: Spellings, k: int, rng: np.random.Generator) -> Generator[np.ndarray, tuple[np.ndarray, np.ndarray], Found]:
     """Up to k distinct segmentations: ids, log-probability, perturbed score, log inclusion score.
 
     A Gumbel score is the negative log of an exponential waiting time. In a node the
@@ -385,7 +525,7 @@ def sample(entries: np.ndarray, s: Spellings, k: int, rng: np.random.Generator)
     exponential time over their mass, whatever was drawn. So each choice needs one
     draw for itself and one for when those beside it come. The
     inclusion score is the log of the chance to be drawn, given the least time that
-    is left out; it is 0 if nothing is left out.
+    is left out; it is 0 if nothing is left out. Yields rows to walk from.
     """
     starts, width = s.starts(entries), LISTED + 1
     queue, number, done = [Node(float(np.log(rng.standard_exponential())), 0, None, -1, {})], 1, []
@@ -410,12 +550,12 @@ def sample(entries: np.ndarray, s: Spellings, k: int, rng: np.random.Generator)
                 rows = np.concatenate(([onward], rows))
             else:
                 first += 1
-        cells, part = s.walk(rows, rng)
+        cells, part = yield rows
         part = part + first
         if node.before is not None:
             cells = np.concatenate((before.cells[:at], [cell], cells))
             part = np.concatenate((before.part[: at + 1], part))
-        path = Segmentation(cells, part, s.log_q.data.ravel()[cells], -node.late)
+        path = Segmentation(cells, part, s.log_q.data.ravel().take(cells), -node.late)
         if node.before is not None:
             without = node.without | {cell % width: float(np.exp(path.log_p[at]))}
             if (left := 1 - sum(without.values())) > 1e-12:
@@ -460,13 +600,15 @@ def sampled_segmentations(docs: DataFrame, model: str, k: int = SAMPLES, seed: i
     common.small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spellings = Spellings(data)
-        encoder = Encoder(spellings)
+        encoder = encoder_of(data)
+        encoder.forget()
+        spellings = encoder.spellings
         for ids, texts in common.rows(batches, "doc_id", "text", bound=SLICE):
             out, texts = [], [(text or "").replace(BLANK, " ") for text in texts]
-            for d, text, entries in zip(ids, texts, encoder.all_entries(texts), strict=True):
-                rng = np.random.Generator(np.random.Philox(key=[seed, (-1 if d is None else d) & (1 << 64) - 1]))
-                for i, (found, *numbers) in enumerate(sample(entries, spellings, k, rng)):
+            rngs = [np.random.Generator(np.random.Philox(key=[seed, (-1 if d is None else d) & (1 << 64) - 1])) for d in ids]
+            drawn = sample_all(encoder.all_entries(texts), spellings, k, rngs) if ids else []
+            for d, text, paths in zip(ids, texts, drawn, strict=True):
+                for i, (found, *numbers) in enumerate(paths):
                     decoded = spellings.library.decode(found.tolist()) == text
                     out.append((d, i, found, *numbers, decoded))
             d, i, found, log_p, score, inclusion, decoded = zip(*out, strict=True) if out else [[]] * 7

@@ -427,6 +427,45 @@ def test_lattice_has_every_piece_at_every_place():
         assert np.allclose(back, onward)
 
 
+def _spelled(s, texts):
+    """Draws of each text by an encoder of these spellings, the entries of all texts made at once."""
+    entries = segment.Encoder(s).all_entries(texts)
+    drawn = segment.sample_all(entries, s, 2, [np.random.default_rng(i) for i in range(len(texts))])
+    return [[(ids.tolist(), *numbers) for ids, *numbers in found] for found in drawn]
+
+
+def test_equal_ends_of_words_share_their_rows():
+    with open(MODEL, "rb") as f:
+        s = segment.Spellings(f.read())
+    encoder = segment.Encoder(s)
+    encoder.all_entries(["the handle", "a candle andle"])
+    # the, handle, a, candle and andle with their blanks: the ends of handle hold those of the others
+    assert s.up_to.n == len({w[i:] for w in ["▁the", "▁handle", "▁a", "▁candle", "▁andle"] for i in range(len(w))})
+    before = s.up_to.n
+    encoder.all_entries(["scandle"])
+    assert s.up_to.n == before + 2
+    texts = ["the handle", "", "a candle andle\nscandle", "  two  blanks ", "the scandle handle"]
+    alone = [segment.sample(encoder.entries(text), s, 2, np.random.default_rng(i)) for i, text in enumerate(texts)]
+    assert _spelled(s, texts) == [[(ids.tolist(), *numbers) for ids, *numbers in found] for found in alone]
+
+
+@pytest.mark.parametrize("bits", [0, 2, 5])
+def test_ends_of_one_hash_keep_rows_of_their_own(monkeypatch, bits):
+    with open(MODEL, "rb") as f:
+        data = f.read()
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("theandr") for _ in range(rng.randint(1, 9))) for _ in range(30)) for _ in range(12)]
+    want = _spelled(segment.Spellings(data), texts)
+    whole = segment.Cut.ends
+    monkeypatch.setattr(segment.Cut, "ends", lambda self: whole(self) % np.uint64(1 << bits) + np.uint64(1))
+    s = segment.Spellings(data)
+    assert _spelled(s, texts) == want
+    assert [_spelled(s, [x])[0] for x in texts[:1]] == want[:1]
+    for i, text in enumerate(texts):  # one after another, against rows that are there
+        found = segment.sample(segment.Encoder(s).entries(text), s, 2, np.random.default_rng(i))
+        assert [(ids.tolist(), *numbers) for ids, *numbers in found] == want[i]
+
+
 def test_fingerprints_keep_rows_of_one_id(spark):
     texts = [(50, "one two three four"), (50, "five six seven"), (50, "one two three four"), (100, "eight nine"), (None, "x")]
     rows = spark.createDataFrame([(i, t, 1, 2) for i, t in texts], "doc_id long, text string, nth int, block int")
