@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from shelfcast.llm import graph, jaccard, phrases, suffixes
+from shelfcast.llm import common, graph, jaccard, phrases, recurring, suffixes
 
 
 def made(seed: int) -> list:
@@ -233,3 +235,34 @@ def test_pipeline_stages_of_odd_rows(spark, small):
     samples = corpus_pipeline.encoded(spark, docs, small).collect()
     assert {r.doc_id for r in samples} == {i for i, _ in texts} and all(r.decoded for r in samples)
     assert corpus_pipeline.encoded(spark, docs.limit(0), small).count() == 0
+
+
+def test_word_hashes():
+    """Equal hashes for equal words alone, over texts of odd white space, long words and many blocks."""
+    rng = random.Random(9)
+    texts = ["", None, " \t ", "a\x0bB  c ", "x" * 300_000, "y" * 65 + " " + "y" * 64, "é Ü \x1c\x85 q", "\n", "A a"]
+    texts += [" ".join("".join(rng.choice("abA\u00e9") for _ in range(rng.randint(1, 90))) for _ in range(4000)) for _ in range(3)]
+    for lower in (False, True):
+        found, counts = common.word_hashes(pa.array(texts), lower)
+        split = [((t or "").encode().lower() if lower else (t or "").encode()).split() for t in texts]
+        assert counts.tolist() == [len(x) for x in split]
+        words = [w for x in split for w in x]
+        assert len(set(zip(words, found.tolist(), strict=True))) == len(set(words)) == len(set(found.tolist()))
+        part, few = common.word_hashes(pa.array(texts).slice(3, 2), lower)
+        assert few.tolist() == counts[3:5].tolist() and part.tolist() == found[: len(part)].tolist()
+    assert len(common.word_hashes(pa.array([None, ""], pa.string()))[0]) == 0
+
+
+def test_entries_are_dealt_out_by_task(spark):
+    """The rows of an exchange follow the tasks and the ranges, not the slices of the input."""
+    rng = random.Random(10)
+    text = " ".join(str(rng.random()) for _ in range(20_000))
+    docs = spark.createDataFrame([(i, f"{i} {text}") for i in range(30)], "doc_id long, text string").coalesce(1)
+    rows = jaccard._entries(docs, 5, 7).collect()  # 12 MB of text, 600,000 entries
+    assert sorted(r.bucket for r in rows) == list(range(7))
+    h = np.concatenate([common.unpack_sorted(r.h) for r in rows])
+    assert len(h) == 30 * (20_001 - 4)
+    assert len(np.unique(h)) == 20_000 - 4 + 30
+    parts = [(h[i::3], np.arange(len(h[i::3])), np.zeros(len(h[i::3]))) for i in range(3)]
+    assert [b.num_rows for b in recurring.pack_all(parts * 5, 7)] == [7, 7]
+    assert list(recurring.pack_all([], 7)) == []
