@@ -9,10 +9,13 @@ every passage of the shard is streamed through them to find all occurrences.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,25 +31,15 @@ PASSAGES = "shard int, gram long, doc_id long, first long, passage string, copie
 HELD = 8 << 20
 
 
-def _places(padded: str) -> list[int]:
-    """Where the blanks around the words are."""
-    out, at = [], padded.find(" ")
-    while at >= 0:
-        out.append(at)
-        at = padded.find(" ", at + 1)
-    return out
-
-
-def _locate(members: list[tuple], phrases: dict[str, tuple], window: int, removed: dict) -> None:
+def _locate(members: list[tuple], phrases: dict[tuple, tuple], window: int, removed: dict) -> None:
     """Streams passages through the automaton of the phrases; all but the first occurrence go."""
-    automaton = ahocorasick.Automaton()
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for phrase, first in phrases.items():
         automaton.add_word(phrase, first)
     automaton.make_automaton()
-    for d, start, padded in members:
-        word = {at: i for i, at in enumerate(_places(padded))}
-        for end, first in automaton.iter(padded):
-            at = start + word[end] - window
+    for d, start, words in members:
+        for end, first in automaton.iter(words):
+            at = start + end + 1 - window
             if (d, at) != first:
                 removed.setdefault(d, []).append((at, at + window))
 
@@ -55,23 +48,26 @@ def _shard(window: int, most: int):
     def shard(table: pa.Table) -> pa.Table:
         removed: dict[int, list] = {}
         by_gram: dict[int, list] = {}
-        columns = (table[c].to_pylist() for c in ("gram", "doc_id", "first", "passage", "copies"))
-        for gram, d, start, passage, copies in zip(*columns, strict=True):
-            padded = f" {passage} "
-            by_gram.setdefault(gram, []).append((d, start, padded))
-            for c in copies:
+        columns = (table[c].to_pylist() for c in ("gram", "doc_id", "first", "passage"))
+        for gram, d, start, passage in zip(*columns, strict=True):
+            by_gram.setdefault(gram, []).append((d, start, passage))
+        several = table.filter(pc.greater(pc.list_value_length(table["copies"]), 0))
+        for passage, found in zip(several["passage"].to_pylist(), several["copies"].to_pylist(), strict=True):
+            for c in found:
                 removed.setdefault(c["doc_id"], []).append((c["first"], c["first"] + passage.count(" ") + 1))
+        # the automata read words by numbers of this shard
+        number: dict[str, int] = defaultdict(count().__next__)
         members: list[tuple] = []
-        phrases: dict[str, tuple] = {}
+        phrases: dict[tuple, tuple] = {}
         for group in by_gram.values():
             if len(group) == 1:
                 continue
-            first: dict[str, tuple] = {}
-            again: set[str] = set()
-            for d, start, padded in sorted(group):
-                at = _places(padded)
-                for i in range(len(at) - window):
-                    phrase = padded[at[i] : at[i + window] + 1]
+            first: dict[tuple, tuple] = {}
+            again: set[tuple] = set()
+            group = [(d, start, tuple(map(number.__getitem__, p.split(" ")))) for d, start, p in sorted(group)]
+            for d, start, words in group:
+                for i in range(len(words) - window + 1):
+                    phrase = words[i : i + window]
                     if first.setdefault(phrase, (d, start + i)) != (d, start + i):
                         again.add(phrase)
             if again:
@@ -111,10 +107,11 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, phra
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held, size = common.HashCache(), {}, 0
-        for ids, texts, places in common.rows(batches, "doc_id", "text", "p", bound=4 << 20):
-            lists = [(t or "").encode().split() for t in texts]
-            for row, s in stretches(alphabet, ids, lists, places, cache):
+        held, size = {}, 0
+        for part in common.slices(batches):
+            ids, texts, places = (part.column(c).to_pylist() for c in ("doc_id", "text", "p"))
+            lists = [alphabet.tokens(t) for t in texts]
+            for row, s in stretches(alphabet, ids, alphabet.hashed(part.column("text")), places):
                 passage = b" ".join(lists[row][s.first : s.last + window]).decode()
                 held.setdefault((s.gram, passage), []).append((s.doc_id, s.first))
                 size += len(passage)

@@ -19,11 +19,10 @@ from pyspark.sql import functions as F
 
 from shelfcast.llm import common
 from shelfcast.llm.common import concat, stage
-from shelfcast.llm.recurring import ENTRIES, pack_entries, recurring
+from shelfcast.llm.recurring import ENTRIES, pack_all, recurring
 
 PIECE = 1 << 18
 SPANS = "doc_id long, spans binary"
-_BYTE = common.mix(np.arange(1, 257, dtype=np.uint64) * common.MULTIPLIER)
 
 
 @dataclass(frozen=True)
@@ -38,8 +37,15 @@ class Alphabet:
         data = (text or "").encode()
         return data.split() if self.words else data
 
-    def values(self, tokens, cache: common.HashCache) -> np.ndarray:
-        return common.hashes(tokens, cache) if self.words else _BYTE[np.frombuffer(tokens, np.uint8)]
+    def hashed(self, texts: pa.Array) -> list:
+        """What ``pieces`` takes of each text: the hashes of its words, or its bytes."""
+        if not self.words:
+            return [self.tokens(t) for t in texts.to_pylist()]
+        flat, counts = common.word_hashes(texts)
+        return np.split(flat, np.cumsum(counts)[:-1])
+
+    def values(self, part) -> np.ndarray:
+        return part if self.words else common.BYTE[np.frombuffer(part, np.uint8)]
 
     def joined(self, tokens) -> bytes:
         return b" ".join(tokens) if self.words else tokens
@@ -55,8 +61,8 @@ class Piece:
     hashes: np.ndarray
 
 
-def pieces(lists: list, alphabet: Alphabet, cache: common.HashCache) -> Iterator[Piece]:
-    """The windows of each token list. Long lists come in pieces; no window is in two."""
+def pieces(lists: list, alphabet: Alphabet) -> Iterator[Piece]:
+    """The windows of each text of ``Alphabet.hashed``. Long lists come in pieces; no window is in two."""
     window, held, total = alphabet.window, [], 0
     for row, tokens in enumerate(lists):
         for at in range(0, max(len(tokens) - window + 1, 0), PIECE):
@@ -64,22 +70,19 @@ def pieces(lists: list, alphabet: Alphabet, cache: common.HashCache) -> Iterator
             held.append((row, at, part))
             total += len(part)
             if total >= PIECE:
-                yield from _windows(held, alphabet, cache)
+                yield from _windows(held, alphabet)
                 held, total = [], 0
-    yield from _windows(held, alphabet, cache)
+    yield from _windows(held, alphabet)
 
 
-def _windows(held: list[tuple], alphabet: Alphabet, cache: common.HashCache) -> Iterator[Piece]:
+def _windows(held: list[tuple], alphabet: Alphabet) -> Iterator[Piece]:
     if not held:
         return
     window, gram = alphabet.window, alphabet.gram
-    value = np.concatenate([alphabet.values(part, cache) for _, _, part in held])
+    value = np.concatenate([alphabet.values(part) for _, _, part in held])
     g = np.zeros(len(value), np.uint64)
-    power = np.multiply.accumulate(np.full(len(value) + 1, common.MULTIPLIER, np.uint64))
-    inverse = np.multiply.accumulate(
-        np.full(len(value) + 1, pow(int(common.MULTIPLIER), -1, 1 << 64), np.uint64)
-    )
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * power[:-1], dtype=np.uint64)))
+    power, inverse = common.powers(1 << max(PIECE, len(value)).bit_length())
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * power[: len(value)], dtype=np.uint64)))
     g[: len(value) - gram + 1] = (total[gram:] - total[:-gram]) * inverse[: len(value) - gram + 1]
     g = common.mix(g)
     wide = window - gram + 1
@@ -116,19 +119,19 @@ def digests(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig binary")
 
 
-def _entries(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
-    buckets = common.width(docs.sparkSession)
+def _entries(docs: DataFrame, alphabet: Alphabet, buckets: int) -> DataFrame:
+    def entries(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, h, d, p = part.column("doc_id").to_pylist(), [], [], []
+        for piece in pieces(alphabet.hashed(part.column("text")), alphabet):
+            first = np.flatnonzero(np.concatenate(([True], piece.anchors[1:] != piece.anchors[:-1])))
+            h.append(piece.hashes[first])
+            p.append(piece.anchors[first])
+            d.append(np.full(len(first), ids[piece.row], np.int64))
+        # the least of several hashes are small ones: scrambled again, they fill all ranges alike
+        return common.mix(concat(h, np.uint64) * common.MULTIPLIER), concat(d, np.int64), concat(p, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = common.HashCache()
-        for ids, texts in common.rows(batches, "doc_id", "text", bound=4 << 20):
-            h, d, p = [], [], []
-            for piece in pieces([alphabet.tokens(t) for t in texts], alphabet, cache):
-                first = np.flatnonzero(np.concatenate(([True], piece.anchors[1:] != piece.anchors[:-1])))
-                h.append(piece.hashes[first])
-                p.append(piece.anchors[first])
-                d.append(np.full(len(first), ids[piece.row], np.int64))
-            yield pack_entries(concat(h, np.uint64), concat(d, np.int64), concat(p, np.int64), buckets)
+        yield from pack_all(map(entries, common.slices(batches)), buckets)
 
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, ENTRIES)
 
@@ -144,12 +147,10 @@ class Stretch:
     gram: int
 
 
-def stretches(
-    alphabet: Alphabet, ids: list, lists: list, places: list, cache: common.HashCache
-) -> Iterator[tuple[int, Stretch]]:
+def stretches(alphabet: Alphabet, ids: list, lists: list, places: list) -> Iterator[tuple[int, Stretch]]:
     """(row, stretch) for the recurring anchors of a batch of candidates."""
     wanted = [np.sort(common.from_planes(p, np.uint32)).astype(np.int64) for p in places]
-    for piece in pieces(lists, alphabet, cache):
+    for piece in pieces(lists, alphabet):
         want = wanted[piece.row]
         at = np.minimum(np.searchsorted(want, piece.anchors), len(want) - 1)
         hit = want[at] == piece.anchors
@@ -185,7 +186,11 @@ class Repeats:
 
     def candidates(self) -> DataFrame:
         """(doc_id, text, p): first copies that hold anchors that recur, with the anchors' places."""
-        found = recurring(_entries(self.docs, self.alphabet), self.firsts, lambda shared, n: True, rounds=2)
+        # buckets follow the anchors that random hashes have
+        tokens = self.firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        buckets = common.width_of(self.docs.sparkSession, 2 * tokens // (self.alphabet.window - self.alphabet.gram + 2))
+        entries = _entries(self.docs, self.alphabet, buckets)
+        found = recurring(entries, self.firsts, lambda shared, n: True, 2, buckets)
         found = stage(found.select("doc_id", "p"), "anchors")
         return self.docs.join(found, "doc_id")
 

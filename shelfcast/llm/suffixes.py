@@ -239,10 +239,10 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
     ranges = _ranges(docs, shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held = common.HashCache(), _Run(ranges)
+        held = _Run(ranges)
         for ids, texts, places in common.rows(batches, "doc_id", "text", "p", bound=1 << 20):
             lists = [(t or "").encode() for t in texts]
-            for row, s in stretches(alphabet, ids, lists, places, cache):
+            for row, s in stretches(alphabet, ids, lists, places):
                 data = lists[row]
                 held.add(data[s.first : s.anchor], data[s.anchor : s.last + window], s.doc_id, s.anchor)
             if held.size >= RUN_BYTES:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from shelfcast.llm import common, graph, jaccard, phrases, recurring, suffixes
+from shelfcast.llm import common, graph, jaccard, phrases, recurring, repeats, suffixes
 
 
 def made(seed: int) -> list:
@@ -264,5 +264,41 @@ def test_entries_are_dealt_out_by_task(spark):
     assert len(h) == 30 * (20_001 - 4)
     assert len(np.unique(h)) == 20_000 - 4 + 30
     parts = [(h[i::3], np.arange(len(h[i::3])), np.zeros(len(h[i::3]))) for i in range(3)]
-    assert [b.num_rows for b in recurring.pack_all(parts * 5, 7)] == [7, 7]
+    assert [b.num_rows for b in recurring.pack_all(parts * 8, 7)] == [7] * 4  # 1.2 million entries in each
     assert list(recurring.pack_all([], 7)) == []
+
+
+def test_anchors_are_dealt_out_by_task(spark):
+    """As above for the anchors of words and of bytes, all of them in the rows of one task."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("ab") + str(rng.randint(0, 10**9)) for _ in range(60_000)) for _ in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for alphabet in (repeats.Alphabet(words=True, window=20, gram=8), repeats.Alphabet(words=False, window=100, gram=40)):
+        rows = repeats._entries(docs, alphabet, 5).collect()  # 8 MB of text
+        assert sorted(r.bucket for r in rows) == list(range(5))
+        lists = alphabet.hashed(pa.array(texts))
+        places = {(p.row, int(a)): int(h) for p in repeats.pieces(lists, alphabet) for a, h in zip(p.anchors, p.hashes, strict=True)}
+        found = {}
+        for r in rows:
+            d, p, h = common.unpack_ids(r.d), common.from_planes(r.p, np.uint32), common.unpack_sorted(r.h)
+            found.update(zip(zip(d.tolist(), p.tolist(), strict=True), h.tolist(), strict=True))
+            assert 0.8 < 5 * len(h) / len(places) < 1.2  # no range holds much more than another
+        assert found.keys() == places.keys()
+        assert len({(found[x], places[x]) for x in places}) == len(set(found.values())) == len(set(places.values()))
+
+
+def test_shards_read_words():
+    """Phrases of words are found at words alone, also where a word ends like another."""
+    words = [f"w{i}" for i in range(24)]
+    passages = [words, ["x", *words[:22]], ["x" + words[0], *words[1:]], [*words[:19], words[19] + "0", *words[20:]]]
+    table = pa.table(
+        {
+            "gram": [7] * 4, "doc_id": [3, 1, 5, 2], "first": [10, 0, 0, 4], "passage": [" ".join(p) for p in passages],
+            "copies": pa.array([[], [{"doc_id": 9, "first": 50}], [], []], pa.list_(pa.struct([("doc_id", pa.int64()), ("first", pa.int64())]))),
+        }
+    )
+    for most in (1, 4000):
+        found = phrases._shard(20, most)(table)
+        spans = {d: np.frombuffer(s, np.int64).reshape(-1, 2).tolist() for d, s in zip(found["doc_id"].to_pylist(), found["spans"].to_pylist(), strict=True)}
+        # doc 1 has windows 0-2 of the words first; of those from the fourth word on, doc 3 is the first and doc 5 the second
+        assert spans == {3: [[10, 32]], 5: [[1, 24]], 9: [[50, 73]]}
